@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import winnowing
+from . import blob_ledger, line_dedup, replication, winnowing
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,4 +25,30 @@ def op1_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op1_winnowing": op1_winnowing}
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines that stand in three documents or more go, except in the last."""
+    cut = line_dedup.dedup_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return cut.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
+def op5_poisson_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The corpus with its sources at shares that follow the square root of their sizes."""
+    mixed = replication.replicate(_table(spark, sf_dir, "documents"))
+    return mixed.select("doc_id", "text", "lang", "source", "n_chars", "rate", "copy", "mix_key")
+
+
+def op7_blob_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in documents; each document is a version of the path that its id names."""
+    docs = _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("path"), "text")
+    found = blob_ledger.scan(docs)
+    count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    listed = F.array_join(F.transform("spans", lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+    return found.select(F.col("path").alias("doc_id"), count("assign"), count("access"), count("hex"), F.sha2(listed, 256).alias("base_sha256"), listed.alias("spans"))
+
+
+QUERIES = {
+    "op1_winnowing": op1_winnowing,
+    "op4_line_dedup": op4_line_dedup,
+    "op5_poisson_mix": op5_poisson_mix,
+    "op7_blob_ledger": op7_blob_ledger,
+}

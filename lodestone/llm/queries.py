@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import blob_ledger, line_dedup, replication, winnowing
+from . import blob_ledger, line_dedup, pu_quality, replication, winnowing
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,6 +25,11 @@ def op1_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_pu_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of documents, learned from trusted positives and unlabelled text."""
+    return pu_quality.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines that stand in three documents or more go, except in the last."""
     cut = line_dedup.dedup_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -48,6 +53,7 @@ def op7_blob_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_winnowing": op1_winnowing,
+    "op3_pu_quality": op3_pu_quality,
     "op4_line_dedup": op4_line_dedup,
     "op5_poisson_mix": op5_poisson_mix,
     "op7_blob_ledger": op7_blob_ledger,

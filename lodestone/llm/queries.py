@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import blob_ledger, line_dedup, pu_quality, replication, winnowing
+from . import blob_ledger, line_dedup, ppm, pu_quality, replication, winnowing
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -51,10 +51,19 @@ def op7_blob_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("path").alias("doc_id"), count("assign"), count("access"), count("hex"), F.sha2(listed, 256).alias("base_sha256"), listed.alias("spans"))
 
 
+def op8_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Code lengths of documents under a byte trie of all folds but one."""
+    docs = _table(spark, sf_dir, "documents")
+    fold = pu_quality.held_out("doc_id", 7, 2)
+    scored = ppm.score(docs, docs.where(~fold))
+    return scored.select("doc_id", fold.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 QUERIES = {
     "op1_winnowing": op1_winnowing,
     "op3_pu_quality": op3_pu_quality,
     "op4_line_dedup": op4_line_dedup,
     "op5_poisson_mix": op5_poisson_mix,
     "op7_blob_ledger": op7_blob_ledger,
+    "op8_ppm": op8_ppm,
 }

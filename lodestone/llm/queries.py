@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import blob_ledger, line_dedup, ppm, pu_quality, replication, winnowing
+from . import blob_ledger, jaccard_join, line_dedup, ppm, pu_quality, replication, winnowing
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -59,6 +59,11 @@ def op8_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", fold.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of documents whose 3-word shingles have Jaccard similarity 0.9 or more."""
+    return jaccard_join.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_winnowing": op1_winnowing,
     "op3_pu_quality": op3_pu_quality,
@@ -66,4 +71,5 @@ QUERIES = {
     "op5_poisson_mix": op5_poisson_mix,
     "op7_blob_ledger": op7_blob_ledger,
     "op8_ppm": op8_ppm,
+    "op9_jaccard_join": op9_jaccard_join,
 }

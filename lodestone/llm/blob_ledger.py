@@ -33,11 +33,13 @@ class Rule:
     hint: str
 
 
-#: The base rules, in the order in which kinds are listed.
+#: The base rules, in the order in which kinds are listed. A run of hexadecimal digits, or one that
+#: begins with AKIA, is matched as a whole or not at all, so the least length stands in the pattern; after a short
+#: assignment the search goes on behind it, so that length is tested afterwards.
 RULES = (
     Rule("assign", 1, r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 12, r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]"""),
-    Rule("access", 1, r"(AKIA[A-Z0-9]+)", 1, 18, "AKIA[A-Z0-9]{14}"),
-    Rule("hex", 1, "([0-9a-f]+)", 1, 16, "[0-9a-f]{16}"),
+    Rule("access", 1, "(AKIA[A-Z0-9]{14,})", 1, 18, "AKIA[A-Z0-9]{14}"),
+    Rule("hex", 1, "([0-9a-f]{16,})", 1, 16, "[0-9a-f]{16}"),
 )
 
 SCANNED = "blob binary, kind string, version int"
@@ -58,10 +60,20 @@ def _ledger(spark, path: str, part: str, schema: str) -> DataFrame:
 
 def _matches(text: Column, rule: Rule) -> Column:
     """For each match: characters since the last one, its own, and those of the group that counts."""
-    gaps = F.split(text, rule.pattern, -1)
-    found, parts = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0)), F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(rule.group))
-    each = F.zip_with(found, parts, lambda m, g: F.struct(F.char_length(m).alias("size"), F.char_length(g).alias("counts")))
-    return F.transform(each, lambda m, i: F.struct(F.lit(rule.kind).alias("kind"), F.lit(rule.version).alias("version"), F.lit(rule.least).alias("least"), i.alias("n"), F.char_length(F.get(gaps, i)).alias("gap"), m["size"].alias("size"), m["counts"].alias("counts")))
+    # one zipped array: each of the three passes over the text is made once, not once a match
+    each = F.arrays_zip(
+        F.split(text, rule.pattern, -1).alias("gap"),
+        F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0)).alias("whole"),
+        F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(rule.group)).alias("part"),
+    )
+    each = F.transform(
+        each,
+        lambda m, i: F.struct(
+            F.lit(rule.kind).alias("kind"), F.lit(rule.version).alias("version"), F.lit(rule.least).alias("least"), i.alias("n"),
+            F.char_length(m["gap"]).alias("gap"), F.char_length(m["whole"]).alias("size"), F.char_length(m["part"]).alias("counts"),
+        ),
+    )
+    return F.filter(each, lambda m: m["size"].isNotNull())
 
 
 def scan_unseen(versions: DataFrame, ledger: str, rules: tuple[Rule, ...] = RULES) -> None:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import blob_ledger, jaccard_join, line_dedup, ppm, pu_quality, replication, winnowing
+from . import blob_ledger, jaccard_join, line_dedup, ppm, pu_quality, replication, suffix_dedup, winnowing
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -64,6 +64,11 @@ def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of 50-byte strings that stand in an earlier document go."""
+    return suffix_dedup.dedup_substrings(_table(spark, sf_dir, "documents"), digest=True)
+
+
 QUERIES = {
     "op1_winnowing": op1_winnowing,
     "op3_pu_quality": op3_pu_quality,
@@ -72,4 +77,5 @@ QUERIES = {
     "op7_blob_ledger": op7_blob_ledger,
     "op8_ppm": op8_ppm,
     "op9_jaccard_join": op9_jaccard_join,
+    "op10_suffix_dedup": op10_suffix_dedup,
 }

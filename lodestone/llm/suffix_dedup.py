@@ -111,6 +111,7 @@ def _anchor_task(parts: int):
             return pa.RecordBatch.from_arrays([pa.array(np.arange(parts, dtype=np.int32)), pa.array(sent, pa.binary())], names=["part", "run"])
 
         for piece in ts.pieces(batches):
+            piece = piece.filter(piece.column("doc_id").is_valid())
             raw, offsets = ts.flat(piece.column("text"))
             h, of, at = anchors(raw, offsets)
             held.append((h, piece.column("doc_id").to_numpy()[of], piece.column("row").to_numpy()[of], at - offsets[of]))
@@ -426,7 +427,7 @@ def removed_spans(docs: DataFrame, hot_group: int = HOT_GROUP) -> DataFrame:
     digest = named.where("doc_id is not null and text is not null").select("row", "doc_id", F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(1), "text").alias("h2"))
     least = digest.groupBy("h1", "h2").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("h1").alias("g1"), F.col("h2").alias("g2"), "least")
     copies = digest.join(least, (F.col("h1") == F.col("g1")) & (F.col("h2") == F.col("g2"))).where("doc_id > least").select("row").distinct()
-    single = texts.where("doc_id is not null").join(copies.hint("shuffle_hash"), "row", "left_anti")
+    single = texts.join(copies.hint("shuffle_hash"), "row", "left_anti")
     dealt = lambda runs: runs.repartition(parts, "part").sortWithinPartitions("part")
     shared = dealt(single.mapInArrow(_anchor_task(parts), _RUNS)).mapInArrow(_shared_task(hot_group), _PLACES + ", hot boolean")
     places = lambda hot: single.join(shared.where(F.col("hot") == hot).groupBy("row").agg(F.flatten(F.collect_list("places")).alias("places")).hint("shuffle_hash"), "row").select("doc_id", "row", "text", "places")

@@ -33,16 +33,19 @@ from .shared import written
 
 #: Words in a shingle.
 WORDS = 3
-#: Two sets link when NUM * |x & y| >= DEN * |x | y|.
+#: Two sets link when num * |x & y| >= den * |x | y|.
 NUM, DEN = 100, 90
 #: A region up to these many nodes and shingles is joined in one task; larger ones are cut into blocks of as many nodes.
 REGION_NODES, REGION_SHINGLES = 256, 1_000_000
-#: Pivots of the first round in a large region; each round takes four times as many.
-FIRST_PIVOTS = 32
+#: Pivots of the first round in a large region; each round takes eight times as many.
+FIRST_PIVOTS = 256
 #: Rows (a long and two ids) that may be broadcast; beyond it texts are fetched by a shuffle.
 BROADCAST_ROWS = 500_000
-#: Segments with fewer elements are used only by documents that have too few others.
-STRONG = 3
+
+
+def strong_size(num: int, den: int) -> int:
+    """Elements below which a segment is weak: weak ones are used only by documents that have too few others."""
+    return 3 if 10 * (num - den) <= num else 2
 
 
 def shingle_sets(raw: np.ndarray, offsets: np.ndarray, n_words: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
@@ -103,7 +106,7 @@ class Rings:
 def segments(keys: np.ndarray, first: np.ndarray, rings: Rings) -> tuple[np.ndarray, np.ndarray]:
     """Signatures of segments, and the set of each."""
     sizes = np.diff(first)
-    ring = rings.of(sizes)
+    ring, strong = rings.of(sizes), strong_size(rings.num, rings.den)
     signs, of = [], []
     set_of = np.repeat(np.arange(len(sizes)), sizes)
     spread = ts.mix(keys ^ np.uint64(0x2545F4914F6CDD1D))
@@ -111,7 +114,7 @@ def segments(keys: np.ndarray, first: np.ndarray, rings: Rings) -> tuple[np.ndar
     for step in (0, 1):
         label = ring + step
         apart = np.array([rings.apart(j) if j else 0 for j in range(int(label.max(initial=0)) + 1)])[label]
-        m = apart + 2 + apart // 12
+        m = apart + 2 + apart // (12 if strong == 3 else 4)
         base = np.concatenate(([0], np.cumsum(m)))
         slot = base[set_of] + ((spread >> np.uint64(32)) * m[set_of].astype(np.uint64) >> np.uint64(32)).astype(np.int64)
         count = np.bincount(slot, minlength=base[-1])
@@ -119,7 +122,7 @@ def segments(keys: np.ndarray, first: np.ndarray, rings: Rings) -> tuple[np.ndar
         np.add.at(total, slot, value)
         owner = np.repeat(np.arange(len(sizes)), m)
         place = np.arange(base[-1]) - base[owner]
-        weak = count < STRONG
+        weak = count < strong
         few = np.bincount(owner, weak, minlength=len(sizes)) >= (m - apart)
         use = (~weak | few[owner]) & (sizes[owner] > 0) & (label[owner] > 0)
         sign = ts.mix(total + ts.mix((label[owner].astype(np.uint64) << np.uint64(40)) + place.astype(np.uint64)))
@@ -128,9 +131,9 @@ def segments(keys: np.ndarray, first: np.ndarray, rings: Rings) -> tuple[np.ndar
     return np.concatenate(signs), np.concatenate(of)
 
 
-def _sign_task(n_words: int):
+def _sign_task(n_words: int, num: int, den: int):
     def signs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rings, seen = Rings(), set()
+        rings, seen = Rings(num, den), set()
         for piece in ts.pieces(batches):
             raw, offsets = ts.flat(piece.column("text"))
             keys, first = shingle_sets(raw, offsets, n_words)
@@ -199,13 +202,13 @@ class _Sets:
         return out
 
 
-def _forest(sets: _Sets, center: int, pivots: np.ndarray) -> list[tuple[int, int]]:
+def _forest(sets: _Sets, center: int, pivots: np.ndarray, num: int, den: int) -> list[tuple[int, int]]:
     """Links that connect what the pivots link, by union and find; pairs that windows exclude are not compared."""
     n = len(sets.node)
     parent = np.arange(n)
     both = sets.common(center)
     apart = 1 - both / (sets.size[center] + sets.size - both)
-    window = (NUM - DEN) / NUM + 1e-9
+    window = (num - den) / num + 1e-9
     links = []
     for i in [center, *[int(p) for p in pivots if p != center]]:
         root = parent[i]
@@ -213,7 +216,7 @@ def _forest(sets: _Sets, center: int, pivots: np.ndarray) -> list[tuple[int, int
         if not possible.any():
             continue
         both = sets.common(i) if i != center else both
-        linked = possible & (NUM * both >= DEN * (sets.size[i] + sets.size - both))
+        linked = possible & (num * both >= den * (sets.size[i] + sets.size - both))
         for j in np.flatnonzero(linked):
             if parent[j] != parent[i]:
                 links.append((int(sets.node[i]), int(sets.node[j])))
@@ -228,48 +231,50 @@ def _links(pairs: list[tuple[int, int]]) -> pa.Table:
     return pa.table({"a": pa.array([a for a, _ in pairs], pa.int64()), "b": pa.array([b for _, b in pairs], pa.int64())})
 
 
-def _region_task(n_words: int):
+def _region_task(n_words: int, num: int, den: int):
     def region(key, table):
         sets = _Sets(table, n_words)
         center = np.flatnonzero(sets.node == key[0].as_py())
-        return _links(_forest(sets, int(center[0]), np.arange(len(sets.node))) if len(center) else [])
+        return _links(_forest(sets, int(center[0]), np.arange(len(sets.node)), num, den) if len(center) else [])
 
     return region
 
 
-def _block_task(n_words: int):
+def _block_task(n_words: int, num: int, den: int):
     def block(key, table):
         sets = _Sets(table, n_words)
         center = np.flatnonzero(sets.node == key[0].as_py())
         chosen = table.column("chosen").to_numpy(zero_copy_only=False).astype(bool)
         picked = np.unique(table.column("node").to_numpy()[chosen])
-        return _links(_forest(sets, int(center[0]), np.flatnonzero(np.isin(sets.node, picked))) if len(center) else [])
+        return _links(_forest(sets, int(center[0]), np.flatnonzero(np.isin(sets.node, picked)), num, den) if len(center) else [])
 
     return block
 
 
+#: Rows of a table of ids that go to one file at least.
+FILE_ROWS = 250_000
+
+
 def components(links: DataFrame, most_rounds: int = 50) -> DataFrame:
     """(node, component) of all nodes of the links (a, b): the least node reachable, by large and small stars in turn."""
     edges = written(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links")
-    before = None
     for _ in range(most_rounds):
+        # stars are left when no node is above one edge and below another, or above two
+        ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("above"), F.lit(0).alias("below")).unionByName(edges.select(F.col("v").alias("node"), F.lit(0).alias("above"), F.lit(1).alias("below")))
+        ends = ends.groupBy("node").agg(F.sum("above").alias("above"), F.max("below").alias("below"))
+        n, bad = ends.agg(F.coalesce(F.sum("above"), F.lit(0)), F.count_if((F.col("above") > 1) | ((F.col("above") > 0) & (F.col("below") > 0)))).first()
+        if not bad:
+            return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("c"), F.least("u", "m").alias("m"))
-        large = both.join(least, F.col("u") == F.col("c")).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = both.join(least, F.col("u") == F.col("c")).where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         least = large.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("c"), "m")
-        small = large.join(least, F.col("u") == F.col("c"))
-        small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select(F.col("c").alias("u"), F.col("m").alias("v")))
-        edges = written(small.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "stars")
-        now = tuple(edges.agg(F.count(F.lit(1)), F.sum(F.hash("u", "v").cast("long")), F.bit_xor(F.xxhash64("v", "u"))).first())
-        if now == before:
-            break
-        before = now
-    else:
-        raise RuntimeError(f"components still changed after {most_rounds} rounds")
-    return edges.groupBy("u").agg(F.min("v").alias("v")).select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
-
-
-def _large_regions(big: DataFrame, links: DataFrame, n_words: int) -> DataFrame:
+        small = large.join(least, F.col("u") == F.col("c")).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        edges = written(small.unionByName(least.select(F.col("c").alias("u"), F.col("m").alias("v"))).distinct(), "stars", 8 + n // FILE_ROWS)
+    raise RuntimeError(f"components still changed after {most_rounds} rounds")
+
+
+def _large_regions(big: DataFrame, links: DataFrame, n_words: int, num: int, den: int) -> DataFrame:
     """Links of regions (region, node, text) beyond the bound, round by round; ``links`` are those known already."""
     spark = big.sparkSession
     ids = big.select("region", "node").distinct()
@@ -298,14 +303,14 @@ def _large_regions(big: DataFrame, links: DataFrame, n_words: int) -> DataFrame:
         centres = centres.join(chosen.select("region", "chunk", F.col("node").alias("n"), F.lit(True).alias("chosen")), ["region", "chunk", "n"], "left")
         pivots = centres.join(texts, ["region", "n"]).join(blocks, "region").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         pivots = pivots.select("region", "block", "chunk", F.col("n").alias("node"), "text", F.coalesce("chosen", F.lit(False)).alias("chosen"))
-        new = members.withColumn("block", F.col("block").cast("int")).unionByName(pivots).groupBy("region", "block", "chunk").applyInArrow(_block_task(n_words), _LINKS)
+        new = members.withColumn("block", F.col("block").cast("int")).unionByName(pivots).groupBy("region", "block", "chunk").applyInArrow(_block_task(n_words, num, den), _LINKS)
         found = written(found.unionByName(new), "links-found")
         spent = written(spent.unionByName(chosen.select("region", "node")), "spent")
-        take, first = take * 4, False
+        take, first = take * 8, False
 
 
-def near_duplicates(docs: DataFrame, n_words: int = WORDS) -> DataFrame:
-    """doc_id, n_shingles and component_id of every row of ``docs``.
+def near_duplicates(docs: DataFrame, n_words: int = WORDS, num: int = NUM, den: int = DEN) -> DataFrame:
+    """doc_id, n_shingles and component_id of every row of ``docs``, linked from similarity den / num on.
 
     component_id is the smallest doc_id that links lead to, the row's own
     included; a document without words (null and empty texts too) is linked with
@@ -314,7 +319,7 @@ def near_duplicates(docs: DataFrame, n_words: int = WORDS) -> DataFrame:
     Only doc_id and text are read.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sets = written(docs.mapInArrow(_sign_task(n_words), "doc_id long, node long, n_shingles long, signs array<long>"), "sets")
+    sets = written(docs.mapInArrow(_sign_task(n_words, num, den), "doc_id long, node long, n_shingles long, signs array<long>"), "sets")
     signs = sets.select(F.explode("signs").alias("sign"), "node").repartition("sign").sortWithinPartitions("sign", "node")
     met = signs.mapInArrow(_meet, "pivot long, node long").distinct()
     met = written(met, "met")
@@ -328,10 +333,10 @@ def near_duplicates(docs: DataFrame, n_words: int = WORDS) -> DataFrame:
     texts = docs.join(wanted, F.col("doc_id").eqNullSafe(F.col("id"))).select("node", "text")
     placed = members.select(F.col("pivot").alias("region"), "node").join(sizes, "region")
     full = written(placed.join(texts, "node").select("region", "node", "text", "large"), "regions")
-    links = written(full.where("not large").drop("large").groupBy("region").applyInArrow(_region_task(n_words), _LINKS), "links-small")
+    links = written(full.where("not large").drop("large").groupBy("region").applyInArrow(_region_task(n_words, num, den), _LINKS), "links-small")
     big = full.where("large").drop("large")
     if not big.isEmpty():
-        links = links.unionByName(_large_regions(big, links, n_words))
+        links = links.unionByName(_large_regions(big, links, n_words, num, den))
     found = components(links)
     named = found.join(nodes.select("node", "doc_id"), "node").groupBy("component").agg(F.min("doc_id").alias("component_id"))
     of_node = nodes.select("node", "doc_id").join(found.join(named, "component").select("node", "component_id"), "node", "left")
@@ -339,11 +344,11 @@ def near_duplicates(docs: DataFrame, n_words: int = WORDS) -> DataFrame:
     return sets.join(of_node, F.col("node") == F.col("n"), "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
-def keep_first(docs: DataFrame, n_words: int = WORDS) -> DataFrame:
+def keep_first(docs: DataFrame, n_words: int = WORDS, num: int = NUM, den: int = DEN) -> DataFrame:
     """One document of each group of ``near_duplicates`` (the smallest doc_id), all columns kept.
 
     Rows that repeat the kept doc_id all stay; so do rows without words and rows
     with a null id that are linked with no row that has one.
     """
-    gone = near_duplicates(docs, n_words).where("doc_id <> component_id or (doc_id is null and component_id is not null)").select(F.col("doc_id").alias("__gone")).distinct()
+    gone = near_duplicates(docs, n_words, num, den).where("doc_id <> component_id or (doc_id is null and component_id is not null)").select(F.col("doc_id").alias("__gone")).distinct()
     return docs.join(gone, docs["doc_id"].cast("long").eqNullSafe(gone["__gone"]), "left_anti")

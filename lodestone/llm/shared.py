@@ -17,9 +17,13 @@ def folder(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
-def written(df: DataFrame, what: str) -> DataFrame:
-    """``df`` written as Parquet to the shared folder and read again: later steps survive lost executors without computing it anew."""
+def written(df: DataFrame, what: str, files: int | None = None) -> DataFrame:
+    """``df`` written as Parquet to the shared folder and read again: later steps survive lost executors without computing it anew.
+
+    ``files`` is at most how many files (and last tasks) it takes, for tables known to be small.
+    """
     spark = df.sparkSession
     path = f"{folder(spark)}/{what}-{uuid.uuid4().hex}"
+    df = df.coalesce(files) if files else df
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -15,6 +15,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .shared import written
+
 #: ASCII letters, for a lower-casing that leaves all other characters alone.
 _UPPER, _SMALL = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: `[\x20\x09-\x0D]`
@@ -26,11 +28,6 @@ def ascii_lower(text: Column) -> Column:
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, _UPPER, _SMALL))
 
 
-def line_key(line: Column) -> Column:
-    """The line without blanks at both ends, A-Z lower-cased."""
-    return ascii_lower(F.btrim(line, F.lit(BLANKS)))
-
-
 def lines_of(text: Column) -> Column:
     """The lines of a text; null and empty are one empty line."""
     return F.split(F.coalesce(text, F.lit("")), "\n", -1)
@@ -44,13 +41,12 @@ def dropped_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -> Da
     it (all of them there). Rows of one doc_id are one document; a null doc_id
     counts as a document below all others.
     """
-    lines = docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"),
-        F.xxhash64("text").alias("text_hash"),
-        F.posexplode(lines_of(F.col("text"))).alias("pos", "line"),
-    ).where(F.char_length("line") >= min_chars)
-    keyed = lines.withColumn("key", line_key(F.col("line"))).where(F.char_length("key") >= min_chars)
-    keyed = keyed.select(F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(1), "key").alias("h2"), "doc_id", "text_hash", "pos")
+    # letters and blanks are dealt with before the explode, so that each is looked at once
+    trimmed = F.transform(lines_of(ascii_lower(F.col("text"))), lambda line: F.btrim(line, F.lit(BLANKS)))
+    lines = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), F.posexplode(trimmed).alias("pos", "key"))
+    lines = lines.where(F.char_length("key") >= min_chars)
+    # written: the range bounds and both readers below would each go through the texts again
+    keyed = written(lines.select(F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(1), "key").alias("h2"), "doc_id", "text_hash", "pos"), "line-hashes")
     ranged = keyed.repartitionByRange("h1", "h2", "doc_id").sortWithinPartitions("h1", "h2", "doc_id", "pos")
     # the range partitioning keeps a (hash, document) together, so this needs no exchange
     held = ranged.groupBy("h1", "h2", "doc_id").agg(F.collect_set(F.struct("text_hash", "pos")).alias("at"))

@@ -30,8 +30,8 @@ from .shared import written
 
 #: Score from which a text counts as good.
 THRESHOLD = 0.7
-#: Bins of each statistic, and the weight of the ridge.
-BINS, RIDGE = 8, 1e-4
+#: Bins of each statistic, and the weight of the ridge: a fixed part, and one that shrinks with the positives.
+BINS, RIDGE, RIDGE_ROWS = 8, 1e-4, 1.0
 #: Bins with a smaller share of the positives don't vote on the class prior.
 LEAST_SHARE = 0.05
 
@@ -160,18 +160,26 @@ def _matrix(batch: pa.RecordBatch) -> np.ndarray:
     return batch.column("stats").flatten().to_numpy(zero_copy_only=False).reshape(-1, len(STATISTICS))
 
 
+def _flag(batch: pa.RecordBatch, name: str) -> np.ndarray:
+    return batch.column(name).to_numpy(zero_copy_only=False).astype(bool)
+
+
+def _sums_of(totals: np.ndarray) -> pa.RecordBatch:
+    which, index = np.nonzero(totals)
+    return pa.RecordBatch.from_arrays([pa.array(which, pa.int32()), pa.array(index, pa.int32()), pa.array(totals[which, index])], names=["which", "i", "v"])
+
+
 def _moments(cuts):
-    """Sums over a task: for U (0) and P (1) the count, the first and the second moments, as (set, index, value)."""
+    """Sums over a task for U and P of each half (0 to 3): the count, the first and the second moments, as (set, index, value)."""
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         size = 1 + sum(len(c) + 1 for c in cuts)
-        second = np.zeros((2, size, size))
+        second = np.zeros((4, size, size))
         for batch in batches:
-            x, positive = _bins(_matrix(batch), cuts), batch.column("positive").to_numpy(zero_copy_only=False).astype(bool)
-            second[0] += x.T @ x
-            second[1] += x[positive].T @ x[positive]
-        which, index = np.nonzero(second.reshape(2, -1))
-        yield pa.RecordBatch.from_arrays([pa.array(which, pa.int32()), pa.array(index, pa.int32()), pa.array(second.reshape(2, -1)[which, index])], names=["which", "i", "v"])
+            x, positive, half = _bins(_matrix(batch), cuts), _flag(batch, "positive"), _flag(batch, "half")
+            for k, take in enumerate((~half, ~half & positive, half, half & positive)):
+                second[k] += x[take].T @ x[take]
+        yield _sums_of(second.reshape(4, -1))
 
     return sums
 
@@ -212,15 +220,18 @@ def _posterior(good: np.ndarray, all_: np.ndarray, prior: float) -> np.ndarray:
 GRID = np.linspace(-3, 3, 241)
 
 
-def _histogram(model: Model):
+def _histogram(halves: tuple[Model, Model]):
+    """Counts of U and P by bin of the linear score that the model of the other half gives."""
+
     def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = np.zeros((2, len(GRID)))
         for batch in batches:
-            at = np.clip(np.searchsorted(GRID, model.linear(_matrix(batch))), 0, len(GRID) - 1)
-            n[0] += np.bincount(at, minlength=len(GRID))
-            n[1] += np.bincount(at[batch.column("positive").to_numpy(zero_copy_only=False).astype(bool)], minlength=len(GRID))
-        which, index = np.nonzero(n)
-        yield pa.RecordBatch.from_arrays([pa.array(which, pa.int32()), pa.array(index, pa.int32()), pa.array(n[which, index])], names=["which", "i", "v"])
+            stats, positive, half = _matrix(batch), _flag(batch, "positive"), _flag(batch, "half")
+            for own, model in ((half, halves[0]), (~half, halves[1])):
+                at = np.clip(np.searchsorted(GRID, model.linear(stats[own])), 0, len(GRID) - 1)
+                n[0] += np.bincount(at, minlength=len(GRID))
+                n[1] += np.bincount(at[positive[own]], minlength=len(GRID))
+        yield _sums_of(n)
 
     return counts
 
@@ -237,26 +248,30 @@ def fit(stats: DataFrame, labels: DataFrame, prior: float | None = None, bins: i
     spark = stats.sparkSession
     marked = labels.where("quality is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("quality"), F.max("quality").alias("most"))
     marked = marked.select(F.col("doc_id").alias("__id"), F.when(F.col("quality") == F.col("most"), F.col("quality")).alias("quality"))
-    rows = written(stats.join(marked, F.col("doc_id") == F.col("__id"), "left").select("stats", F.coalesce(F.col("quality") == 1, F.lit(False)).alias("positive"), (F.col("quality") == 0).alias("negative")), "pu-rows")
+    rows = written(stats.join(marked, F.col("doc_id") == F.col("__id"), "left").select("stats", (F.pmod(F.xxhash64("doc_id", "stats"), F.lit(2)) == 1).alias("half"), F.coalesce(F.col("quality") == 1, F.lit(False)).alias("positive"), (F.col("quality") == 0).alias("negative")), "pu-rows")
     q = [i / bins for i in range(1, bins)]
     seen = rows.agg(F.count(F.lit(1)).alias("n"), F.count_if("positive").alias("p"), F.count_if(F.coalesce("negative", F.lit(False))).alias("z"), *[F.percentile_approx(F.col("stats")[k], q, 1000).alias(name) for k, name in enumerate(STATISTICS)]).first()
     if not seen["p"]:
         return Model((), np.zeros(0), GRID, GRID, prior if prior is not None else 0.5)
     cuts = tuple(np.unique(np.array(seen[name], np.float32)) for name in STATISTICS)
-    total = lambda make, size: _gather(rows.mapInArrow(make, "which int, i int, v double").groupBy("which", "i").agg(F.sum("v").alias("v")), size)
+    total = lambda make, sets, size: _gather(rows.mapInArrow(make, "which int, i int, v double").groupBy("which", "i").agg(F.sum("v").alias("v")), sets, size)
     size = 1 + sum(len(c) + 1 for c in cuts)
-    u, p = total(_moments(cuts), size * size).reshape(2, size, size)
+    u0, p0, u1, p1 = total(_moments(cuts), 4, size * size).reshape(4, size, size)
+    u, p = u0 + u1, p0 + p1
     if prior is None:
         voting = p[0] >= LEAST_SHARE * p[0, 0]
         prior = seen["p"] / (seen["p"] + seen["z"]) if seen["z"] else float(min(1.0, ((u[0] / u[0, 0])[voting] / (p[0] / p[0, 0])[voting]).min()))
-    model = Model(cuts, _minimise(p, u, prior, ridge), GRID, GRID, prior)
-    everything, good = total(_histogram(model), len(GRID))
-    return Model(cuts, model.weights, GRID, _posterior(good, everything, prior), prior)
+    made = lambda p, u: Model(cuts, _minimise(p, u, prior, ridge + RIDGE_ROWS / p[0, 0]), GRID, GRID, prior)
+    whole = made(p, u)
+    # the posterior is measured on texts that the weights have not seen, or the positives would look too good
+    halves = (made(p0, u0), made(p1, u1)) if p0[0, 0] and p1[0, 0] else (whole, whole)
+    everything, good = total(_histogram(halves), 2, len(GRID))
+    return Model(cuts, whole.weights, GRID, _posterior(good, everything, prior), prior)
 
 
-def _gather(sums: DataFrame, size: int) -> np.ndarray:
-    """At most 2 * size rows: the sums, whatever the number of documents."""
-    out = np.zeros((2, size))
+def _gather(sums: DataFrame, sets: int, size: int) -> np.ndarray:
+    """At most sets * size rows: the sums, whatever the number of documents."""
+    out = np.zeros((sets, size))
     for which, i, v in sums.collect():
         out[which, i] = v
     return out

@@ -12,7 +12,10 @@ anywhere would each hold everything. Pivots are picked where texts can be close:
    hash into m > k segments, so partners have m - k equal segments at least. Nodes
    with an equal segment meet, and the least of them is their pivot: a region is a
    pivot and all nodes that meet it, and every pair that can link is in a region.
-3. In a region each node's distance from the pivot is computed. Nodes within 0.1
+3. Regions are narrowed by parity sketches: bit j is the parity of the elements that hash
+   to j, so sketches differ in no more bits than sets do in elements. Nodes that this
+   bound leaves connected stay together, under the least of them.
+4. In a region each node's distance from the pivot is computed. Nodes within 0.1
    are linked. Others are compared where the windows of the triangle inequality
    (distances from the pivot that differ by 0.1 at most) leave a link possible.
    Regions beyond a bound are cut into blocks, and split by further pivots, round by
@@ -37,6 +40,8 @@ WORDS = 3
 NUM, DEN = 100, 90
 #: A region up to these many nodes and shingles is joined in one task; larger ones are cut into blocks of as many nodes.
 REGION_NODES, REGION_SHINGLES = 256, 1_000_000
+#: Words of 64 bits in a parity sketch, and nodes up to which a region is narrowed (in one task) by sketches.
+SKETCH, NARROW_NODES = 16, 2048
 #: Pivots of the first round in a large region; each round takes eight times as many.
 FIRST_PIVOTS = 256
 #: Rows (a long and two ids) that may be broadcast; beyond it texts are fetched by a shuffle.
@@ -85,6 +90,16 @@ def nodes_of(keys: np.ndarray, first: np.ndarray) -> np.ndarray:
     return total
 
 
+def sketches(keys: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Parity sketch of each set, a row of ``SKETCH`` words."""
+    n = len(first) - 1
+    spread = ts.mix(keys ^ np.uint64(0x632BE59BD9B4E019))
+    words = np.zeros((n, SKETCH), np.uint64)
+    word = (spread & np.uint64(SKETCH - 1)).astype(np.int64)
+    np.bitwise_xor.at(words, (np.repeat(np.arange(n), np.diff(first)), word), np.uint64(1) << (spread >> np.uint64(58)))
+    return words
+
+
 class Rings:
     """Bounds of the rings: a partner of a set in ring j is in ring j - 1, j or j + 1."""
 
@@ -147,7 +162,8 @@ def _sign_task(n_words: int, num: int, den: int):
             order = np.argsort(of, kind="stable")
             at = np.searchsorted(of[order], np.arange(len(nodes) + 1))
             lists = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(sign[order].view(np.int64)))
-            yield pa.RecordBatch.from_arrays([piece.column("doc_id"), pa.array(nodes.view(np.int64)), pa.array(np.diff(first)), lists], names=["doc_id", "node", "n_shingles", "signs"])
+            sketch = pa.array([row.tobytes() for row in sketches(keys, first)], pa.binary())
+            yield pa.RecordBatch.from_arrays([piece.column("doc_id"), pa.array(nodes.view(np.int64)), pa.array(np.diff(first)), sketch, lists], names=["doc_id", "node", "n_shingles", "sketch", "signs"])
 
     return signs
 
@@ -175,6 +191,28 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["pivot", "node"])
 
 
+def _narrow_task(num: int, den: int):
+    """From (region, node, n, sketch) of one region: (pivot, node) of what may still link, by connected part."""
+
+    def narrow(key, table):
+        node, one = np.unique(table.column("node").to_numpy(), return_index=True)
+        size = table.column("n").to_numpy()[one]
+        words = np.frombuffer(b"".join(table.column("sketch").take(pa.array(one)).to_pylist()), np.uint64).reshape(-1, SKETCH)
+        part = np.arange(len(node))
+        for i in range(len(node)):
+            most = (size[i] + size) * (num - den) // (num + den)
+            near = np.flatnonzero((np.bitwise_count(words ^ words[i]).sum(1) <= most) & (part != part[i]))
+            for old in np.unique(part[near]):
+                part[part == old] = part[i]
+        _, which, count = np.unique(part, return_inverse=True, return_counts=True)
+        least = np.full(len(count), np.iinfo(np.int64).max)
+        np.minimum.at(least, which, node)
+        take = count[which] > 1
+        return pa.table({"pivot": least[which][take], "node": node[take]})
+
+    return narrow
+
+
 class _Sets:
     """The sets of a region as codes, for distances from one set to all."""
 
@@ -319,13 +357,20 @@ def near_duplicates(docs: DataFrame, n_words: int = WORDS, num: int = NUM, den:
     Only doc_id and text are read.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sets = written(docs.mapInArrow(_sign_task(n_words, num, den), "doc_id long, node long, n_shingles long, signs array<long>"), "sets")
+    sets = written(docs.mapInArrow(_sign_task(n_words, num, den), "doc_id long, node long, n_shingles long, sketch binary, signs array<long>"), "sets")
     signs = sets.select(F.explode("signs").alias("sign"), "node").repartition("sign").sortWithinPartitions("sign", "node")
     met = signs.mapInArrow(_meet, "pivot long, node long").distinct()
     met = written(met, "met")
     regions = met.unionByName(met.select("pivot", F.col("pivot").alias("node")).distinct())
     nodes = sets.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"))
-    members = written(regions.join(nodes, "node"), "members")
+    # one row of each node has its sketch; copies of that row don't matter
+    sketched = sets.select(F.col("doc_id").alias("d"), F.col("node").alias("s"), "sketch")
+    placed = regions.join(nodes.where("doc_id is not null"), "node").join(sketched, (F.col("doc_id") == F.col("d")) & (F.col("node") == F.col("s"))).select("pivot", "node", "n", "sketch")
+    counts = regions.groupBy(F.col("pivot").alias("p")).agg((F.count(F.lit(1)) > NARROW_NODES).alias("wide"))
+    placed = placed.join(counts, F.col("pivot") == F.col("p")).drop("p")
+    narrowed = placed.where("not wide").drop("wide").groupBy("pivot").applyInArrow(_narrow_task(num, den), "pivot long, node long")
+    narrowed = narrowed.unionByName(placed.where("wide").select("pivot", "node")).distinct()
+    members = written(narrowed.join(nodes, "node"), "members")
     sizes = members.groupBy("pivot").agg((F.count(F.lit(1)) > REGION_NODES).alias("many"), (F.sum("n") > REGION_SHINGLES).alias("heavy"), F.count(F.lit(1)).alias("size"))
     sizes = sizes.select(F.col("pivot").alias("region"), (F.col("many") | (F.col("heavy") & (F.col("size") > 2))).alias("large"))
     wanted = members.select(F.col("doc_id").alias("id"), F.col("node")).distinct()

@@ -38,14 +38,14 @@ LEFT = SPAN - GRAM
 #: Where a text ends; never a byte of UTF-8.
 OUTSIDE = 0xFF
 #: Bytes of text for each part of the two exchanges.
-PART_BYTES = 24 << 20
+PART_BYTES = 16 << 20
 #: Anchors or suffixes that a task holds before it sends runs off.
-RUN = 1 << 20
+RUN = 1 << 18
 #: Documents of an anchor beyond which its strings are counted by aggregation.
 HOT_GROUP = 20_000
 
 _RUNS = "part int, run binary"
-_PLACES = "row long, places array<int>"
+_PLACES = "doc_id long, tag int, places array<int>"
 
 
 def anchors(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -80,6 +80,11 @@ class _Reader:
     def __init__(self, run: bytes) -> None:
         self.body, self.at = zstandard.ZstdDecompressor().decompress(run[8:], max_output_size=int.from_bytes(run[:8], "little") or 1), 0
 
+    def keys(self, n: int) -> np.ndarray:
+        out = np.zeros(n, _KEY)
+        out["doc"], out["tag"] = np.cumsum(self.take(n, np.int64)), self.take(n, np.int32)
+        return out
+
     def take(self, n: int, kind: type) -> np.ndarray:
         size = np.dtype(kind).itemsize
         planes = np.frombuffer(self.body, np.uint8, n * size, self.at).reshape(size, n)
@@ -87,6 +92,21 @@ class _Reader:
         return np.ascontiguousarray(planes.T).view(kind).reshape(n)
 
 
+#: Which text of which document: a second text under one doc_id has another tag.
+_KEY = np.dtype([("doc", np.int64), ("tag", np.int32)])
+
+
+def _keys(piece: pa.RecordBatch) -> np.ndarray:
+    keys = np.zeros(piece.num_rows, _KEY)
+    keys["doc"], keys["tag"] = piece.column("doc_id").to_numpy(zero_copy_only=False), piece.column("tag").to_numpy()
+    return keys
+
+
+def _key_steps(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted keys as steps, which compress well."""
+    return np.diff(keys["doc"], prepend=0), np.ascontiguousarray(keys["tag"])
+
+
 def _of_parts(hashes: np.ndarray, parts: int) -> np.ndarray:
     return ((hashes >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
 
@@ -96,25 +116,23 @@ def _anchor_task(parts: int):
         held: list[tuple] = []
 
         def out() -> pa.RecordBatch:
-            h, doc, row, place = (np.concatenate(x) for x in zip(*held, strict=True))
+            h, key, place = (np.concatenate(x) for x in zip(*held, strict=True))
             held.clear()
             order = np.argsort(h)
-            h, doc, row, place = h[order], doc[order], row[order], place[order]
+            h, key, place = h[order], key[order], place[order]
             cut = np.searchsorted(_of_parts(h, parts), np.arange(parts + 1))
             sent: list[bytes] = []
             for a, b in zip(cut[:-1], cut[1:], strict=True):
-                rows, which = np.unique(row[a:b], return_inverse=True)
-                docs = np.zeros(len(rows), np.int64)
-                docs[which] = doc[a:b]
+                keys, which = np.unique(key[a:b], return_inverse=True)
                 steps = np.diff(h[a:b], prepend=np.uint64(0))
-                sent.append(np.array([b - a, len(rows)], np.int64).tobytes() + _packed(steps, rows, docs, which.astype(np.uint32), place[a:b].astype(np.uint32)))
+                sent.append(np.array([b - a, len(keys)], np.int64).tobytes() + _packed(steps, *_key_steps(keys), which.astype(np.uint32), place[a:b].astype(np.uint32)))
             return pa.RecordBatch.from_arrays([pa.array(np.arange(parts, dtype=np.int32)), pa.array(sent, pa.binary())], names=["part", "run"])
 
         for piece in ts.pieces(batches):
             piece = piece.filter(piece.column("doc_id").is_valid())
             raw, offsets = ts.flat(piece.column("text"))
             h, of, at = anchors(raw, offsets)
-            held.append((h, piece.column("doc_id").to_numpy()[of], piece.column("row").to_numpy()[of], at - offsets[of]))
+            held.append((h, _keys(piece)[of], at - offsets[of]))
             if sum(len(x[0]) for x in held) > RUN:
                 yield out()
         if held:
@@ -137,39 +155,38 @@ def _by_part(batches: Iterator[pa.RecordBatch]) -> Iterator[list[bytes]]:
         yield runs
 
 
-def _lists(row: np.ndarray, values: np.ndarray, *more: np.ndarray) -> tuple[pa.Array, list[pa.Array]]:
-    """One list of values for each row."""
-    order = np.argsort(row, kind="stable")
-    row = row[order]
-    first = np.flatnonzero(np.concatenate((np.ones(min(1, len(row)), bool), row[1:] != row[:-1])))
-    at = pa.array(np.concatenate((first, [len(row)])).astype(np.int32))
-    return pa.array(row[first]), [pa.ListArray.from_arrays(at, pa.array(v[order].astype(np.int32))) for v in (values, *more)]
+def _lists(key: np.ndarray, *values: np.ndarray) -> list[pa.Array]:
+    """Keys, and for each one list of each kind of value."""
+    keys, which = np.unique(key, return_inverse=True)
+    order = np.argsort(which, kind="stable")
+    at = pa.array(np.searchsorted(which[order], np.arange(len(keys) + 1)).astype(np.int32))
+    lists = [pa.ListArray.from_arrays(at, pa.array(v[order].astype(np.int32))) for v in values]
+    return [pa.array(keys["doc"]), pa.array(keys["tag"]), *lists]
 
 
 def _shared_task(hot_group: int):
-    """Anchors of two documents or more: (row, places, hot), places of hot anchors in ``hot``."""
+    """Anchors of two documents or more: (doc_id, tag, places, hot), hot anchors apart."""
 
     def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for runs in _by_part(batches):
             columns = []
             for run in runs:
-                n, n_rows = np.frombuffer(run, np.int64, 2)
+                n, n_keys = np.frombuffer(run, np.int64, 2)
                 reader = _Reader(run[16:])
                 h = np.cumsum(reader.take(n, np.uint64), dtype=np.uint64)
-                rows, docs = reader.take(n_rows, np.int64), reader.take(n_rows, np.int64)
-                which = reader.take(n, np.uint32)
-                columns.append((h, rows[which], docs[which], reader.take(n, np.uint32)))
-            h, row, doc, place = (np.concatenate(x) for x in zip(*columns, strict=True))
+                keys = reader.keys(n_keys)
+                columns.append((h, keys[reader.take(n, np.uint32)], reader.take(n, np.uint32)))
+            h, key, place = (np.concatenate(x) for x in zip(*columns, strict=True))
             order = np.argsort(h, kind="stable")
-            h, row, doc, place = h[order], row[order], doc[order], place[order]
+            h, key, place = h[order], key[order], place[order]
             first = np.flatnonzero(np.concatenate((np.ones(min(1, len(h)), bool), h[1:] != h[:-1])))
             size = np.diff(np.concatenate((first, [len(h)])))
-            several = np.minimum.reduceat(doc, first) < np.maximum.reduceat(doc, first) if len(first) else np.zeros(0, bool)
+            several = np.minimum.reduceat(key["doc"], first) < np.maximum.reduceat(key["doc"], first) if len(first) else np.zeros(0, bool)
             for hot in (False, True):
                 take = np.repeat(several & ((size > hot_group) == hot), size)
-                rows, (places,) = _lists(row[take], place[take])
-                if len(rows):
-                    yield pa.RecordBatch.from_arrays([rows, places, pa.array(np.full(len(rows), hot))], names=["row", "places", "hot"])
+                if take.any():
+                    lists = _lists(key[take], place[take])
+                    yield pa.RecordBatch.from_arrays([*lists, pa.array(np.full(len(lists[0]), hot))], names=["doc_id", "tag", "places", "hot"])
 
     return shared
 
@@ -195,7 +212,7 @@ def _suffix_task(parts: int):
         held: list[tuple] = []
 
         def out() -> pa.RecordBatch:
-            doc, row, place, context = (np.concatenate(x) for x in zip(*held, strict=True))
+            key, place, context = (np.concatenate(x) for x in zip(*held, strict=True))
             held.clear()
             right = np.ascontiguousarray(context[:, LEFT:])
             words = np.ascontiguousarray(right[:, :GRAM]).view(np.uint64)
@@ -212,17 +229,15 @@ def _suffix_task(parts: int):
                 rest = suffix[np.arange(SPAN)[None, :] >= shared[:, None]]
                 change = left.copy()
                 change[1:] ^= left[:-1]
-                rows, which = np.unique(row[own], return_inverse=True)
-                docs = np.zeros(len(rows), np.int64)
-                docs[which] = doc[own]
-                body = _packed(shared, rest, change.ravel(), rows, docs, which.astype(np.uint32), place[own].astype(np.uint32))
-                sent.append(np.array([len(own), len(rows), len(rest)], np.int64).tobytes() + body)
+                keys, which = np.unique(key[own], return_inverse=True)
+                body = _packed(shared, rest, change.ravel(), *_key_steps(keys), which.astype(np.uint32), place[own].astype(np.uint32))
+                sent.append(np.array([len(own), len(keys), len(rest)], np.int64).tobytes() + body)
             return pa.RecordBatch.from_arrays([pa.array(np.arange(parts, dtype=np.int32)), pa.array(sent, pa.binary())], names=["part", "run"])
 
         for piece in ts.pieces(batches):
             of, place, context = _contexts(piece)
-            held.append((piece.column("doc_id").to_numpy()[of], piece.column("row").to_numpy()[of], place, context))
-            if sum(len(x[0]) for x in held) > RUN // 4:
+            held.append((_keys(piece)[of], place, context))
+            if sum(len(x[0]) for x in held) > RUN:
                 yield out()
         if held:
             yield out()
@@ -234,14 +249,13 @@ class _Run:
     """A run as it was sent: sorted suffixes, their common prefixes, and where they come from."""
 
     def __init__(self, run: bytes) -> None:
-        n, n_rows, n_rest = np.frombuffer(run, np.int64, 3)
+        n, n_keys, n_rest = np.frombuffer(run, np.int64, 3)
         reader = _Reader(run[24:])
         self.shared = reader.take(n, np.uint8)
         rest = reader.take(n_rest, np.uint8)
         self.left = np.bitwise_xor.accumulate(reader.take(n * LEFT, np.uint8).reshape(n, LEFT), axis=0)
-        rows, docs = reader.take(n_rows, np.int64), reader.take(n_rows, np.int64)
-        which = reader.take(n, np.uint32)
-        self.row, self.doc, self.place = rows[which], docs[which], reader.take(n, np.uint32).astype(np.int64)
+        keys = reader.keys(n_keys)
+        self.key, self.place = keys[reader.take(n, np.uint32)], reader.take(n, np.uint32).astype(np.int64)
         own = SPAN - self.shared.astype(np.int64)
         begin = np.cumsum(own) - own
         self.right = np.empty((n, SPAN), np.uint8)
@@ -312,11 +326,10 @@ def _repeats(doc: np.ndarray, left: np.ndarray, right: np.ndarray, common: np.nd
     low, high = np.full(n, LEFT + 1), np.full(n, -1)
     most_o = np.where((hole := left[:, ::-1] == OUTSIDE).any(1), hole.argmax(1), LEFT)
     least_o = np.maximum(0, SPAN - np.where((hole := right == OUTSIDE).any(1), hole.argmax(1), SPAN))
-    sums = np.zeros(n, np.uint64)
-    lefts = [sums]
-    for o in range(1, LEFT + 1):
-        sums = ts.mix(sums * np.uint64(0x9E3779B97F4A7C55) + left[:, LEFT - o].astype(np.uint64) + np.uint64(1))
-        lefts.append(sums)
+
+    def further(sums: np.ndarray, o: int, which: np.ndarray) -> np.ndarray:
+        """Hashes of o bytes to the left, from those of one less."""
+        return ts.mix(sums * np.uint64(0x9E3779B97F4A7C55) + left[which, LEFT - o].astype(np.uint64) + np.uint64(1))
 
     def smaller(which: np.ndarray, runs: np.ndarray, lefts_: np.ndarray) -> np.ndarray:
         key = ts.mix(lefts_ + ts.mix(runs.astype(np.uint64)))
@@ -331,8 +344,10 @@ def _repeats(doc: np.ndarray, left: np.ndarray, right: np.ndarray, common: np.nd
     if not n:
         return low, high
     # whole contexts that a smaller document has too are done with; the others go on
-    every = np.arange(n)
-    copy = smaller(every, np.cumsum(common < SPAN), lefts[LEFT])
+    every, sums = np.arange(n), np.zeros(n, np.uint64)
+    for o in range(1, LEFT + 1):
+        sums = further(sums, o, every)
+    copy = smaller(every, np.cumsum(common < SPAN), sums)
     whole = copy & (least_o <= most_o)
     low[whole], high[whole] = least_o[whole], most_o[whole]
     rest = every[~copy]
@@ -341,38 +356,39 @@ def _repeats(doc: np.ndarray, left: np.ndarray, right: np.ndarray, common: np.nd
     near = np.concatenate(([0], between[:-1]))
     # a suffix whose neighbours share less than the anchor with it is alone
     company = (near >= GRAM) | (np.concatenate((near[1:], [0])) >= GRAM)
+    sums = np.zeros(len(rest), np.uint64)
     for o in range(LEFT + 1):
+        sums = further(sums, o, rest) if o else sums
         runs = np.cumsum(near < SPAN - o)
         use = company & (least_o[rest] <= o) & (most_o[rest] >= o)
         which = rest[use]
         if not len(which):
             continue
-        hit = which[smaller(which, runs[use], lefts[o][which])]
+        hit = which[smaller(which, runs[use], sums[use])]
         low[hit], high[hit] = np.minimum(low[hit], o), np.maximum(high[hit], o)
     return low, high
 
 
 def _merge_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From the runs of each part: (row, starts, ends) of the bytes that go."""
+    """From the runs of each part: (doc_id, tag, starts, ends) of the bytes that go."""
     for blobs in _by_part(batches):
-        runs = [r for r in map(_Run, blobs) if len(r.row)]
+        runs = [r for r in map(_Run, blobs) if len(r.key)]
         if not runs:
             continue
         data = [r.right.tobytes() for r in runs]
         values = [[int.from_bytes(d[i : i + SPAN], "big") for i in range(0, len(d), SPAN)] for d in data]
         of_run, index, common = merge(values, [r.shared.tolist() for r in runs])
-        base = np.concatenate(([0], np.cumsum([len(r.row) for r in runs])))
+        base = np.concatenate(([0], np.cumsum([len(r.key) for r in runs])))
         order = base[np.array(of_run)] + np.array(index)
-        doc, row, place, left, right = (np.concatenate([getattr(r, c) for r in runs])[order] for c in ("doc", "row", "place", "left", "right"))
-        low, high = _repeats(doc, left, right, np.array(common))
+        key, place, left, right = (np.concatenate([getattr(r, c) for r in runs])[order] for c in ("key", "place", "left", "right"))
+        low, high = _repeats(np.ascontiguousarray(key["doc"]), left, right, np.array(common))
         hit = high >= 0
-        rows, (starts, ends) = _lists(row[hit], place[hit] - high[hit], place[hit] - low[hit] + SPAN)
-        if len(rows):
-            yield pa.RecordBatch.from_arrays([rows, starts, ends], names=["row", "starts", "ends"])
+        if hit.any():
+            yield pa.RecordBatch.from_arrays(_lists(key[hit], place[hit] - high[hit], place[hit] - low[hit] + SPAN), names=["doc_id", "tag", "starts", "ends"])
 
 
 def _strings_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """All strings around hot anchors: (key, row, doc_id, start)."""
+    """All strings around hot anchors: (key, doc_id, tag, start)."""
     for piece in ts.pieces(batches):
         raw, offsets = ts.flat(piece.column("text"))
         of, place, _ = _contexts(piece)
@@ -382,8 +398,8 @@ def _strings_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         starts, one = np.unique(starts, return_index=True)
         of = of[one]
         keys = ts.span_hashes(ts.prefix_hashes(raw), starts, starts + SPAN)
-        arrays = [pa.array(keys.view(np.int64)), piece.column("row").take(pa.array(of)), piece.column("doc_id").take(pa.array(of)), pa.array((starts - offsets[of]).astype(np.int32))]
-        yield pa.RecordBatch.from_arrays(arrays, names=["key", "row", "doc_id", "start"])
+        arrays = [pa.array(keys.view(np.int64)), piece.column("doc_id").take(pa.array(of)), piece.column("tag").take(pa.array(of)), pa.array((starts - offsets[of]).astype(np.int32))]
+        yield pa.RecordBatch.from_arrays(arrays, names=["key", "doc_id", "tag", "start"])
 
 
 def _cut_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -418,27 +434,42 @@ def _digested(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def removed_spans(docs: DataFrame, hot_group: int = HOT_GROUP) -> DataFrame:
     """(doc_id, text, copy, starts, ends) of every row: the bytes that go, as byte offsets that may overlap; all of a copy."""
     spark = docs.sparkSession
-    named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("row", F.xxhash64("doc_id", "text"))
+    every = docs.select("doc_id", "text")
+    if every.dtypes != [("doc_id", "bigint"), ("text", "string")]:
+        every = every.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    named = every.where("doc_id is not null")
     size = named.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     parts = max(1, -(-size // PART_BYTES))
     n = max(parts, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    # one exchange of the texts serves the anchors, the suffixes and the cut
-    texts = named.repartition(n, "row")
-    digest = named.where("doc_id is not null and text is not null").select("row", "doc_id", F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(1), "text").alias("h2"))
+    digest = named.where("text is not null").select("doc_id", F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(1), "text").alias("h2"))
+    # texts that share a doc_id are told apart by a tag; there are hardly ever any
+    several = digest.groupBy("doc_id").agg((F.min("h1") < F.max("h1")).alias("several")).where("several")
+    tag = F.when(F.col("several"), F.pmod(F.col("h1"), F.lit((1 << 31) - 1))).otherwise(0).cast("int").alias("tag")
     least = digest.groupBy("h1", "h2").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("h1").alias("g1"), F.col("h2").alias("g2"), "least")
-    copies = digest.join(least, (F.col("h1") == F.col("g1")) & (F.col("h2") == F.col("g2"))).where("doc_id > least").select("row").distinct()
-    single = texts.join(copies.hint("shuffle_hash"), "row", "left_anti")
+    copies = digest.join(least, (F.col("h1") == F.col("g1")) & (F.col("h2") == F.col("g2"))).where("doc_id > least").select("doc_id", "h1").distinct()
+    copies = copies.join(several, "doc_id", "left").select("doc_id", tag, F.lit(True).alias("copy"))
+
+    def by_id(left: DataFrame, right: DataFrame, how: str) -> DataFrame:
+        """Joined on doc_id and tag; only the first is a key of the join, so that the exchange of the texts serves."""
+        right = right.withColumnsRenamed({"doc_id": "__id", "tag": "__tag"}).hint("shuffle_hash")
+        return left.join(right, (F.col("doc_id") == F.col("__id")) & (F.col("tag") - F.col("__tag") == 0), how).drop("__id", "__tag")
+
+    # one exchange of the texts serves the anchors, the suffixes and the cut
+    texts = named.repartition(n, "doc_id").join(several.hint("shuffle_hash"), "doc_id", "left").withColumn("h1", F.xxhash64("text")).select("doc_id", tag, "text")
+    texts = by_id(texts, copies, "left")
+    single = texts.where("copy is null").drop("copy")
     dealt = lambda runs: runs.repartition(parts, "part").sortWithinPartitions("part")
     shared = dealt(single.mapInArrow(_anchor_task(parts), _RUNS)).mapInArrow(_shared_task(hot_group), _PLACES + ", hot boolean")
-    places = lambda hot: single.join(shared.where(F.col("hot") == hot).groupBy("row").agg(F.flatten(F.collect_list("places")).alias("places")).hint("shuffle_hash"), "row").select("doc_id", "row", "text", "places")
-    spans = dealt(places(False).mapInArrow(_suffix_task(parts), _RUNS)).mapInArrow(_merge_task, "row long, starts array<int>, ends array<int>")
-    strings = places(True).mapInArrow(_strings_task, "key long, row long, doc_id long, start int")
+    listed = lambda df, *names: df.groupBy("doc_id", "tag").agg(*[F.flatten(F.collect_list(c)).alias(c) for c in names])
+    places = lambda hot: by_id(single, listed(shared.where(F.col("hot") == hot), "places"), "inner").select("doc_id", "tag", "text", "places")
+    spans = dealt(places(False).mapInArrow(_suffix_task(parts), _RUNS)).mapInArrow(_merge_task, "doc_id long, tag int, starts array<int>, ends array<int>")
+    strings = places(True).mapInArrow(_strings_task, "key long, doc_id long, tag int, start int")
     first = strings.groupBy("key").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").select(F.col("key").alias("k"), "least")
-    hot = strings.join(first, F.col("key") == F.col("k")).where("doc_id > least").groupBy("row").agg(F.collect_list("start").alias("starts"))
-    hot = hot.select("row", "starts", F.transform("starts", lambda s: s + SPAN).alias("ends"))
-    spans = spans.unionByName(hot).groupBy("row").agg(F.flatten(F.collect_list("starts")).alias("starts"), F.flatten(F.collect_list("ends")).alias("ends"))
-    marked = texts.join(copies.withColumn("copy", F.lit(True)).hint("shuffle_hash"), "row", "left").join(spans.hint("shuffle_hash"), "row", "left")
-    return marked.select("doc_id", "text", F.coalesce("copy", F.lit(False)).alias("copy"), "starts", "ends")
+    hot = strings.join(first, F.col("key") == F.col("k")).where("doc_id > least").select("doc_id", "tag", F.array("start").alias("starts"), F.array(F.col("start") + SPAN).alias("ends"))
+    marked = by_id(texts, listed(spans.unionByName(hot), "starts", "ends"), "left")
+    marked = marked.select("doc_id", "text", F.coalesce("copy", F.lit(False)).alias("copy"), "starts", "ends")
+    nameless = every.where("doc_id is null").select("doc_id", "text", F.lit(False).alias("copy"), F.lit(None).cast("array<int>").alias("starts"), F.lit(None).cast("array<int>").alias("ends"))
+    return marked.unionByName(nameless)
 
 
 def dedup_substrings(docs: DataFrame, digest: bool = False) -> DataFrame:

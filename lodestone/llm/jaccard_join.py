@@ -40,8 +40,8 @@ WORDS = 3
 NUM, DEN = 100, 90
 #: A region up to these many nodes and shingles is joined in one task; larger ones are cut into blocks of as many nodes.
 REGION_NODES, REGION_SHINGLES = 256, 1_000_000
-#: Words of 64 bits in a parity sketch, and nodes up to which a region is narrowed (in one task) by sketches.
-SKETCH, NARROW_NODES = 16, 2048
+#: Words of 64 bits in the least parity sketch, and nodes up to which a region is narrowed (in one task) by sketches.
+LEAST_SKETCH, NARROW_NODES = 8, 2048
 #: Pivots of the first round in a large region; each round takes eight times as many.
 FIRST_PIVOTS = 256
 #: Rows (a long and two ids) that may be broadcast; beyond it texts are fetched by a shuffle.
@@ -90,14 +90,19 @@ def nodes_of(keys: np.ndarray, first: np.ndarray) -> np.ndarray:
     return total
 
 
-def sketches(keys: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """Parity sketch of each set, a row of ``SKETCH`` words."""
-    n = len(first) - 1
+def sketches(keys: np.ndarray, first: np.ndarray) -> list[bytes]:
+    """Parity sketch of each set: a power of two of bits, one for each element at least.
+
+    Halves of a sketch, one xor the other, are the sketch of half the size.
+    """
+    size = np.diff(first)
+    n_words = np.maximum(LEAST_SKETCH, 1 << np.ceil(np.log2(np.maximum(size, 64) / 64)).astype(np.int64))
+    base = np.concatenate(([0], np.cumsum(n_words)))
+    of = np.repeat(np.arange(len(size)), size)
     spread = ts.mix(keys ^ np.uint64(0x632BE59BD9B4E019))
-    words = np.zeros((n, SKETCH), np.uint64)
-    word = (spread & np.uint64(SKETCH - 1)).astype(np.int64)
-    np.bitwise_xor.at(words, (np.repeat(np.arange(n), np.diff(first)), word), np.uint64(1) << (spread >> np.uint64(58)))
-    return words
+    words = np.zeros(base[-1], np.uint64)
+    np.bitwise_xor.at(words, base[of] + ((spread >> np.uint64(6)).astype(np.int64) & (n_words[of] - 1)), np.uint64(1) << (spread & np.uint64(63)))
+    return [words[a:b].tobytes() for a, b in zip(base[:-1], base[1:], strict=True)]
 
 
 class Rings:
@@ -162,7 +167,7 @@ def _sign_task(n_words: int, num: int, den: int):
             order = np.argsort(of, kind="stable")
             at = np.searchsorted(of[order], np.arange(len(nodes) + 1))
             lists = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(sign[order].view(np.int64)))
-            sketch = pa.array([row.tobytes() for row in sketches(keys, first)], pa.binary())
+            sketch = pa.array(sketches(keys, first), pa.binary())
             yield pa.RecordBatch.from_arrays([piece.column("doc_id"), pa.array(nodes.view(np.int64)), pa.array(np.diff(first)), sketch, lists], names=["doc_id", "node", "n_shingles", "sketch", "signs"])
 
     return signs
@@ -197,7 +202,9 @@ def _narrow_task(num: int, den: int):
     def narrow(key, table):
         node, one = np.unique(table.column("node").to_numpy(), return_index=True)
         size = table.column("n").to_numpy()[one]
-        words = np.frombuffer(b"".join(table.column("sketch").take(pa.array(one)).to_pylist()), np.uint64).reshape(-1, SKETCH)
+        full = [np.frombuffer(x, np.uint64) for x in table.column("sketch").take(pa.array(one)).to_pylist()]
+        least = min(map(len, full))
+        words = np.stack([np.bitwise_xor.reduce(x.reshape(-1, least), axis=0) for x in full])
         part = np.arange(len(node))
         for i in range(len(node)):
             most = (size[i] + size) * (num - den) // (num + den)

@@ -107,6 +107,16 @@ def _key_steps(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.diff(keys["doc"], prepend=0), np.ascontiguousarray(keys["tag"])
 
 
+def _unique(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct keys, and which of them each is; tags are hardly ever set, and plain numbers sort faster."""
+    if keys["tag"].any():
+        return np.unique(keys, return_inverse=True)
+    docs, which = np.unique(keys["doc"], return_inverse=True)
+    out = np.zeros(len(docs), _KEY)
+    out["doc"] = docs
+    return out, which
+
+
 def _of_parts(hashes: np.ndarray, parts: int) -> np.ndarray:
     return ((hashes >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
 
@@ -123,7 +133,7 @@ def _anchor_task(parts: int):
             cut = np.searchsorted(_of_parts(h, parts), np.arange(parts + 1))
             sent: list[bytes] = []
             for a, b in zip(cut[:-1], cut[1:], strict=True):
-                keys, which = np.unique(key[a:b], return_inverse=True)
+                keys, which = _unique(key[a:b])
                 steps = np.diff(h[a:b], prepend=np.uint64(0))
                 sent.append(np.array([b - a, len(keys)], np.int64).tobytes() + _packed(steps, *_key_steps(keys), which.astype(np.uint32), place[a:b].astype(np.uint32)))
             return pa.RecordBatch.from_arrays([pa.array(np.arange(parts, dtype=np.int32)), pa.array(sent, pa.binary())], names=["part", "run"])
@@ -157,7 +167,7 @@ def _by_part(batches: Iterator[pa.RecordBatch]) -> Iterator[list[bytes]]:
 
 def _lists(key: np.ndarray, *values: np.ndarray) -> list[pa.Array]:
     """Keys, and for each one list of each kind of value."""
-    keys, which = np.unique(key, return_inverse=True)
+    keys, which = _unique(key)
     order = np.argsort(which, kind="stable")
     at = pa.array(np.searchsorted(which[order], np.arange(len(keys) + 1)).astype(np.int32))
     lists = [pa.ListArray.from_arrays(at, pa.array(v[order].astype(np.int32))) for v in values]
@@ -200,10 +210,12 @@ def _contexts(piece: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray
     # places in order and once: copies of a row tell them twice
     key = np.unique(of << 40 | place)
     of, place = key >> 40, key & ((1 << 40) - 1)
-    at = (offsets[of] + place)[:, None] + np.arange(-LEFT, SPAN)[None, :]
-    out = (at < offsets[of][:, None]) | (at >= offsets[of + 1][:, None])
-    context = raw[np.clip(at, 0, max(len(raw) - 1, 0))]
-    context[out] = OUTSIDE
+    context = np.empty((len(of), LEFT + SPAN), np.uint8)
+    for a in range(0, len(of), 8192):
+        some = of[a : a + 8192]
+        at = (offsets[some] + place[a : a + 8192])[:, None] + np.arange(-LEFT, SPAN)[None, :]
+        out = (at < offsets[some][:, None]) | (at >= offsets[some + 1][:, None])
+        context[a : a + 8192] = np.where(out, np.uint8(OUTSIDE), raw[np.clip(at, 0, max(len(raw) - 1, 0))])
     return of, place, context
 
 
@@ -229,7 +241,7 @@ def _suffix_task(parts: int):
                 rest = suffix[np.arange(SPAN)[None, :] >= shared[:, None]]
                 change = left.copy()
                 change[1:] ^= left[:-1]
-                keys, which = np.unique(key[own], return_inverse=True)
+                keys, which = _unique(key[own])
                 body = _packed(shared, rest, change.ravel(), *_key_steps(keys), which.astype(np.uint32), place[own].astype(np.uint32))
                 sent.append(np.array([len(own), len(keys), len(rest)], np.int64).tobytes() + body)
             return pa.RecordBatch.from_arrays([pa.array(np.arange(parts, dtype=np.int32)), pa.array(sent, pa.binary())], names=["part", "run"])
@@ -403,25 +415,27 @@ def _strings_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 
 def _cut_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        n_bytes, n_removed, n_spans, kept = [], [], [], []
-        for text, starts, ends, copy in zip(*(batch.column(c).to_pylist() for c in ("text", "starts", "ends", "copy")), strict=True):
-            raw = (text or "").encode()
-            if copy and len(raw) >= SPAN:
-                runs = [[0, len(raw)]]
+    for piece in ts.pieces(batches):
+        raw, offsets = ts.flat(piece.column("text"))
+        starts, ends = (piece.column(c) for c in ("starts", "ends"))
+        n_bytes = np.diff(offsets)
+        n_removed, n_spans, kept = [], [], []
+        for i, copy in enumerate(piece.column("copy").to_pylist()):
+            own = raw[offsets[i] : offsets[i + 1]]
+            if copy and len(own) >= SPAN:
+                runs = np.array([[0, len(own)]])
+            elif starts[i].as_py():
+                a, b = np.sort(starts[i].values.to_numpy()), np.sort(ends[i].values.to_numpy())
+                # a run begins where all spans before have ended; equal spans sort alike at both ends
+                new = np.concatenate(([True], a[1:] > b[:-1]))
+                runs = np.stack((a[new], b[np.concatenate((new[1:], [True]))]), axis=1)
             else:
-                runs = []
-                for a, b in sorted(zip(starts or (), ends or (), strict=True)):
-                    if runs and a <= runs[-1][1]:
-                        runs[-1][1] = max(runs[-1][1], b)
-                    else:
-                        runs.append([a, b])
-            edges = [0, *[x for r in runs for x in r], len(raw)]
-            n_bytes.append(len(raw))
-            n_removed.append(sum(b - a for a, b in runs))
+                runs = np.zeros((0, 2), np.int64)
+            edges = [0, *runs.ravel().tolist(), len(own)]
+            n_removed.append(int((runs[:, 1] - runs[:, 0]).sum()))
             n_spans.append(len(runs))
-            kept.append(b"".join(raw[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True)))
-        arrays = [batch.column("doc_id"), pa.array(n_bytes, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(n_spans, pa.int64()), pa.array(kept, pa.binary())]
+            kept.append(b"".join(own[x:y].tobytes() for x, y in zip(edges[::2], edges[1::2], strict=True)))
+        arrays = [piece.column("doc_id"), pa.array(n_bytes), pa.array(n_removed, pa.int64()), pa.array(n_spans, pa.int64()), pa.array(kept, pa.binary())]
         yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
 
 

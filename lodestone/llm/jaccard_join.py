@@ -40,8 +40,8 @@ WORDS = 3
 NUM, DEN = 100, 90
 #: A region up to these many nodes and shingles is joined in one task; larger ones are cut into blocks of as many nodes.
 REGION_NODES, REGION_SHINGLES = 256, 1_000_000
-#: Words of 64 bits in the least parity sketch, and nodes up to which a region is narrowed (in one task) by sketches.
-LEAST_SKETCH, NARROW_NODES = 8, 2048
+#: Words of 64 bits in the least parity sketch, and nodes of a block when a region is narrowed by sketches.
+LEAST_SKETCH, NARROW_NODES = 8, 8192
 #: Pivots of the first round in a large region; each round takes eight times as many.
 FIRST_PIVOTS = 256
 #: Rows (a long and two ids) that may be broadcast; beyond it texts are fetched by a shuffle.
@@ -151,6 +151,13 @@ def segments(keys: np.ndarray, first: np.ndarray, rings: Rings) -> tuple[np.ndar
     return np.concatenate(signs), np.concatenate(of)
 
 
+_LINKS = "a long, b long"
+
+
+def _links(pairs: list[tuple[int, int]]) -> pa.Table:
+    return pa.table({"a": pa.array([a for a, _ in pairs], pa.int64()), "b": pa.array([b for _, b in pairs], pa.int64())})
+
+
 def _sign_task(n_words: int, num: int, den: int):
     def signs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rings, seen = Rings(num, den), set()
@@ -197,7 +204,7 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _narrow_task(num: int, den: int):
-    """From (region, node, n, sketch) of one region: (pivot, node) of what may still link, by connected part."""
+    """From (region, node, n, sketch) of two blocks of a region: (a, b) that connect what may still link."""
 
     def narrow(key, table):
         node, one = np.unique(table.column("node").to_numpy(), return_index=True)
@@ -205,21 +212,32 @@ def _narrow_task(num: int, den: int):
         full = [np.frombuffer(x, np.uint64) for x in table.column("sketch").take(pa.array(one)).to_pylist()]
         least = min(map(len, full))
         words = np.stack([np.bitwise_xor.reduce(x.reshape(-1, least), axis=0) for x in full])
-        part = np.arange(len(node))
-        for i in range(len(node)):
-            most = (size[i] + size) * (num - den) // (num + den)
-            near = np.flatnonzero((np.bitwise_count(words ^ words[i]).sum(1) <= most) & (part != part[i]))
-            for old in np.unique(part[near]):
-                part[part == old] = part[i]
-        _, which, count = np.unique(part, return_inverse=True, return_counts=True)
-        least = np.full(len(count), np.iinfo(np.int64).max)
-        np.minimum.at(least, which, node)
-        take = count[which] > 1
-        return pa.table({"pivot": least[which][take], "node": node[take]})
+        part, links = np.arange(len(node)), []
+        for i in range(len(node) - 1):
+            most = (size[i] + size[i + 1 :]) * (num - den) // (num + den)
+            near = i + 1 + np.flatnonzero(np.bitwise_count(words[i + 1 :] ^ words[i]).sum(1) <= most)
+            for j in near[part[near] != part[i]]:
+                if part[j] != part[i]:
+                    links.append((int(node[i]), int(node[j])))
+                    part[part == part[j]] = part[i]
+        return _links(links)
 
     return narrow
 
 
+def _narrowed(placed: DataFrame, num: int, den: int) -> DataFrame:
+    """(pivot, node) from (pivot, node, n, sketch): what sketches leave connected, under the least node.
+
+    A region of more than ``NARROW_NODES`` is compared block by block, each pair of blocks in a group of its own.
+    """
+    sizes = placed.groupBy(F.col("pivot").alias("p")).agg(F.ceil(F.count(F.lit(1)) / NARROW_NODES).cast("int").alias("blocks"))
+    rows = placed.join(sizes, F.col("pivot") == F.col("p")).drop("p").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.select("pivot", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "node", "n", "sketch")
+    links = rows.groupBy("pivot", "low", "high").applyInArrow(_narrow_task(num, den), _LINKS).distinct()
+    return components(links).select(F.col("component").alias("pivot"), "node")
+
+
 class _Sets:
     """The sets of a region as codes, for distances from one set to all."""
 
@@ -269,13 +287,6 @@ def _forest(sets: _Sets, center: int, pivots: np.ndarray, num: int, den: int) ->
     return links
 
 
-_LINKS = "a long, b long"
-
-
-def _links(pairs: list[tuple[int, int]]) -> pa.Table:
-    return pa.table({"a": pa.array([a for a, _ in pairs], pa.int64()), "b": pa.array([b for _, b in pairs], pa.int64())})
-
-
 def _region_task(n_words: int, num: int, den: int):
     def region(key, table):
         sets = _Sets(table, n_words)
@@ -373,11 +384,7 @@ def near_duplicates(docs: DataFrame, n_words: int = WORDS, num: int = NUM, den:
     # one row of each node has its sketch; copies of that row don't matter
     sketched = sets.select(F.col("doc_id").alias("d"), F.col("node").alias("s"), "sketch")
     placed = regions.join(nodes.where("doc_id is not null"), "node").join(sketched, (F.col("doc_id") == F.col("d")) & (F.col("node") == F.col("s"))).select("pivot", "node", "n", "sketch")
-    counts = regions.groupBy(F.col("pivot").alias("p")).agg((F.count(F.lit(1)) > NARROW_NODES).alias("wide"))
-    placed = placed.join(counts, F.col("pivot") == F.col("p")).drop("p")
-    narrowed = placed.where("not wide").drop("wide").groupBy("pivot").applyInArrow(_narrow_task(num, den), "pivot long, node long")
-    narrowed = narrowed.unionByName(placed.where("wide").select("pivot", "node")).distinct()
-    members = written(narrowed.join(nodes, "node"), "members")
+    members = written(_narrowed(placed, num, den).join(nodes, "node"), "members")
     sizes = members.groupBy("pivot").agg((F.count(F.lit(1)) > REGION_NODES).alias("many"), (F.sum("n") > REGION_SHINGLES).alias("heavy"), F.count(F.lit(1)).alias("size"))
     sizes = sizes.select(F.col("pivot").alias("region"), (F.col("many") | (F.col("heavy") & (F.col("size") > 2))).alias("large"))
     wanted = members.select(F.col("doc_id").alias("id"), F.col("node")).distinct()

@@ -38,9 +38,9 @@ LEFT = SPAN - GRAM
 #: Where a text ends; never a byte of UTF-8.
 OUTSIDE = 0xFF
 #: Bytes of text for each part of the two exchanges.
-PART_BYTES = 16 << 20
+PART_BYTES = 8 << 20
 #: Anchors or suffixes that a task holds before it sends runs off.
-RUN = 1 << 18
+ANCHOR_RUN, SUFFIX_RUN = 1 << 19, 1 << 18
 #: Documents of an anchor beyond which its strings are counted by aggregation.
 HOT_GROUP = 20_000
 
@@ -143,7 +143,7 @@ def _anchor_task(parts: int):
             raw, offsets = ts.flat(piece.column("text"))
             h, of, at = anchors(raw, offsets)
             held.append((h, _keys(piece)[of], at - offsets[of]))
-            if sum(len(x[0]) for x in held) > RUN:
+            if sum(len(x[0]) for x in held) > ANCHOR_RUN:
                 yield out()
         if held:
             yield out()
@@ -249,7 +249,7 @@ def _suffix_task(parts: int):
         for piece in ts.pieces(batches):
             of, place, context = _contexts(piece)
             held.append((_keys(piece)[of], place, context))
-            if sum(len(x[0]) for x in held) > RUN:
+            if sum(len(x[0]) for x in held) > SUFFIX_RUN:
                 yield out()
         if held:
             yield out()

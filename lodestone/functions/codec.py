@@ -103,7 +103,8 @@ def decompress(data: pd.Series, kind: pd.Series, size: pd.Series) -> pd.Series:
 
 def delta_encode(vector: Column) -> Column:
     """First value, then differences, in FLOAT."""
-    return F.zip_with(vector, F.concat(F.array(F.lit(0.0).cast("float")), F.slice(vector, 1, F.greatest(F.size(vector) - 1, F.lit(0)))), lambda x, before: (x - before).cast("float"))
+    before = F.slice(F.concat(F.array(F.lit(0.0).cast("float")), vector), F.lit(1), F.size(vector))
+    return F.zip_with(vector, before, lambda x, y: (x - y).cast("float"))
 
 
 def delta_decode(deltas: Column) -> Column:

@@ -69,7 +69,7 @@ class Store:
     def put_records(self, records: DataFrame, version: int | None = None) -> int:
         """Upsert by id. Writing a version again replaces it, so a batch that is delivered twice counts once."""
         version = self.next_version() if version is None else version
-        rows = records.select(*[F.col(f.name).cast(f.dataType) for f in RECORD.fields])
+        rows = records.select(*[F.col(f.name).cast(f.dataType.simpleString()) for f in RECORD.fields])
         self._append(rows.dropDuplicates(["id"]), "records", version)
         return version
 

@@ -260,7 +260,9 @@ def fit(stats: DataFrame, labels: DataFrame, prior: float | None = None, bins: i
     u, p = u0 + u1, p0 + p1
     if prior is None:
         voting = p[0] >= LEAST_SHARE * p[0, 0]
-        prior = seen["p"] / (seen["p"] + seen["z"]) if seen["z"] else float(min(1.0, ((u[0] / u[0, 0])[voting] / (p[0] / p[0, 0])[voting]).min()))
+        ratio = (u[0] / u[0, 0])[voting] / (p[0] / p[0, 0])[voting]
+        # the least of many noisy ratios is too small: each gets its two deviations first
+        prior = seen["p"] / (seen["p"] + seen["z"]) if seen["z"] else float(min(1.0, (ratio * (1 + 2 / np.sqrt(p[0][voting]))).min()))
     made = lambda p, u: Model(cuts, _minimise(p, u, prior, ridge + RIDGE_ROWS / p[0, 0]), GRID, GRID, prior)
     whole = made(p, u)
     # the posterior is measured on texts that the weights have not seen, or the positives would look too good

@@ -33,7 +33,7 @@ def uniform(*parts: Column) -> Column:
 def _log_factorial(k: Column) -> Column:
     """ln k!, by Stirling's series at k + 9 and the way back down."""
     z = k + 9.0
-    series = (z - 0.5) * F.log(z) - z + 0.9189385332046727 + 1 / (12 * z) - 1 / (360 * z * z * z) + 1 / (1260 * F.pow(z, F.lit(5.0)))
+    series = (z - 0.5) * F.log(z) - z + 0.9189385332046727 + 1 / (12 * z) - 1 / (360 * z * z * z) + 1 / (1260 * F.pow(z, F.lit(5.0))) - 1 / (1680 * F.pow(z, F.lit(7.0))) + 1 / (1188 * F.pow(z, F.lit(9.0)))
     down = F.lit(0.0)
     for i in range(1, 9):
         down = down + F.log(k + float(i))

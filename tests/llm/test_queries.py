@@ -1,0 +1,87 @@
+"""The opN_ queries and the pipeline on the smallest tables, held against the models."""
+
+import sys
+from pathlib import Path
+
+import duckdb
+import pytest
+
+sys.path.insert(0, str(Path(__file__).parent))
+import corpus as C  # noqa: E402
+
+import corpus_pipeline  # noqa: E402
+from lodestone.llm import oracles, queries  # noqa: E402
+
+
+@pytest.fixture(scope="module")
+def docs(spark, small):
+    return [(r.doc_id, r.text) for r in spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text").collect()]
+
+
+def by_id(df, *columns):
+    return {r["doc_id"]: tuple(r[c] for c in columns) for r in df.collect()}
+
+
+def test_op1(spark, small, docs):
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{small}/benchmark.parquet").collect()]
+    want = {i: (n, h, len(f), C.sha(",".join(f)), c) for i, (n, h, f, c) in C.contamination(docs, items).items()}
+    assert by_id(queries.op1_winnowing(spark, small), "n_words", "n_hit", "n_items", "items_sha256", "contaminated") == want
+
+
+def test_op4(spark, small, docs):
+    want = {i: (n, d, C.sha(t)) for i, (n, d, t) in C.line_dedup(docs).items()}
+    assert by_id(queries.op4_line_dedup(spark, small), "n_lines", "n_dropped", "kept_sha256") == want
+
+
+def test_op7(spark, small, docs):
+    listed = lambda s: ",".join(f"{k}:{a}:{b}" for k, a, b in s)
+    want = {}
+    for i, t in docs:
+        s = C.secrets(t)
+        want[i] = (*[sum(k == kind for k, _, _ in s) for kind in ("assign", "access", "hex")], C.sha(listed(s)), listed(s))
+    assert by_id(queries.op7_blob_ledger(spark, small), "n_assign", "n_access", "n_hex", "base_sha256", "spans") == want
+
+
+def test_op8(spark, small, docs):
+    want = C.unigrams(docs, [(i, t) for i, t in docs if C.fold(i, 7) != 2])
+    got = by_id(queries.op8_ppm(spark, small), "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+    for i, (held, *counts, base, score) in got.items():
+        assert held == (C.fold(i, 7) == 2) and tuple(counts) == want[i][:3] and base == pytest.approx(want[i][3]) and score < 0
+
+
+def test_op9(spark, small, docs):
+    assert by_id(queries.op9_jaccard_join(spark, small), "n_shingles", "component_id") == C.near_duplicates(docs)
+
+
+def test_op10(spark, small, docs):
+    assert by_id(queries.op10_suffix_dedup(spark, small), "n_bytes", "n_removed", "n_spans", "kept_sha256") == C.substrings(docs)
+
+
+@pytest.mark.parametrize("name", sorted(oracles.SQL))
+def test_sql(spark, small, name):
+    con = duckdb.connect()
+    for t in ("documents", "benchmark", "labels"):
+        con.execute(f"create view {t} as select * from '{small}/{t}.parquet'")
+    got = con.execute(oracles.SQL[name])
+    names = [c[0] for c in got.description]
+    df = queries.QUERIES[name](spark, small)
+    assert sorted(df.columns) == sorted(names)
+    plain = lambda v: round(v, 9) if isinstance(v, float) else v
+    assert sorted(repr([plain(r[c]) for c in names]) for r in df.collect()) == sorted(repr([plain(v) for v in r]) for r in got.fetchall())
+
+
+def test_pipeline(spark, small, docs):
+    table = spark.read.parquet(f"{small}/documents.parquet")
+    stages = dict(corpus_pipeline.STAGES)
+    assert len(stages) == 5
+    for name in list(stages)[:-1]:
+        assert stages[name](spark, table, small).columns == table.columns
+    cut = {i: t for i, (_, _, t) in C.line_dedup(docs).items()}
+    assert {r.doc_id: (r.text, r.n_chars) for r in stages["line dedup"](spark, table, small).collect()} == {i: (t, len(t)) for i, t in cut.items()}
+    groups = C.near_duplicates(docs, 5, 100, 80)
+    assert {r.doc_id for r in stages["n-gram Jaccard join"](spark, table, small).collect()} == {g for _, g in groups.values()}
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{small}/benchmark.parquet").collect()]
+    clean = {i for i, c in C.contamination(docs, items).items() if not c[3]}
+    assert {r.doc_id for r in stages["benchmark decontamination"](spark, table, small).collect()} == clean
+    out = corpus_pipeline.run(spark, small)
+    assert {r.doc_id for r in out.select("doc_id").collect()} <= {i for i, _ in docs}

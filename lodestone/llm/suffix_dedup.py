@@ -38,7 +38,7 @@ LEFT = SPAN - GRAM
 #: Where a text ends; never a byte of UTF-8.
 OUTSIDE = 0xFF
 #: Bytes of text for each part of the two exchanges.
-PART_BYTES = 8 << 20
+PART_BYTES = 16 << 20
 #: Anchors or suffixes that a task holds before it sends runs off.
 ANCHOR_RUN, SUFFIX_RUN = 1 << 19, 1 << 18
 #: Documents of an anchor beyond which its strings are counted by aggregation.
@@ -67,7 +67,8 @@ def anchors(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     at = np.flatnonzero(keep)
     of = np.searchsorted(offsets, at, side="right") - 1
     inside = (at + GRAM <= offsets[of + 1]) & (offsets[of + 1] - offsets[of] >= SPAN)
-    return hashes[at[inside]], of[inside], at[inside]
+    # the least of a window are small numbers: mixed again, they spread over all parts
+    return ts.mix(hashes[at[inside]] ^ np.uint64(0x9FB21C651E98DF25)), of[inside], at[inside]
 
 
 def _packed(*arrays: np.ndarray) -> bytes:
@@ -155,12 +156,13 @@ def _by_part(batches: Iterator[pa.RecordBatch]) -> Iterator[list[bytes]]:
     """The runs of one part after another, from rows in the order of parts."""
     part, runs = None, []
     for batch in batches:
-        for p, run in zip(batch.column("part").to_pylist(), batch.column("run").to_pylist(), strict=True):
+        column = batch.column("run")
+        for i, p in enumerate(batch.column("part").to_pylist()):
             if p != part and runs:
                 yield runs
                 runs = []
             part = p
-            runs.append(run)
+            runs.append(column[i].as_py())
     if runs:
         yield runs
 
@@ -186,7 +188,9 @@ def _shared_task(hot_group: int):
                 h = np.cumsum(reader.take(n, np.uint64), dtype=np.uint64)
                 keys = reader.keys(n_keys)
                 columns.append((h, keys[reader.take(n, np.uint32)], reader.take(n, np.uint32)))
+            runs.clear()
             h, key, place = (np.concatenate(x) for x in zip(*columns, strict=True))
+            columns.clear()
             order = np.argsort(h, kind="stable")
             h, key, place = h[order], key[order], place[order]
             first = np.flatnonzero(np.concatenate((np.ones(min(1, len(h)), bool), h[1:] != h[:-1])))
@@ -385,6 +389,7 @@ def _merge_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """From the runs of each part: (doc_id, tag, starts, ends) of the bytes that go."""
     for blobs in _by_part(batches):
         runs = [r for r in map(_Run, blobs) if len(r.key)]
+        blobs.clear()
         if not runs:
             continue
         data = [r.right.tobytes() for r in runs]
@@ -472,7 +477,8 @@ def removed_spans(docs: DataFrame, hot_group: int = HOT_GROUP) -> DataFrame:
     texts = named.repartition(n, "doc_id").join(several.hint("shuffle_hash"), "doc_id", "left").withColumn("h1", F.xxhash64("text")).select("doc_id", tag, "text")
     texts = by_id(texts, copies, "left")
     single = texts.where("copy is null").drop("copy")
-    dealt = lambda runs: runs.repartition(parts, "part").sortWithinPartitions("part")
+    # more partitions than parts, so that few of these share one
+    dealt = lambda runs: runs.repartition(2 * parts, "part").sortWithinPartitions("part")
     shared = dealt(single.mapInArrow(_anchor_task(parts), _RUNS)).mapInArrow(_shared_task(hot_group), _PLACES + ", hot boolean")
     listed = lambda df, *names: df.groupBy("doc_id", "tag").agg(*[F.flatten(F.collect_list(c)).alias(c) for c in names])
     places = lambda hot: by_id(single, listed(shared.where(F.col("hot") == hot), "places"), "inner").select("doc_id", "tag", "text", "places")

@@ -51,6 +51,8 @@ def dropped_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -> Da
     # the range partitioning keeps a (hash, document) together, so this needs no exchange
     held = ranged.groupBy("h1", "h2", "doc_id").agg(F.collect_set(F.struct("text_hash", "pos")).alias("at"))
     wide = held.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.max("doc_id").alias("last")).where(F.col("n") >= min_docs).drop("n")
+    # a table of its own: the join then has an exchange on either side, and a hot line can be split
+    wide = written(wide, "repeated-lines")
     gone = held.join(wide.withColumnsRenamed({"h1": "g1", "h2": "g2"}), (F.col("h1") == F.col("g1")) & (F.col("h2") == F.col("g2"))).where(~F.col("doc_id").eqNullSafe(F.col("last")))
     return gone.select("doc_id", F.explode("at").alias("at")).select("doc_id", "at.text_hash", "at.pos")
 

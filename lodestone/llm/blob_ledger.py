@@ -15,7 +15,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import folder
+from .shared import folder, written
 
 
 @dataclass(frozen=True)
@@ -113,6 +113,8 @@ def findings(versions: DataFrame, ledger: str, rules: tuple[Rule, ...] = RULES)
     found = _ledger(spark, ledger, "found", FOUND).join(F.broadcast(current), ["kind", "version"]).select("blob", "kind", "start", "end").distinct()
     spans = found.groupBy("blob").agg(F.array_sort(F.collect_list(F.struct("start", order[F.col("kind")].alias("rank"), "kind", "end"))).alias("spans"))
     spans = spans.select(F.col("blob").alias("b"), F.transform("spans", lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"))).alias("spans"))
+    # a table of its own: the join then has an exchange on either side, and a blob with very many paths can be split
+    spans = written(spans, "findings")
     paths = versions.select("path", blob_of(F.col("text")).alias("blob"))
     return paths.join(spans, F.col("blob") == F.col("b"), "left").select("path", "blob", F.coalesce("spans", F.array().cast("array<struct<kind:string,start:long,end:long>>")).alias("spans"))
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import chunk, codec, detect, metadata, text
 from ..operators import bm25, hybrid, vector
 from ..sources.extract import image_text, tidy_ocr, video_text
+from ..sources.shared import folder, written
 from ..sources.store import frames, latest
 from . import vault
 from .ingest import IngestConfig, ingest
@@ -47,10 +49,20 @@ def records(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def indexed(spark: SparkSession, sf_dir: str, query_tokens: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """Postings and statistics straight from the texts, which are read once for each."""
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), text.tokenize(F.col("text")).alias("bm25_tokens"))
-    return bm25.postings(docs), bm25.corpus_stats(docs)
+#: Folders of the indexes that this process has built, by application and tables.
+_INDEXES: dict[tuple[str, str], str] = {}
+
+
+def indexed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Postings and statistics of the documents: an index is built once for a session, and read by every search."""
+    name = (spark.sparkContext.applicationId, sf_dir)
+    if name not in _INDEXES:
+        path = f"{folder(spark)}/index-{uuid.uuid4().hex}"
+        tokens = written(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), text.tokenize(F.col("text")).alias("bm25_tokens")), "tokens")
+        bm25.postings(tokens).repartitionByRange("token", "id").sortWithinPartitions("token", "id").write.option("compression", "zstd").parquet(f"{path}/postings")
+        bm25.corpus_stats(tokens).coalesce(1).write.parquet(f"{path}/stats")
+        _INDEXES[name] = path
+    return spark.read.parquet(f"{_INDEXES[name]}/postings"), spark.read.parquet(f"{_INDEXES[name]}/stats")
 
 
 def one_query(spark: SparkSession) -> DataFrame:
@@ -156,11 +168,13 @@ def _hits(spark: SparkSession, sf_dir: str, weight: float = 0.5, modality: str |
     docs, vecs = table(spark, sf_dir, "documents"), vectors(spark, sf_dir)
     named = records(spark, sf_dir)
     wanted = named.where(keep).select("id") if keep is not None else None
-    tokens = docs.select(F.col("doc_id").alias("id"), text.tokenize(F.col("text")).alias("bm25_tokens"))
     if mode == "pre" and wanted is not None:
-        tokens, vecs = tokens.join(wanted, "id", "left_semi"), vecs.join(wanted, "id", "left_semi")
-        wanted = None
-    text_arm = bm25.top(bm25.scores(bm25.postings(tokens), bm25.corpus_stats(tokens), one_query(spark)), K * hybrid.OVER_FETCH)
+        # statistics are those of what is left, so there is no index to read
+        tokens = docs.select(F.col("doc_id").alias("id"), text.tokenize(F.col("text")).alias("bm25_tokens")).join(wanted, "id", "left_semi")
+        index, vecs, wanted = (bm25.postings(tokens), bm25.corpus_stats(tokens)), vecs.join(wanted, "id", "left_semi"), None
+    else:
+        index = indexed(spark, sf_dir)
+    text_arm = bm25.top(bm25.scores(*index, one_query(spark)), K * hybrid.OVER_FETCH)
     vector_arm = vector.search(vecs, query_vector(spark, sf_dir), K * hybrid.OVER_FETCH)
     return hybrid.hybrid(vector_arm, text_arm, K, weight, wanted)
 

@@ -399,7 +399,8 @@ def near_duplicates(docs: DataFrame, n_words: int = WORDS, num: int = NUM, den:
     found = components(links)
     named = found.join(nodes.select("node", "doc_id"), "node").groupBy("component").agg(F.min("doc_id").alias("component_id"))
     of_node = nodes.select("node", "doc_id").join(found.join(named, "component").select("node", "component_id"), "node", "left")
-    of_node = of_node.select(F.col("node").alias("n"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    # a table of its own: the join then has an exchange on either side, and a node with very many copies can be split
+    of_node = written(of_node.select(F.col("node").alias("n"), F.coalesce("component_id", "doc_id").alias("component_id")), "of-node")
     return sets.join(of_node, F.col("node") == F.col("n"), "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 

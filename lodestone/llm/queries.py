@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import blob_ledger, jaccard_join, line_dedup, ppm, pu_quality, replication, suffix_dedup, winnowing
+from . import blob_ledger, jaccard_join, language_id, line_dedup, ppm, pu_quality, replication, suffix_dedup, winnowing
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,6 +25,11 @@ def op1_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of pages from their words, markup, address and host; words are learned from documents."""
+    return language_id.identify(_table(spark, sf_dir, "pages"), _table(spark, sf_dir, "documents"))
+
+
 def op3_pu_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality of documents, learned from trusted positives and unlabelled text."""
     return pu_quality.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
@@ -71,6 +76,7 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_winnowing": op1_winnowing,
+    "op2_language_id": op2_language_id,
     "op3_pu_quality": op3_pu_quality,
     "op4_line_dedup": op4_line_dedup,
     "op5_poisson_mix": op5_poisson_mix,

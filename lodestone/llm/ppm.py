@@ -9,11 +9,14 @@ next shorter one, in which symbols of the longer one are excluded. As the trie
 is fixed while texts are scored, what exclusion leaves of a context is a number
 kept with the longer context. Below order 0 all bytes left are equally likely.
 
-Nodes with less than ``LEAST_SHARE`` of all training bytes are left out of the
-trie, so it has at most 1 / LEAST_SHARE nodes an order, at any size of corpus:
-that bounds the broadcast. Token counts have no such bound. Tokens with at least
-``LEAST_SHARE`` of all (as few) are broadcast, all others are joined by shuffle,
-and none of these is frequent enough to skew it.
+No node is left out. What a gram (a context and its symbol) costs depends on the
+nodes of all orders under its context, and those from order ``SHORT`` on share the
+last ``SHORT`` bytes of the context: so the grams are dealt by these bytes and each
+is worked out where all its nodes are, next to the shorter orders, which have at
+most 255 and 65,280 nodes. Grams with at least ``LEAST_SHARE`` of the scored bytes
+(at most 1 / LEAST_SHARE, at any size of corpus) are broadcast with their figures,
+as are tokens with so large a share of the training tokens. All others are joined by
+shuffle, counted per text first.
 """
 
 from __future__ import annotations
@@ -30,7 +33,9 @@ from .shared import written
 
 #: Bytes of context. With the symbol they are packed into one integer.
 ORDER = 4
-#: Share of the training bytes (or tokens) from which a node (or token) is broadcast.
+#: Orders below this one are known to every task.
+SHORT = 2
+#: Share of the scored bytes (or training tokens) from which a gram (or token) is broadcast.
 LEAST_SHARE = 1 / (1 << 20)
 #: Bytes that UTF-8 never has: before the first symbol, and the symbol after the last.
 BEFORE, END = 0xFE, 0xFF
@@ -40,6 +45,8 @@ SYMBOLS = 255
 END_TOKEN = np.uint64(0x1D8E4E27C47D124F)
 #: Distinct keys that a task counts before it passes them on.
 FLUSH = 1 << 21
+#: Grams whose figures are worked out at once; those of one short context stay together.
+LOG_ROWS = 1 << 19
 
 
 def byte_grams(raw: np.ndarray, offsets: np.ndarray, order: int = ORDER) -> tuple[np.ndarray, np.ndarray]:
@@ -81,9 +88,9 @@ def _counted(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return values[at], np.diff(np.concatenate((at, [len(values)])))
 
 
-def _count_task(order: int):
+def _count_task(order: int, kinds: tuple[int, ...]):
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list] = {0: [], 1: []}
+        held: dict[int, list] = {kind: [] for kind in kinds}
 
         def out(kind: int) -> pa.RecordBatch:
             keys, counts = _merged(held[kind])
@@ -93,7 +100,8 @@ def _count_task(order: int):
         for piece in ts.pieces(batches):
             raw, offsets = ts.flat(piece.column("text"))
             raw = ts.LOWER[raw]
-            for kind, values in ((0, tokens(raw, offsets)[0]), (1, byte_grams(raw, offsets, order)[0])):
+            for kind in kinds:
+                values = byte_grams(raw, offsets, order)[0] if kind else tokens(raw, offsets)[0]
                 held[kind].append(_counted(values))
                 if sum(len(k) for k, _ in held[kind]) > FLUSH:
                     held[kind] = [_merged(held[kind])]
@@ -106,9 +114,9 @@ def _count_task(order: int):
     return count
 
 
-def corpus_counts(docs: DataFrame, order: int = ORDER) -> DataFrame:
+def corpus_counts(docs: DataFrame, order: int = ORDER, kinds: tuple[int, ...] = (0, 1)) -> DataFrame:
     """(kind, key, n) over all texts: tokens (kind 0) and contexts with their symbol (kind 1)."""
-    parts = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(_count_task(order), "kind int, key long, n long")
+    parts = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(_count_task(order, kinds), "kind int, key long, n long")
     return written(parts.groupBy("kind", "key").agg(F.sum("n").alias("n")), "ppm-counts")
 
 
@@ -118,7 +126,7 @@ class Table:
     def __init__(self, keys: np.ndarray, values: np.ndarray) -> None:
         bits = max(4, int(len(keys) * 3).bit_length())
         self.shift, self.mask = np.uint64(64 - bits), np.int64((1 << bits) - 1)
-        self.keys, self.values, self.full = np.zeros(1 << bits, np.uint64), np.zeros(1 << bits, np.float32), np.zeros(1 << bits, bool)
+        self.keys, self.values, self.full = np.zeros(1 << bits, np.uint64), np.zeros(1 << bits), np.zeros(1 << bits, bool)
         self.probes = 0
         slot, rest = self._slot(keys), np.arange(len(keys))
         while len(rest):
@@ -160,9 +168,12 @@ def _find(keys: np.ndarray, probe: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Trie:
-    """The kept nodes of each order, sorted, with what escapes and exclusion need."""
+    """The nodes of each order, sorted, with what escapes and exclusion need.
 
-    def __init__(self, levels: list[tuple[np.ndarray, np.ndarray]]) -> None:
+    Orders may hold only the nodes under some contexts, if they hold all of these.
+    """
+
+    def __init__(self, levels: list[tuple[np.ndarray, np.ndarray]], table: bool = True) -> None:
         self.levels = levels
         self.contexts, self.total, self.distinct, self.left_total, self.left_distinct = [], [], [], [], []
         for o, (keys, counts) in enumerate(levels):
@@ -183,7 +194,7 @@ class Trie:
                 self.left_total.append(np.zeros(len(contexts)))
                 self.left_distinct.append(np.maximum(SYMBOLS - distinct, 1).astype(float))
         keys = levels[-1][0]
-        self.table = Table(keys, self._slow(keys)) if len(keys) else None
+        self.table = Table(keys, self._slow(keys)) if table and len(keys) else None
 
     @staticmethod
     def _mask(n_bytes: int) -> np.uint64:
@@ -223,7 +234,6 @@ class Trie:
         if self.table is None:
             return self._slow(grams)
         values, there = self.table.get(grams)
-        values = values.astype(float)
         rest = np.flatnonzero(~there)
         if len(rest):
             unique, inverse = np.unique(grams[rest], return_inverse=True)
@@ -231,30 +241,73 @@ class Trie:
         return values
 
 
-def train(counts: DataFrame, order: int = ORDER, least_share: float = LEAST_SHARE) -> Trie:
-    """The trie from ``corpus_counts``: the sums for all orders are made by Spark, only kept nodes come to the driver."""
-    leaves = counts.where("kind = 1").select("key", "n")
-    total = leaves.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    nodes = leaves.select("n", F.explode(F.array(*[F.struct(F.lit(o).alias("o"), F.col("key").bitwiseAND(F.lit((1 << (8 * (o + 1))) - 1)).alias("key")) for o in range(order + 1)])).alias("x"))
-    kept = nodes.groupBy("x.o", "x.key").agg(F.sum("n").alias("n")).where(F.col("n") >= max(1.0, total * least_share)).toArrow()
-    o, key, n = (kept.column(c).to_numpy() for c in ("o", "key", "n"))
-    levels = []
-    for k in range(order + 1):
-        at = np.flatnonzero(o == k)
-        at = at[np.argsort(key[at])]
-        levels.append((key[at].astype(np.uint64), n[at].astype(np.int64)))
-    return Trie(levels)
+def _level(keys: np.ndarray, counts: np.ndarray, order: int, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """The nodes of an order, from grams that are at least as long."""
+    if not len(keys):
+        return keys, counts
+    keys, counts = _merged([(keys & Trie._mask(order + 1), counts)])
+    return keys[counts >= least], counts[counts >= least]
+
+
+def _log_task(short, order: int, least: float):
+    """From (key, n, m) in order of their short contexts: (key, m, log10) of the grams with m > 0."""
+
+    def logs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        levels = short.value
+        shared = Trie._mask(len(levels))
+
+        def out(keys: np.ndarray, n: np.ndarray, m: np.ndarray) -> pa.RecordBatch:
+            learned, wanted = n > 0, m > 0
+            longer = [_level(keys[learned], n[learned], o, least) for o in range(len(levels), order + 1)]
+            figures = Trie([*levels, *longer], table=False).log10(keys[wanted])
+            return pa.RecordBatch.from_arrays([pa.array(keys[wanted].view(np.int64)), pa.array(m[wanted]), pa.array(figures)], names=["key", "m", "log"])
+
+        held, size, bound = [], 0, LOG_ROWS
+        for batch in batches:
+            held.append((batch.column("key").to_numpy().view(np.uint64), batch.column("n").to_numpy(), batch.column("m").to_numpy()))
+            size += batch.num_rows
+            if size < bound:
+                continue
+            columns = [np.concatenate(c) for c in zip(*held, strict=True)]
+            context = (columns[0] >> np.uint64(8)) & shared
+            # the last context may go on in the next batch
+            at = int(np.argmax(context == context[-1]))
+            if at:
+                yield out(*(c[:at] for c in columns))
+            held, size = [tuple(c[at:] for c in columns)], len(context) - at
+            bound = max(LOG_ROWS, 2 * size)
+        if size:
+            yield out(*(np.concatenate(c) for c in zip(*held, strict=True)))
+
+    return logs
+
+
+def gram_logs(leaves: DataFrame, wanted: DataFrame, order: int = ORDER, least_share: float = 0.0) -> DataFrame:
+    """(key, m, log): the log10 probability of each gram of ``wanted`` (key, m) under the trie of ``leaves`` (key, n)."""
+    spark = leaves.sparkSession
+    low = min(SHORT, order)
+    shortest = leaves.groupBy(F.col("key").bitwiseAND(F.lit((1 << (8 * low)) - 1)).alias("key")).agg(F.sum("n").alias("n")).toArrow()
+    keys, n = shortest.column("key").to_numpy().astype(np.uint64), shortest.column("n").to_numpy().astype(np.int64)
+    least = max(1.0, int(n.sum()) * least_share)
+    short = spark.sparkContext.broadcast([_level(keys, n, o, least) for o in range(low)])
+    none = F.lit(0).cast("long")
+    grams = leaves.select("key", "n", none.alias("m")).unionByName(wanted.select("key", none.alias("n"), "m"))
+    grams = grams.groupBy("key").agg(F.sum("n").alias("n"), F.sum("m").alias("m"))
+    grams = grams.withColumn("context", F.shiftright("key", 8).bitwiseAND(F.lit((1 << (8 * low)) - 1)))
+    grams = grams.repartition("context").sortWithinPartitions("context").select("key", "n", "m")
+    return written(grams.mapInArrow(_log_task(short, order, least), "key long, m long, log double"), "ppm-logs")
 
 
 def _score_task(model):
     def scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trie, hot_keys, hot_logs, order = model.value
+        table, hot_keys, hot_logs, order = model.value
         for piece in ts.pieces(batches):
             raw, offsets = ts.flat(piece.column("text"))
             raw = ts.LOWER[raw]
             n = piece.num_rows
             grams, at = byte_grams(raw, offsets, order)
-            score = np.add.reduceat(trie.log10(grams), at[:-1]) if n else np.zeros(0)
+            values, there = table.get(grams)
+            score = np.add.reduceat(np.where(there, values, 0.0), at[:-1]) if n else np.zeros(0)
             hashes, owner = tokens(raw, offsets)
             where, hot = _find(hot_keys, hashes)
             logs = np.bincount(owner[hot], hot_logs[where[hot]], minlength=n)
@@ -266,22 +319,26 @@ def _score_task(model):
 
 def _rare_task(model):
     def rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hot_keys = model.value[1]
+        table, hot_keys, _, order = model.value
         for piece in ts.pieces(batches):
             raw, offsets = ts.flat(piece.column("text"))
-            hashes, owner = tokens(ts.LOWER[raw], offsets)
+            raw = ts.LOWER[raw]
+            hashes, owner = tokens(raw, offsets)
             cold = ~_find(hot_keys, hashes)[1]
-            hashes, owner = hashes[cold], owner[cold]
-            order = np.lexsort((hashes, owner))
-            hashes, owner = hashes[order], owner[order]
-            at = np.flatnonzero(np.concatenate((np.ones(min(1, len(hashes)), bool), (hashes[1:] != hashes[:-1]) | (owner[1:] != owner[:-1]))))
-            times = np.diff(np.concatenate((at, [len(hashes)])))
-            yield pa.RecordBatch.from_arrays([pa.array(hashes[at].view(np.int64)), piece.column("row").take(pa.array(owner[at])), pa.array(times.astype(np.int32))], names=["key", "row", "times"])
+            grams, first = byte_grams(raw, offsets, order)
+            unknown = ~table.get(grams)[1]
+            for kind, keys, of in ((0, hashes[cold], owner[cold]), (1, grams[unknown], ts.owners(first)[unknown])):
+                by = np.lexsort((keys, of))
+                keys, of = keys[by], of[by]
+                at = np.flatnonzero(np.concatenate((np.ones(min(1, len(keys)), bool), (keys[1:] != keys[:-1]) | (of[1:] != of[:-1]))))
+                times = np.diff(np.concatenate((at, [len(keys)])))
+                arrays = [pa.array(np.full(len(at), kind, np.int32)), pa.array(keys[at].view(np.int64)), piece.column("row").take(pa.array(of[at])), pa.array(times.astype(np.int32))]
+                yield pa.RecordBatch.from_arrays(arrays, names=["kind", "key", "row", "times"])
 
     return rare
 
 
-def score(docs: DataFrame, training: DataFrame | None = None, order: int = ORDER, least_share: float = LEAST_SHARE) -> DataFrame:
+def score(docs: DataFrame, training: DataFrame | None = None, order: int = ORDER, least_share: float = 0.0, hot_share: float = LEAST_SHARE) -> DataFrame:
     """doc_id, n_tokens, n_known, train_tokens, base_score and score of every document.
 
     ``training`` is learned from (``docs`` where None). base_score is the sum of
@@ -289,24 +346,36 @@ def score(docs: DataFrame, training: DataFrame | None = None, order: int = ORDER
     the lower-cased bytes and the end of the text under the trie. Null and empty texts
     are the end alone. Rows alike in doc_id and text each get their row, with the
     same figures. An empty training table leaves all bytes equally likely.
+    ``hot_share`` decides what is broadcast and has no effect on the figures. For a
+    coarser model nodes with less than ``least_share`` of the training bytes are left out; by default none is.
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     counts = corpus_counts(docs if training is None else training, order)
-    trie = train(counts, order, least_share)
+    leaves = counts.where("kind = 1").select("key", "n")
+    wanted = counts if training is None else corpus_counts(docs, order, (1,))
+    grams = gram_logs(leaves, wanted.where("kind = 1").select("key", F.col("n").alias("m")), order, least_share)
+    most = grams.agg(F.coalesce(F.sum("m"), F.lit(0))).first()[0]
+    hot_grams = F.col("m") >= max(1.0, most * hot_share)
     words = counts.where("kind = 0").select("key", "n")
     n, v = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
-    # at most 1 / least_share tokens have so large a share
-    hot = words.where(F.col("n") >= max(1.0, n * least_share)).toArrow()
+    hot_words = F.col("n") >= max(1.0, n * hot_share)
+    # at most 1 / hot_share tokens, and as many grams, have so large a share
+    hot = words.where(hot_words).toArrow()
     keys = hot.column("key").to_numpy().view(np.uint64)
     by = np.argsort(keys)
-    model = spark.sparkContext.broadcast((trie, keys[by], np.log10(hot.column("n").to_numpy()[by] + 1.0), order))
+    known = grams.where(hot_grams).select("key", "log").toArrow()
+    table = Table(known.column("key").to_numpy().view(np.uint64), known.column("log").to_numpy())
+    model = spark.sparkContext.broadcast((table, keys[by], np.log10(hot.column("n").to_numpy()[by] + 1.0), order))
     # a row is known by its id and text; what copies of a row add up to is shared among them
     rows = docs.withColumn("row", F.xxhash64("doc_id", "text"))
     each = rows.mapInArrow(_score_task(model), "doc_id long, row long, n_tokens long, n_known long, logs double, score double")
-    pairs = rows.select("row", "text").mapInArrow(_rare_task(model), "key long, row long, times int")
-    met = pairs.join(words.where(F.col("n") < max(1.0, n * least_share)), "key")
-    sums = met.groupBy("row").agg(F.sum("times").alias("more_known"), F.sum(F.col("times") * F.log10(F.col("n") + 1.0)).alias("more_logs"))
+    pairs = rows.select("row", "text").mapInArrow(_rare_task(model), "kind int, key long, row long, times int")
+    rest = words.where(~hot_words).select(F.lit(0).alias("kind"), "key", F.log10(F.col("n") + 1.0).alias("log"))
+    rest = rest.unionByName(grams.where(~hot_grams).select(F.lit(1).alias("kind"), "key", "log"))
+    met = pairs.join(rest, ["kind", "key"])
+    word, cost = F.col("kind") == 0, F.col("times") * F.col("log")
+    sums = met.groupBy("row").agg(F.sum(F.when(word, F.col("times"))).alias("more_known"), F.sum(F.when(word, cost)).alias("more_logs"), F.sum(F.when(~word, cost)).alias("more_score"))
     copies = F.count(F.lit(1)).over(Window.partitionBy("row"))
     joined = each.join(sums, "row", "left").withColumn("copies", copies)
     return joined.select(
@@ -315,5 +384,5 @@ def score(docs: DataFrame, training: DataFrame | None = None, order: int = ORDER
         (F.col("n_known") + F.coalesce(F.expr("more_known div copies"), F.lit(0))).alias("n_known"),
         F.lit(n).cast("long").alias("train_tokens"),
         (F.col("logs") + F.coalesce(F.col("more_logs") / F.col("copies"), F.lit(0.0)) - F.col("n_tokens") * F.log10(F.lit(float(n + v + 1)))).alias("base_score"),
-        "score",
+        (F.col("score") + F.coalesce(F.col("more_score") / F.col("copies"), F.lit(0.0))).alias("score"),
     )

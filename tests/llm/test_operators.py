@@ -230,6 +230,25 @@ def test_ppm(spark, df, docs, share):
         assert math.isclose(base_score, base[i][3], rel_tol=1e-9) and math.isclose(score, model.log10(dict(docs)[i]), rel_tol=1e-5)
 
 
+@pytest.mark.parametrize("rows", [1, 1 << 19])
+def test_ppm_prunes_nothing(spark, df, docs, rows, monkeypatch):
+    """However few grams and tokens are broadcast, figures are those of the model of all nodes."""
+    monkeypatch.setattr(ppm, "LOG_ROWS", rows)
+    training = [d for d in docs if d[0] % 3]
+    out = ppm.score(df, df.where("doc_id % 3 <> 0"), hot_share=1 / 500)
+    model, want = C.Ppm([t for _, t in training], 4, 0), C.unigrams(docs, training)
+    for i, (n_tokens, n_known, train_tokens, base, score) in by_id(out, "n_tokens", "n_known", "train_tokens", "base_score", "score").items():
+        assert (n_tokens, n_known, train_tokens) == want[i][:3] and base == pytest.approx(want[i][3], abs=1e-6)
+        assert score == pytest.approx(model.log10(dict(docs)[i]), rel=1e-9), i
+
+
+def test_ppm_default_prunes_nothing_beyond_a_million_bytes(spark):
+    """A passage that stands once among a million other bytes keeps its contexts."""
+    texts = ["ab cd " * 100_000] * 2 + ["zyx wvut srq"]
+    out = by_id(ppm.score(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")), "score")
+    assert out[2][0] == pytest.approx(C.Ppm(texts, 4, 0).log10(texts[2]), rel=1e-9)
+
+
 def test_ppm_edges(odd, none, docs):
     out = ppm.score(odd)
     assert out.count() == len(docs) + 5

@@ -175,7 +175,7 @@ def _sign_task(n_words: int, num: int, den: int):
             at = np.searchsorted(of[order], np.arange(len(nodes) + 1))
             lists = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(sign[order].view(np.int64)))
             sketch = pa.array(sketches(keys, first), pa.binary())
-            yield pa.RecordBatch.from_arrays([piece.column("doc_id"), pa.array(nodes.view(np.int64)), pa.array(np.diff(first)), sketch, lists], names=["doc_id", "node", "n_shingles", "sketch", "signs"])
+            yield pa.RecordBatch.from_arrays([piece.column("doc_id"), piece.column("text_id"), pa.array(nodes.view(np.int64)), pa.array(np.diff(first)), sketch, lists], names=["doc_id", "text_id", "node", "n_shingles", "sketch", "signs"])
 
     return signs
 
@@ -374,8 +374,14 @@ def near_duplicates(docs: DataFrame, n_words: int = WORDS, num: int = NUM, den:
     their row. A null doc_id is never the smallest; alone it is its component.
     Only doc_id and text are read.
     """
+    return _grouped(docs, n_words, num, den).drop("text_id")
+
+
+def _grouped(docs: DataFrame, n_words: int, num: int, den: int) -> DataFrame:
+    """``near_duplicates`` with text_id, the hash of each row's text."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sets = written(docs.mapInArrow(_sign_task(n_words, num, den), "doc_id long, node long, n_shingles long, sketch binary, signs array<long>"), "sets")
+    signed = docs.select("doc_id", F.xxhash64("text").alias("text_id"), "text")
+    sets = written(signed.mapInArrow(_sign_task(n_words, num, den), "doc_id long, text_id long, node long, n_shingles long, sketch binary, signs array<long>"), "sets")
     signs = sets.select(F.explode("signs").alias("sign"), "node").repartition("sign").sortWithinPartitions("sign", "node")
     met = signs.mapInArrow(_meet, "pivot long, node long").distinct()
     met = written(met, "met")
@@ -401,14 +407,17 @@ def near_duplicates(docs: DataFrame, n_words: int = WORDS, num: int = NUM, den:
     of_node = nodes.select("node", "doc_id").join(found.join(named, "component").select("node", "component_id"), "node", "left")
     # a table of its own: the join then has an exchange on either side, and a node with very many copies can be split
     of_node = written(of_node.select(F.col("node").alias("n"), F.coalesce("component_id", "doc_id").alias("component_id")), "of-node")
-    return sets.join(of_node, F.col("node") == F.col("n"), "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    return sets.join(of_node, F.col("node") == F.col("n"), "left").select("doc_id", "text_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def keep_first(docs: DataFrame, n_words: int = WORDS, num: int = NUM, den: int = DEN) -> DataFrame:
     """One document of each group of ``near_duplicates`` (the smallest doc_id), all columns kept.
 
-    Rows that repeat the kept doc_id all stay; so do rows without words and rows
-    with a null id that are linked with no row that has one.
+    It is decided per row, known by doc_id and text: another text under the id of
+    a row that goes stays. Rows that repeat the kept doc_id in its group all stay; so
+    do rows without words and rows with a null id that are linked with no row that has one.
     """
-    gone = near_duplicates(docs, n_words, num, den).where("doc_id <> component_id or (doc_id is null and component_id is not null)").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, docs["doc_id"].cast("long").eqNullSafe(gone["__gone"]), "left_anti")
+    gone = _grouped(docs, n_words, num, den).where("doc_id <> component_id or (doc_id is null and component_id is not null)")
+    gone = gone.select(F.col("doc_id").alias("__gone"), F.col("text_id").alias("__gone_text")).distinct()
+    same = docs["doc_id"].cast("long").eqNullSafe(gone["__gone"]) & (F.xxhash64(docs["text"].cast("string")) == gone["__gone_text"])
+    return docs.join(gone, same, "left_anti")

@@ -151,8 +151,14 @@ def shared_spans(docs: DataFrame, benchmark: DataFrame, span_words: int = 13, gr
     Other columns are not read. Only ``doc_id`` and ``text`` (``item_id`` and
     ``text``) are taken, so columns of any other name do no harm.
     """
+    return _row_spans(docs, benchmark, span_words, gram_words, block_bytes).select("doc_id.doc_id", "n_words", "spans")
+
+
+def _row_spans(docs: DataFrame, benchmark: DataFrame, span_words: int = 13, gram_words: int = GRAM_WORDS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """``shared_spans`` with doc_id a struct of the id and ``text``, the hash of the row's text."""
     k = min(gram_words, span_words)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    docs = docs.withColumn("doc_id", F.struct("doc_id", F.xxhash64("text").alias("text")))
     items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null and item_id is not null")
     size = items.agg(F.coalesce(F.sum(F.octet_length("text") + 16), F.lit(0))).first()[0]
     n = max(1, -(-size // block_bytes))
@@ -160,9 +166,8 @@ def shared_spans(docs: DataFrame, benchmark: DataFrame, span_words: int = 13, gr
     for i in range(n):
         rows = items.where(F.pmod(F.xxhash64("item_id"), F.lit(n)) == i).collect()
         block = docs.sparkSession.sparkContext.broadcast(_Block([tuple(r) for r in rows], span_words, k))
-        source = docs if n == 1 else docs.withColumn("doc_id", F.struct("doc_id", F.xxhash64("text").alias("text")))
-        schema = f"doc_id {source.schema['doc_id'].dataType.simpleString()}, n_words long, spans array<struct<item_id:string,start:long,end:long>>"
-        parts.append(source.mapInArrow(_scan(block, span_words, k), schema).withColumn("part", F.lit(i)))
+        schema = "doc_id struct<doc_id:long,text:long>, n_words long, spans array<struct<item_id:string,start:long,end:long>>"
+        parts.append(docs.mapInArrow(_scan(block, span_words, k), schema).withColumn("part", F.lit(i)))
     if n == 1:
         return parts[0].drop("part")
     whole = parts[0]
@@ -173,7 +178,7 @@ def shared_spans(docs: DataFrame, benchmark: DataFrame, span_words: int = 13, gr
         whole.groupBy("doc_id")
         .agg(F.max("n_words").alias("n_words"), F.array_distinct(F.flatten(F.collect_list("spans"))).alias("spans"), F.count_if(F.col("part") == 0).cast("int").alias("copies"))
         .withColumn("copy", F.explode(F.array_repeat(F.lit(0), F.col("copies"))))
-        .select("doc_id.doc_id", "n_words", "spans")
+        .select("doc_id", "n_words", "spans")
     )
 
 
@@ -182,7 +187,11 @@ def contamination(docs: DataFrame, benchmark: DataFrame, span_words: int = 13, o
 
     A document is contaminated when n_hit > 0 and one_in * n_hit >= n_words.
     """
-    found = shared_spans(docs, benchmark, span_words, **options)
+    return _judged(shared_spans(docs, benchmark, span_words, **options), one_in)
+
+
+def _judged(found: DataFrame, one_in: int = ONE_IN) -> DataFrame:
+    """n_hit, items and contaminated from spans."""
     # spans sorted by start: each adds what lies beyond the furthest end so far
     covered = F.aggregate(
         F.array_sort(F.transform("spans", lambda s: F.struct(s["start"].alias("a"), s["end"].alias("b")))),
@@ -193,11 +202,13 @@ def contamination(docs: DataFrame, benchmark: DataFrame, span_words: int = 13, o
     return found.withColumn("n_hit", covered).withColumn("items", F.array_sort(F.array_distinct(F.col("spans.item_id")))).withColumn("contaminated", (F.col("n_hit") > 0) & (F.col("n_hit") * one_in >= F.col("n_words")))
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, one_in: int = ONE_IN, **options) -> DataFrame:
     """The rows of ``docs`` that are not contaminated, with all their columns.
 
-    A row goes when any row of its doc_id is contaminated. Rows without doc_id
-    are kept only if no row without doc_id is contaminated.
+    It is decided per row, known by doc_id and text: other texts under the same id
+    stay, and so do other rows without doc_id.
     """
-    bad = contamination(docs, benchmark, **options).where("contaminated").select(F.col("doc_id").alias("__bad_id")).distinct()
-    return docs.join(bad, docs["doc_id"].cast("long").eqNullSafe(bad["__bad_id"]), "left_anti")
+    bad = _judged(_row_spans(docs, benchmark, **options), one_in).where("contaminated")
+    bad = bad.select(F.col("doc_id.doc_id").alias("__bad_id"), F.col("doc_id.text").alias("__bad_text")).distinct()
+    same = docs["doc_id"].cast("long").eqNullSafe(bad["__bad_id"]) & (F.xxhash64(docs["text"].cast("string")) == bad["__bad_text"])
+    return docs.join(bad, same, "left_anti")

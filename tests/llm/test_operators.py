@@ -92,6 +92,15 @@ def test_winnowing_edges(spark, odd, none, docs):
     assert winnowing.contamination(odd, table.limit(0)).where("n_hit > 0").count() == 0
 
 
+@pytest.mark.parametrize("block", [1 << 24, 150])
+def test_decontaminate_decides_per_row(spark, block):
+    bench = spark.createDataFrame([(1, " ".join(f"w{i}" for i in range(20))), (2, " ".join(f"v{i}" for i in range(20)))], "item_id long, text string")
+    hit = " ".join(f"w{i}" for i in range(15))
+    docs = C.frame(spark, [(None, hit), (None, "clean text"), (None, None), (4, hit), (4, "another clean text"), (5, "clean text")])
+    kept = {(r.doc_id, r.text) for r in winnowing.decontaminate(docs, bench, block_bytes=block).collect()}
+    assert kept == {(None, "clean text"), (None, None), (4, "another clean text"), (5, "clean text")}
+
+
 def test_every_long_span_is_found():
     rng = np.random.default_rng(5)
     words = rng.integers(1, 1 << 60, 400, dtype=np.uint64)
@@ -129,6 +138,13 @@ def test_jaccard_in_small_regions(spark, monkeypatch):
     assert by_id(out, "n_shingles", "component_id") == C.near_duplicates(docs)
 
 
+def test_keep_first_decides_per_row(spark):
+    a, b, c = ("alpha beta gamma delta", "one two three four five", "nothing like the others here")
+    docs = C.frame(spark, [(3, a), (7, a), (7, b), (9, b), (None, a), (None, c), (None, None), (8, c + " at all")])
+    kept = sorted(((r.doc_id or 0, r.text) for r in jaccard_join.keep_first(docs).collect()), key=str)
+    assert kept == sorted([(3, a), (7, b), (0, c), (0, None), (8, c + " at all")], key=str)
+
+
 def test_jaccard_edges(odd, none, docs):
     out = jaccard_join.near_duplicates(odd)
     assert out.count() == len(docs) + 5

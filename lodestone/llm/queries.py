@@ -19,7 +19,8 @@ def op1_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id",
         "n_words",
         "n_hit",
-        F.size("items").cast("long").alias("n_items"),
+        # as in the SQL, items without id count as one, which is not listed
+        F.size(F.array_distinct("spans.item_id")).cast("long").alias("n_items"),
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
         "contaminated",
     )

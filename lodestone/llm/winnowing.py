@@ -59,7 +59,7 @@ class _Block:
         raw, offsets = ts.flat(texts)
         raw = ts.LOWER[raw]
         starts, ends, first = ts.words(raw, offsets, ts.ALNUM_WORD)
-        self.ids = [str(i) for i, _ in items]
+        self.ids = [None if i is None else str(i) for i, _ in items]
         self.words = ts.span_hashes(ts.prefix_hashes(raw), starts, ends)
         self.owner, self.first = ts.owners(first), first
         sizes = np.diff(first)
@@ -147,7 +147,7 @@ def shared_spans(docs: DataFrame, benchmark: DataFrame, span_words: int = 13, gr
     A span is a longest run of words that an item shares with the document at one
     alignment, of ``span_words`` words at least, or a whole item that is shorter.
     Null and empty texts have no words and no spans; items without words match
-    nothing; repeated rows each get their row; an empty benchmark gives no spans.
+    nothing; items without item_id match like others, under a null item_id; repeated rows each get their row; an empty benchmark gives no spans.
     Other columns are not read. Only ``doc_id`` and ``text`` (``item_id`` and
     ``text``) are taken, so columns of any other name do no harm.
     """
@@ -159,12 +159,12 @@ def _row_spans(docs: DataFrame, benchmark: DataFrame, span_words: int = 13, gram
     k = min(gram_words, span_words)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     docs = docs.withColumn("doc_id", F.struct("doc_id", F.xxhash64("text").alias("text")))
-    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null and item_id is not null")
+    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null")
     size = items.agg(F.coalesce(F.sum(F.octet_length("text") + 16), F.lit(0))).first()[0]
     n = max(1, -(-size // block_bytes))
     parts = []
     for i in range(n):
-        rows = items.where(F.pmod(F.xxhash64("item_id"), F.lit(n)) == i).collect()
+        rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == i).collect()
         block = docs.sparkSession.sparkContext.broadcast(_Block([tuple(r) for r in rows], span_words, k))
         schema = "doc_id struct<doc_id:long,text:long>, n_words long, spans array<struct<item_id:string,start:long,end:long>>"
         parts.append(docs.mapInArrow(_scan(block, span_words, k), schema).withColumn("part", F.lit(i)))
@@ -185,6 +185,8 @@ def _row_spans(docs: DataFrame, benchmark: DataFrame, span_words: int = 13, gram
 def contamination(docs: DataFrame, benchmark: DataFrame, span_words: int = 13, one_in: int = ONE_IN, **options) -> DataFrame:
     """``shared_spans`` with n_hit (distinct words inside spans), items (sorted ids) and contaminated.
 
+    Words that an item without id hits count; a null id is not listed.
+
     A document is contaminated when n_hit > 0 and one_in * n_hit >= n_words.
     """
     return _judged(shared_spans(docs, benchmark, span_words, **options), one_in)
@@ -199,7 +201,7 @@ def _judged(found: DataFrame, one_in: int = ONE_IN) -> DataFrame:
         lambda acc, s: F.struct((acc["n"] + F.greatest(F.lit(0).cast("long"), s["b"] - F.greatest(s["a"], acc["to"]))).alias("n"), F.greatest(acc["to"], s["b"]).alias("to")),
         lambda acc: acc["n"],
     )
-    return found.withColumn("n_hit", covered).withColumn("items", F.array_sort(F.array_distinct(F.col("spans.item_id")))).withColumn("contaminated", (F.col("n_hit") > 0) & (F.col("n_hit") * one_in >= F.col("n_words")))
+    return found.withColumn("n_hit", covered).withColumn("items", F.array_sort(F.array_compact(F.array_distinct(F.col("spans.item_id"))))).withColumn("contaminated", (F.col("n_hit") > 0) & (F.col("n_hit") * one_in >= F.col("n_words")))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, one_in: int = ONE_IN, **options) -> DataFrame:

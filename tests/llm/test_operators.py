@@ -92,6 +92,15 @@ def test_winnowing_edges(spark, odd, none, docs):
     assert winnowing.contamination(odd, table.limit(0)).where("n_hit > 0").count() == 0
 
 
+@pytest.mark.parametrize("block", [1 << 24, 150])
+def test_items_without_id_match(spark, block):
+    w, v = (" ".join(f"{x}{i}" for i in range(20)) for x in "wv")
+    bench = spark.createDataFrame([(None, w), (2, v), (None, None)], "item_id long, text string")
+    docs = C.frame(spark, [(1, w), (2, f"{v} then {w}"), (3, "clean text")])
+    out = by_id(winnowing.contamination(docs, bench, block_bytes=block), "n_hit", "items", "contaminated")
+    assert out == {1: (20, [], True), 2: (40, ["2"], True), 3: (0, [], False)}
+
+
 @pytest.mark.parametrize("block", [1 << 24, 150])
 def test_decontaminate_decides_per_row(spark, block):
     bench = spark.createDataFrame([(1, " ".join(f"w{i}" for i in range(20))), (2, " ".join(f"v{i}" for i in range(20)))], "item_id long, text string")

@@ -70,6 +70,19 @@ def test_sql(spark, small, name):
     assert sorted(repr([plain(r[c]) for c in names]) for r in df.collect()) == sorted(repr([plain(v) for v in r]) for r in got.fetchall())
 
 
+def test_op1_sql_with_items_without_id(spark, tmp_path):
+    w, v = (" ".join(f"{x}{i}" for i in range(20)) for x in "wv")
+    spark.createDataFrame([(None, w), (None, "short one"), (2, v)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([(1, w), (2, f"{v} then {w}"), (3, "clean text"), (4, v), (5, "a short one")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        con.execute(f"create view {t} as select * from '{tmp_path}/{t}.parquet/*.parquet'")
+    got = con.execute(oracles.SQL["op1_winnowing"])
+    names = [c[0] for c in got.description]
+    want = {r[names.index("doc_id")]: dict(zip(names, r, strict=True)) for r in got.fetchall()}
+    assert {r.doc_id: r.asDict() for r in queries.op1_winnowing(spark, str(tmp_path)).collect()} == want and want[1]["n_hit"] == 20
+
+
 def test_pipeline(spark, small, docs):
     table = spark.read.parquet(f"{small}/documents.parquet")
     stages = dict(corpus_pipeline.STAGES)

@@ -4,19 +4,26 @@ A byte goes when a string of ``SPAN`` bytes that covers it also starts in a
 document with a smaller doc_id. To sort all suffixes is not needed to find these:
 
 1. Exact copies of a text go whole and take no part in what follows.
-2. Anchors: winnowing keeps the least hash of ``GRAM`` bytes in each window, so equal
-   strings of SPAN bytes have an anchor at the same place inside. Tasks exchange
-   sorted, front-coded runs of anchor hashes; those of one document only end here.
-3. Suffixes that start at the remaining anchors are sorted by the task that has
-   the text, and exchanged as front-coded runs (length of the prefix shared with the
-   suffix before, and the rest) with the bytes to their left.
+2. Anchors: each string of SPAN bytes belongs to the gram of ``GRAM`` bytes inside it that
+   has the least hash (the leftmost of equal ones), so equal strings belong to grams at
+   the same place inside. Tasks exchange sorted, front-coded runs of the hashes of these
+   anchors; those of one document only end here.
+3. Each task that has the texts sorts the suffixes that start at the remaining anchors, with
+   the bytes to their left, as far as the strings that belong to the anchor reach. Of
+   equal ones only those of the least document go on: the others are decided. What is left
+   goes to the other tasks as front-coded runs (length of the prefix shared with the suffix
+   before, and the rest).
 4. The receiving task merges the runs with a loser tree whose players carry the
    length of the prefix they share with the last winner: players that differ in it
    are decided without a look at the bytes, others are compared behind it. The
    merge yields each suffix's common prefix with the one before, from which the
    strings that stand in several documents are read off.
-5. Anchors in more than ``HOT_GROUP`` documents are not merged in one task: their
-   strings are counted one by one by grouped aggregation.
+5. All suffixes of one anchor meet in one task. Where an anchor stands in more than
+   ``HOT_GROUP`` places, its strings are dealt one by one instead: a task keeps the least
+   document of each, and sends sorted runs of their hashes, which are merged like those
+   of the anchors. The result is the same whichever way an anchor takes.
+
+Only runs that hold something are sent, so their number grows with the anchors.
 """
 
 from __future__ import annotations
@@ -26,6 +33,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -39,36 +47,51 @@ LEFT = SPAN - GRAM
 OUTSIDE = 0xFF
 #: Bytes of text for each part of the two exchanges.
 PART_BYTES = 16 << 20
-#: Anchors or suffixes that a task holds before it sends runs off.
-ANCHOR_RUN, SUFFIX_RUN = 1 << 19, 1 << 18
-#: Documents of an anchor beyond which its strings are counted by aggregation.
-HOT_GROUP = 20_000
+#: Anchors, suffixes or strings that a task holds before it sends runs off.
+ANCHOR_RUN, SUFFIX_RUN, STRING_RUN = 1 << 19, 1 << 18, 1 << 20
+#: Places of an anchor beyond which its strings are dealt one by one.
+HOT_GROUP = 1 << 13
+#: Bits that an anchor's hash has beyond those that number the anchors: of those that share it, so few do by chance.
+SPARE_BITS = 6
 
 _RUNS = "part int, run binary"
-_PLACES = "doc_id long, tag int, places array<int>"
+_SPANS = "doc_id long, tag int, starts array<int>, ends array<int>"
+_SHARED = "doc_id long, tag int, places array<int>, hot boolean"
+#: What a run holds.
+_SUFFIXES, _STRINGS = 0, 1
 
 
-def anchors(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hash, text and place in the buffer of the grams that winnowing keeps; all of equal least ones."""
-    n = len(raw) - GRAM + 1
+def anchors(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Hash, place in the buffer, and first and last start of the strings that belong to it, of each anchor, in order."""
+    none = np.zeros(0, np.int64)
+    n = len(raw) - SPAN + 1
     if n <= 0:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    at = np.arange(n)
+        return np.zeros(0, np.uint64), none, none, none
+    at = np.arange(len(raw) - GRAM + 1)
     hashes = ts.span_hashes(ts.prefix_hashes(raw), at, at + GRAM)
-    window = SPAN - GRAM + 1
-    least, width = hashes.copy(), 1
+    # the least of a window is the least hash, and of equal ones the leftmost
+    least = (hashes & np.uint64(0xFFFFFFFF << 32)) | at.astype(np.uint64)
+    width, window = 1, SPAN - GRAM + 1
     while width < window:
         step = min(width, window - width)
-        np.minimum(least[: n - step], least[step:], out=least[: n - step])
+        least = np.minimum(least[:-step], least[step:])
         width += step
-    keep = np.zeros(n, bool)
-    for o in range(min(window, n)):
-        keep[o:] |= hashes[o:] == least[: n - o]
-    at = np.flatnonzero(keep)
-    of = np.searchsorted(offsets, at, side="right") - 1
-    inside = (at + GRAM <= offsets[of + 1]) & (offsets[of + 1] - offsets[of] >= SPAN)
+    owner = (least & np.uint64(0xFFFFFFFF)).astype(np.int64)
+    inside = np.arange(n) <= np.repeat(offsets[1:] - SPAN, np.diff(offsets))[:n]
+    starts = np.flatnonzero(inside)
+    if not len(starts):
+        return np.zeros(0, np.uint64), none, none, none
+    of = owner[starts]
+    new = np.flatnonzero(np.concatenate(([True], of[1:] != of[:-1])))
+    last = np.concatenate((new[1:], [len(starts)])) - 1
     # the least of a window are small numbers: mixed again, they spread over all parts
-    return ts.mix(hashes[at[inside]] ^ np.uint64(0x9FB21C651E98DF25)), of[inside], at[inside]
+    return ts.mix(hashes[of[new]] ^ np.uint64(0x9FB21C651E98DF25)), of[new], starts[new], starts[last]
+
+
+def _numbered(place: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The text of each anchor, and its number among those of the text."""
+    of = np.searchsorted(offsets, place, side="right") - 1
+    return of, np.arange(len(of)) - np.searchsorted(of, of)
 
 
 def _packed(*arrays: np.ndarray) -> bytes:
@@ -122,28 +145,61 @@ def _of_parts(hashes: np.ndarray, parts: int) -> np.ndarray:
     return ((hashes >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
 
 
-def _anchor_task(parts: int):
+def _hash_runs(h: np.ndarray, key: np.ndarray, place: np.ndarray, parts: int, bits: int) -> Iterator[tuple[int, bytes]]:
+    """Sorted runs of (hash of so many bits, key, place), one for each part that has any."""
+    order = np.argsort(h)
+    h, key, place = h[order], key[order], place[order]
+    cut = np.searchsorted(_of_parts(h, parts), np.arange(parts + 1))
+    for part in np.flatnonzero(np.diff(cut)):
+        a, b = cut[part], cut[part + 1]
+        keys, which = _unique(key[a:b])
+        steps = np.diff(h[a:b] >> np.uint64(64 - bits), prepend=np.uint64(0))
+        yield int(part), np.array([_STRINGS, b - a, len(keys)], np.int64).tobytes() + _packed(steps, *_key_steps(keys), which.astype(np.uint32), place[a:b].astype(np.uint32))
+
+
+def _read_hashes(runs: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes in order, their keys and places, from all runs of a part."""
+    columns = []
+    for run in runs:
+        _, n, n_keys = np.frombuffer(run, np.int64, 3)
+        reader = _Reader(run[24:])
+        h = np.cumsum(reader.take(n, np.uint64), dtype=np.uint64)
+        keys = reader.keys(n_keys)
+        columns.append((h, keys[reader.take(n, np.uint32)], reader.take(n, np.uint32)))
+    runs.clear()
+    h, key, place = (np.concatenate(x) for x in zip(*columns, strict=True))
+    columns.clear()
+    order = np.argsort(h, kind="stable")
+    return h[order], key[order], place[order]
+
+
+def _groups(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each group of equal sorted values begins, and its size."""
+    first = np.flatnonzero(np.concatenate((np.ones(min(1, len(h)), bool), h[1:] != h[:-1])))
+    return first, np.diff(np.concatenate((first, [len(h)])))
+
+
+def _run_batch(runs: list[tuple[int, bytes]], names: tuple[str, ...] = ()) -> pa.RecordBatch:
+    arrays = [pa.array([p for p, _ in runs], pa.int32()), pa.array([r for _, r in runs], pa.binary())]
+    kinds = {"doc_id": pa.int64(), "tag": pa.int32(), "starts": pa.list_(pa.int32()), "ends": pa.list_(pa.int32())}
+    return pa.RecordBatch.from_arrays([*arrays, *[pa.nulls(len(runs), kinds[n]) for n in names]], names=["part", "run", *names])
+
+
+def _anchor_task(parts: int, bits: int):
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
 
         def out() -> pa.RecordBatch:
-            h, key, place = (np.concatenate(x) for x in zip(*held, strict=True))
+            columns = [np.concatenate(x) for x in zip(*held, strict=True)]
             held.clear()
-            order = np.argsort(h)
-            h, key, place = h[order], key[order], place[order]
-            cut = np.searchsorted(_of_parts(h, parts), np.arange(parts + 1))
-            sent: list[bytes] = []
-            for a, b in zip(cut[:-1], cut[1:], strict=True):
-                keys, which = _unique(key[a:b])
-                steps = np.diff(h[a:b], prepend=np.uint64(0))
-                sent.append(np.array([b - a, len(keys)], np.int64).tobytes() + _packed(steps, *_key_steps(keys), which.astype(np.uint32), place[a:b].astype(np.uint32)))
-            return pa.RecordBatch.from_arrays([pa.array(np.arange(parts, dtype=np.int32)), pa.array(sent, pa.binary())], names=["part", "run"])
+            return _run_batch(list(_hash_runs(*columns, parts, bits)))
 
         for piece in ts.pieces(batches):
             piece = piece.filter(piece.column("doc_id").is_valid())
             raw, offsets = ts.flat(piece.column("text"))
-            h, of, at = anchors(raw, offsets)
-            held.append((h, _keys(piece)[of], at - offsets[of]))
+            h, at, _, _ = anchors(raw, offsets)
+            of, number = _numbered(at, offsets)
+            held.append((h, _keys(piece)[of], number))
             if sum(len(x[0]) for x in held) > ANCHOR_RUN:
                 yield out()
         if held:
@@ -177,86 +233,128 @@ def _lists(key: np.ndarray, *values: np.ndarray) -> list[pa.Array]:
 
 
 def _shared_task(hot_group: int):
-    """Anchors of two documents or more: (doc_id, tag, places, hot), hot anchors apart."""
+    """Anchors of two documents or more: (doc_id, tag, numbers of the anchors, hot), hot anchors apart."""
 
     def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for runs in _by_part(batches):
-            columns = []
-            for run in runs:
-                n, n_keys = np.frombuffer(run, np.int64, 2)
-                reader = _Reader(run[16:])
-                h = np.cumsum(reader.take(n, np.uint64), dtype=np.uint64)
-                keys = reader.keys(n_keys)
-                columns.append((h, keys[reader.take(n, np.uint32)], reader.take(n, np.uint32)))
-            runs.clear()
-            h, key, place = (np.concatenate(x) for x in zip(*columns, strict=True))
-            columns.clear()
-            order = np.argsort(h, kind="stable")
-            h, key, place = h[order], key[order], place[order]
-            first = np.flatnonzero(np.concatenate((np.ones(min(1, len(h)), bool), h[1:] != h[:-1])))
-            size = np.diff(np.concatenate((first, [len(h)])))
-            several = np.minimum.reduceat(key["doc"], first) < np.maximum.reduceat(key["doc"], first) if len(first) else np.zeros(0, bool)
+            h, key, number = _read_hashes(runs)
+            first, size = _groups(h)
+            several = np.minimum.reduceat(key["doc"], first) < np.maximum.reduceat(key["doc"], first)
             for hot in (False, True):
                 take = np.repeat(several & ((size > hot_group) == hot), size)
                 if take.any():
-                    lists = _lists(key[take], place[take])
+                    lists = _lists(key[take], number[take])
                     yield pa.RecordBatch.from_arrays([*lists, pa.array(np.full(len(lists[0]), hot))], names=["doc_id", "tag", "places", "hot"])
 
     return shared
 
 
-def _contexts(piece: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Row in the piece and place of each anchor, and the bytes from LEFT before to SPAN behind it."""
-    raw, offsets = ts.flat(piece.column("text"))
-    lists = piece.column("places")
-    place = lists.flatten().to_numpy().astype(np.int64)
-    of = np.repeat(np.arange(piece.num_rows), np.diff(lists.offsets.to_numpy()))
-    # places in order and once: copies of a row tell them twice
-    key = np.unique(of << 40 | place)
-    of, place = key >> 40, key & ((1 << 40) - 1)
-    context = np.empty((len(of), LEFT + SPAN), np.uint8)
-    for a in range(0, len(of), 8192):
-        some = of[a : a + 8192]
-        at = (offsets[some] + place[a : a + 8192])[:, None] + np.arange(-LEFT, SPAN)[None, :]
-        out = (at < offsets[some][:, None]) | (at >= offsets[some + 1][:, None])
-        context[a : a + 8192] = np.where(out, np.uint8(OUTSIDE), raw[np.clip(at, 0, max(len(raw) - 1, 0))])
-    return of, place, context
+def _picked(lists: pa.Array, at: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Which anchors (by their places) have their numbers in the lists of their texts."""
+    of, number = _numbered(at, offsets)
+    bounds = lists.offsets.to_numpy()
+    wanted = np.repeat(np.arange(len(lists)), np.diff(bounds)) << 40 | lists.flatten().to_numpy().astype(np.int64)
+    return np.isin(of << 40 | number, wanted)
+
+
+def _contexts(raw: np.ndarray, at: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """Bytes from LEFT before each anchor to SPAN behind it, as far as its strings reach; else OUTSIDE."""
+    context = np.empty((len(at), LEFT + SPAN), np.uint8)
+    for a in range(0, len(at), 8192):
+        some = slice(a, a + 8192)
+        places = at[some][:, None] + np.arange(-LEFT, SPAN)[None, :]
+        out = (places < first[some][:, None]) | (places >= last[some][:, None] + SPAN)
+        context[some] = np.where(out, np.uint8(OUTSIDE), raw[np.clip(places, 0, max(len(raw) - 1, 0))])
+    return context
+
+
+def _reach(left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Least and largest o for which the string from o bytes left of the anchor belongs to it."""
+    most = np.where((hole := left[:, ::-1] == OUTSIDE).any(1), hole.argmax(1), LEFT)
+    least = np.maximum(0, SPAN - np.where((hole := right == OUTSIDE).any(1), hole.argmax(1), SPAN))
+    return least, most
+
+
+def _suffix_runs(key: np.ndarray, place: np.ndarray, context: np.ndarray, parts: int) -> tuple[list[tuple[int, bytes]], tuple]:
+    """Front-coded runs of sorted suffixes, one for each part that has any; and what is decided here: (key, start, end)."""
+    words = np.ascontiguousarray(context[:, LEFT : LEFT + GRAM]).view(np.uint64)
+    part = _of_parts(ts.mix(ts.mix(words[:, 0]) + words[:, 1]), parts)
+    # by the suffix, then by the bytes to the left from right to left
+    line = np.concatenate((context[:, LEFT:], context[:, :LEFT][:, ::-1]), axis=1)
+    order = np.argsort(line.view(f"S{LEFT + SPAN}").ravel(), kind="stable")
+    order = order[np.argsort(part[order], kind="stable")]
+    line, key, place, part = line[order], key[order], place[order], part[order]
+    new = np.ones(len(line), bool)
+    new[1:] = (line[1:] != line[:-1]).any(1)
+    group = np.flatnonzero(new)
+    least = np.repeat(np.minimum.reduceat(key["doc"], group), np.diff(np.concatenate((group, [len(line)]))))
+    copy = key["doc"] > least
+    near, far = _reach(line[copy, SPAN:][:, ::-1], line[copy, :SPAN])
+    decided = (key[copy], place[copy] - far, place[copy] - near + SPAN)
+    line, key, place, part = line[~copy], key[~copy], place[~copy], part[~copy]
+    cut = np.searchsorted(part, np.arange(parts + 1))
+    runs = []
+    for p in np.flatnonzero(np.diff(cut)):
+        suffix, left = line[cut[p] : cut[p + 1], :SPAN], line[cut[p] : cut[p + 1], SPAN:]
+        shared = np.zeros(len(suffix), np.uint8)
+        shared[1:] = np.where((same := suffix[1:] == suffix[:-1]).all(1), SPAN, same.argmin(1))
+        rest = suffix[np.arange(SPAN)[None, :] >= shared[:, None]]
+        change = left.copy()
+        change[1:] ^= left[:-1]
+        keys, which = _unique(key[cut[p] : cut[p + 1]])
+        body = _packed(shared, rest, change.ravel(), *_key_steps(keys), which.astype(np.uint32), place[cut[p] : cut[p + 1]].astype(np.uint32))
+        runs.append((int(p), np.array([_SUFFIXES, len(suffix), len(keys), len(rest)], np.int64).tobytes() + body))
+    return runs, decided
+
+
+def _string_runs(h: np.ndarray, key: np.ndarray, start: np.ndarray, parts: int) -> tuple[list[tuple[int, bytes]], tuple]:
+    """Runs of the hashes of strings, of the least document only; and what is decided here."""
+    order = np.argsort(h, kind="stable")
+    h, key, start = h[order], key[order], start[order]
+    first, size = _groups(h)
+    copy = key["doc"] > np.repeat(np.minimum.reduceat(key["doc"], first), size)
+    return list(_hash_runs(h[~copy], key[~copy], start[~copy], parts, 64)), (key[copy], start[copy], start[copy] + SPAN)
 
 
 def _suffix_task(parts: int):
+    names = ("doc_id", "tag", "starts", "ends")
+
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
+        cold: list[tuple] = []
+        hot: list[tuple] = []
 
-        def out() -> pa.RecordBatch:
-            key, place, context = (np.concatenate(x) for x in zip(*held, strict=True))
+        def out(held: list[tuple], make) -> Iterator[pa.RecordBatch]:
+            columns = [np.concatenate(x) for x in zip(*held, strict=True)]
             held.clear()
-            right = np.ascontiguousarray(context[:, LEFT:])
-            words = np.ascontiguousarray(right[:, :GRAM]).view(np.uint64)
-            part = _of_parts(ts.mix(ts.mix(words[:, 0]) + words[:, 1]), parts)
-            order = np.argsort(right.view(f"S{SPAN}").ravel(), kind="stable")
-            order = order[np.argsort(part[order], kind="stable")]
-            cut = np.searchsorted(part[order], np.arange(parts + 1))
-            sent: list[bytes] = []
-            for a, b in zip(cut[:-1], cut[1:], strict=True):
-                own = order[a:b]
-                suffix, left = right[own], context[own, :LEFT]
-                shared = np.zeros(len(own), np.uint8)
-                shared[1:] = np.where((same := suffix[1:] == suffix[:-1]).all(1), SPAN, same.argmin(1))
-                rest = suffix[np.arange(SPAN)[None, :] >= shared[:, None]]
-                change = left.copy()
-                change[1:] ^= left[:-1]
-                keys, which = _unique(key[own])
-                body = _packed(shared, rest, change.ravel(), *_key_steps(keys), which.astype(np.uint32), place[own].astype(np.uint32))
-                sent.append(np.array([len(own), len(keys), len(rest)], np.int64).tobytes() + body)
-            return pa.RecordBatch.from_arrays([pa.array(np.arange(parts, dtype=np.int32)), pa.array(sent, pa.binary())], names=["part", "run"])
+            sent, (key, start, end) = make(*columns, parts)
+            yield _run_batch(sent, names)
+            if len(key):
+                lists = _lists(key, start, end)
+                # these have no part: they only travel with the others
+                where = pa.array((np.arange(len(lists[0])) % parts).astype(np.int32))
+                yield pa.RecordBatch.from_arrays([where, pa.nulls(len(where), pa.binary()), *lists], names=["part", "run", *names])
 
         for piece in ts.pieces(batches):
-            of, place, context = _contexts(piece)
-            held.append((_keys(piece)[of], place, context))
-            if sum(len(x[0]) for x in held) > SUFFIX_RUN:
-                yield out()
-        if held:
-            yield out()
+            raw, offsets = ts.flat(piece.column("text"))
+            h, at, first, last = anchors(raw, offsets)
+            keys = _keys(piece)
+            mine = _picked(piece.column("places"), at, offsets)
+            of = np.searchsorted(offsets, at[mine], side="right") - 1
+            cold.append((keys[of], at[mine] - offsets[of], _contexts(raw, at[mine], first[mine], last[mine])))
+            mine = _picked(piece.column("hot"), at, offsets)
+            if mine.any():
+                many = last[mine] - first[mine] + 1
+                starts = np.repeat(first[mine] - (np.cumsum(many) - many), many) + np.arange(many.sum())
+                of = np.searchsorted(offsets, starts, side="right") - 1
+                hot.append((ts.mix(ts.span_hashes(ts.prefix_hashes(raw), starts, starts + SPAN)), keys[of], starts - offsets[of]))
+            if sum(len(x[0]) for x in cold) > SUFFIX_RUN:
+                yield from out(cold, _suffix_runs)
+            if sum(len(x[0]) for x in hot) > STRING_RUN:
+                yield from out(hot, _string_runs)
+        if sum(len(x[0]) for x in cold):
+            yield from out(cold, _suffix_runs)
+        if hot:
+            yield from out(hot, _string_runs)
 
     return runs
 
@@ -265,11 +363,11 @@ class _Run:
     """A run as it was sent: sorted suffixes, their common prefixes, and where they come from."""
 
     def __init__(self, run: bytes) -> None:
-        n, n_keys, n_rest = np.frombuffer(run, np.int64, 3)
-        reader = _Reader(run[24:])
+        _, n, n_keys, n_rest = np.frombuffer(run, np.int64, 4)
+        reader = _Reader(run[32:])
         self.shared = reader.take(n, np.uint8)
         rest = reader.take(n_rest, np.uint8)
-        self.left = np.bitwise_xor.accumulate(reader.take(n * LEFT, np.uint8).reshape(n, LEFT), axis=0)
+        self.left = np.bitwise_xor.accumulate(reader.take(n * LEFT, np.uint8).reshape(n, LEFT), axis=0)[:, ::-1]
         keys = reader.keys(n_keys)
         self.key, self.place = keys[reader.take(n, np.uint32)], reader.take(n, np.uint32).astype(np.int64)
         own = SPAN - self.shared.astype(np.int64)
@@ -340,8 +438,7 @@ def _repeats(doc: np.ndarray, left: np.ndarray, right: np.ndarray, common: np.nd
     """For suffixes in order: least and largest o for which the string from o bytes left of the anchor stands in a smaller document (35 and -1 if none)."""
     n = len(doc)
     low, high = np.full(n, LEFT + 1), np.full(n, -1)
-    most_o = np.where((hole := left[:, ::-1] == OUTSIDE).any(1), hole.argmax(1), LEFT)
-    least_o = np.maximum(0, SPAN - np.where((hole := right == OUTSIDE).any(1), hole.argmax(1), SPAN))
+    least_o, most_o = _reach(left, right)
 
     def further(sums: np.ndarray, o: int, which: np.ndarray) -> np.ndarray:
         """Hashes of o bytes to the left, from those of one less."""
@@ -385,38 +482,50 @@ def _repeats(doc: np.ndarray, left: np.ndarray, right: np.ndarray, common: np.nd
     return low, high
 
 
+def _merged_suffixes(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Key, start and end of what goes, from the runs of suffixes of a part."""
+    runs = [_Run(b) for b in blobs]
+    blobs.clear()
+    data = [r.right.tobytes() for r in runs]
+    values = [[int.from_bytes(d[i : i + SPAN], "big") for i in range(0, len(d), SPAN)] for d in data]
+    of_run, index, common = merge(values, [r.shared.tolist() for r in runs])
+    base = np.concatenate(([0], np.cumsum([len(r.key) for r in runs])))
+    order = base[np.array(of_run)] + np.array(index)
+    key, place, left, right = (np.concatenate([getattr(r, c) for r in runs])[order] for c in ("key", "place", "left", "right"))
+    low, high = _repeats(np.ascontiguousarray(key["doc"]), left, right, np.array(common))
+    hit = high >= 0
+    return key[hit], place[hit] - high[hit], place[hit] - low[hit] + SPAN
+
+
+def _merged_strings(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Key, start and end of what goes, from the runs of strings of a part."""
+    h, key, start = _read_hashes(blobs)
+    first, size = _groups(h)
+    hit = key["doc"] > np.repeat(np.minimum.reduceat(key["doc"], first), size)
+    return key[hit], start[hit].astype(np.int64), start[hit].astype(np.int64) + SPAN
+
+
 def _merge_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From the runs of each part: (doc_id, tag, starts, ends) of the bytes that go."""
-    for blobs in _by_part(batches):
-        runs = [r for r in map(_Run, blobs) if len(r.key)]
-        blobs.clear()
-        if not runs:
-            continue
-        data = [r.right.tobytes() for r in runs]
-        values = [[int.from_bytes(d[i : i + SPAN], "big") for i in range(0, len(d), SPAN)] for d in data]
-        of_run, index, common = merge(values, [r.shared.tolist() for r in runs])
-        base = np.concatenate(([0], np.cumsum([len(r.key) for r in runs])))
-        order = base[np.array(of_run)] + np.array(index)
-        key, place, left, right = (np.concatenate([getattr(r, c) for r in runs])[order] for c in ("key", "place", "left", "right"))
-        low, high = _repeats(np.ascontiguousarray(key["doc"]), left, right, np.array(common))
-        hit = high >= 0
-        if hit.any():
-            yield pa.RecordBatch.from_arrays(_lists(key[hit], place[hit] - high[hit], place[hit] - low[hit] + SPAN), names=["doc_id", "tag", "starts", "ends"])
-
-
-def _strings_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """All strings around hot anchors: (key, doc_id, tag, start)."""
-    for piece in ts.pieces(batches):
-        raw, offsets = ts.flat(piece.column("text"))
-        of, place, _ = _contexts(piece)
-        starts = (offsets[of] + place)[:, None] - np.arange(LEFT + 1)[None, :]
-        good = (starts >= offsets[of][:, None]) & (starts + SPAN <= offsets[of + 1][:, None])
-        starts, of = starts[good], np.repeat(of, good.sum(1))
-        starts, one = np.unique(starts, return_index=True)
-        of = of[one]
-        keys = ts.span_hashes(ts.prefix_hashes(raw), starts, starts + SPAN)
-        arrays = [pa.array(keys.view(np.int64)), piece.column("doc_id").take(pa.array(of)), piece.column("tag").take(pa.array(of)), pa.array((starts - offsets[of]).astype(np.int32))]
-        yield pa.RecordBatch.from_arrays(arrays, names=["key", "doc_id", "tag", "start"])
+    """From the runs of each part: (doc_id, tag, starts, ends) of the bytes that go; what was decided before passes."""
+    names, decided = ["doc_id", "tag", "starts", "ends"], []
+
+    def open_runs() -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            given = batch.column("run").is_valid()
+            decided.append(batch.filter(pc.invert(given)).select(names))
+            yield batch.filter(given)
+
+    for blobs in _by_part(open_runs()):
+        yield from decided
+        decided.clear()
+        kind = [int(np.frombuffer(b, np.int64, 1)[0]) for b in blobs]
+        for k, make in ((_SUFFIXES, _merged_suffixes), (_STRINGS, _merged_strings)):
+            own = [b for b, x in zip(blobs, kind, strict=True) if x == k]
+            if own:
+                key, start, end = make(own)
+                if len(key):
+                    yield pa.RecordBatch.from_arrays(_lists(key, start, end), names=names)
+    yield from decided
 
 
 def _cut_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -479,14 +588,14 @@ def removed_spans(docs: DataFrame, hot_group: int = HOT_GROUP) -> DataFrame:
     single = texts.where("copy is null").drop("copy")
     # more partitions than parts, so that few of these share one
     dealt = lambda runs: runs.repartition(2 * parts, "part").sortWithinPartitions("part")
-    shared = dealt(single.mapInArrow(_anchor_task(parts), _RUNS)).mapInArrow(_shared_task(hot_group), _PLACES + ", hot boolean")
-    listed = lambda df, *names: df.groupBy("doc_id", "tag").agg(*[F.flatten(F.collect_list(c)).alias(c) for c in names])
-    places = lambda hot: by_id(single, listed(shared.where(F.col("hot") == hot), "places"), "inner").select("doc_id", "tag", "text", "places")
-    spans = dealt(places(False).mapInArrow(_suffix_task(parts), _RUNS)).mapInArrow(_merge_task, "doc_id long, tag int, starts array<int>, ends array<int>")
-    strings = places(True).mapInArrow(_strings_task, "key long, doc_id long, tag int, start int")
-    first = strings.groupBy("key").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").select(F.col("key").alias("k"), "least")
-    hot = strings.join(first, F.col("key") == F.col("k")).where("doc_id > least").select("doc_id", "tag", F.array("start").alias("starts"), F.array(F.col("start") + SPAN).alias("ends"))
-    marked = by_id(texts, listed(spans.unionByName(hot), "starts", "ends"), "left")
+    bits = min(64, max(32, int(size // LEFT).bit_length() + SPARE_BITS))
+    shared = dealt(single.mapInArrow(_anchor_task(parts, bits), _RUNS)).mapInArrow(_shared_task(hot_group), _SHARED)
+    gathered = lambda c, of=None: F.flatten(F.collect_list(F.when(of, F.col(c)) if of is not None else F.col(c)))
+    places = shared.groupBy("doc_id", "tag").agg(gathered("places", ~F.col("hot")).alias("places"), gathered("places", F.col("hot")).alias("hot"))
+    wanted = by_id(single, places, "inner").select("doc_id", "tag", "text", "places", "hot")
+    spans = dealt(wanted.mapInArrow(_suffix_task(parts), f"{_RUNS}, {_SPANS}")).mapInArrow(_merge_task, _SPANS)
+    listed = spans.groupBy("doc_id", "tag").agg(gathered("starts").alias("starts"), gathered("ends").alias("ends"))
+    marked = by_id(texts, listed, "left")
     marked = marked.select("doc_id", "text", F.coalesce("copy", F.lit(False)).alias("copy"), "starts", "ends")
     nameless = every.where("doc_id is null").select("doc_id", "text", F.lit(False).alias("copy"), F.lit(None).cast("array<int>").alias("starts"), F.lit(None).cast("array<int>").alias("ends"))
     return marked.unionByName(nameless)

@@ -377,3 +377,10 @@ def test_quality_edges(spark, odd, none):
     labels = spark.createDataFrame([(1, 1, 0), (1, 0, 0), (None, 1, 0), (3, None, 0)], "doc_id long, quality int, toxic int")
     assert {r.score for r in pu_quality.classify(odd, labels).collect()} == {0.5}
     assert pu_quality.classify(none, labels).count() == 0 and pu_quality.keep_good(none, labels).count() == 0
+
+
+def test_substrings_of_one_repeated_byte(spark):
+    long = "a" * 1_000_000
+    docs = [(5, long), (2, "b" * 30 + "a" * 70_000), (9, "c" * 10 + "a" * 80 + "d" * 10), (11, "ab" * 5000), (12, "xy" + "ab" * 4000)]
+    got = {r.doc_id: (r.n_removed, r.n_spans) for r in suffix_dedup.dedup_substrings(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == {2: (0, 0), 5: (len(long), 1), 9: (80, 1), 11: (0, 0), 12: (8000, 1)}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import blob_ledger, jaccard_join, language_id, line_dedup, ppm, pu_quality, replication, suffix_dedup, winnowing
+from . import blob_ledger, chroma, jaccard_join, language_id, line_dedup, ppm, pu_quality, replication, suffix_dedup, winnowing
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -48,6 +48,12 @@ def op5_poisson_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "text", "lang", "source", "n_chars", "rate", "copy", "mix_key")
 
 
+def op6_chroma(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents, played as scores, aligned by their chroma fingerprints."""
+    found = chroma.align(_table(spark, sf_dir, "documents"), chroma.melody, chroma.MELODY, "text")
+    return found.withColumn("codes_sha256", F.sha2("codes", 256)).drop("codes")
+
+
 def op7_blob_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets in documents; each document is a version of the path that its id names."""
     docs = _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("path"), "text")
@@ -81,6 +87,7 @@ QUERIES = {
     "op3_pu_quality": op3_pu_quality,
     "op4_line_dedup": op4_line_dedup,
     "op5_poisson_mix": op5_poisson_mix,
+    "op6_chroma": op6_chroma,
     "op7_blob_ledger": op7_blob_ledger,
     "op8_ppm": op8_ppm,
     "op9_jaccard_join": op9_jaccard_join,

@@ -10,9 +10,10 @@ non-negative unbiased risk
 With this loss the risk and its gradient depend on the data through the first
 and second moments of P and U alone. One distributed pass sums these over every
 row; the minimisation then runs on two small matrices, whatever the size of the
-corpus. The class prior is estimated from P and U as well: a bin that bad text
-does not reach has the share prior * (its share among positives) of U, so the
-prior is the least such ratio.
+corpus. The class prior is estimated from P and U alone, never from negatives: a set of texts
+that bad ones do not reach has the share prior * (its share among positives) of U, so
+the prior is the least ratio of the two shares. A first guess takes it over the bins of
+the statistics; the one that counts takes it over the upper ends of the linear score.
 """
 
 from __future__ import annotations
@@ -32,8 +33,12 @@ from .shared import written
 THRESHOLD = 0.7
 #: Bins of each statistic, and the weight of the ridge: a fixed part, and one that shrinks with the positives.
 BINS, RIDGE, RIDGE_ROWS = 8, 1e-4, 1.0
-#: Bins with a smaller share of the positives don't vote on the class prior.
-LEAST_SHARE = 0.05
+#: Bins, and upper ends of the linear score, with a smaller share of the positives don't vote on the class prior.
+LEAST_SHARE, LEAST_END = 0.05, 0.25
+#: Largest estimate of the class prior.
+MOST_PRIOR = 0.95
+#: Share of the score that follows the linear score inside a step of the posterior.
+WITHIN = 0.02
 
 STATISTICS = (
     "log_bytes", "log_words", "word_bytes", "upper", "digit", "symbol", "bang", "pipe", "dash", "high", "blank", "line_bytes", "stops",
@@ -125,11 +130,11 @@ class Model:
         return _bins(stats, self.cuts) @ self.weights
 
     def score(self, stats: np.ndarray) -> np.ndarray:
-        """Posterior of the good class; a small share of the linear score keeps the order inside a level."""
+        """Posterior of the good class. The posterior is a step function; a share of ``ORDER`` for the linear score keeps the order inside a step."""
         if not len(self.weights):
             return np.full(len(stats), self.prior)
         g = self.linear(stats)
-        return np.clip(0.98 * np.interp(g, self.grid, self.posterior) + 0.02 / (1 + np.exp(-2 * g)), 0.0, 1.0)
+        return np.clip((1 - WITHIN) * np.interp(g, self.grid, self.posterior) + WITHIN / (1 + np.exp(-2 * g)), 0.0, 1.0)
 
 
 def _bins(stats: np.ndarray, cuts: tuple[np.ndarray, ...]) -> np.ndarray:
@@ -216,6 +221,17 @@ def _posterior(good: np.ndarray, all_: np.ndarray, prior: float) -> np.ndarray:
     return np.clip(np.concatenate([np.full(int(n), t / max(b, 1e-9)) for t, b, n in blocks]), 0, 1)
 
 
+def least_ratio(u: np.ndarray, p: np.ndarray, n_u: float, n_p: float, least_share: float = LEAST_SHARE) -> float:
+    """The class prior from counts of U and P in some sets of texts: the least ratio of shares.
+
+    The least of many noisy ratios is too small: each gets its deviation first. Above ``MOST_PRIOR`` bad texts
+    would be too few to be told from noise.
+    """
+    voting = p >= max(least_share * n_p, 1)
+    ratio = (u[voting] / n_u) / (p[voting] / n_p) * (1 + np.sqrt(1 / p[voting] + 1 / np.maximum(u[voting], 1)))
+    return float(ratio.min(initial=MOST_PRIOR))
+
+
 #: Bins of the linear score, in which the posterior is estimated.
 GRID = np.linspace(-3, 3, 241)
 
@@ -240,17 +256,16 @@ def fit(stats: DataFrame, labels: DataFrame, prior: float | None = None, bins: i
     """The model from (doc_id, stats) of the training rows and their (doc_id, quality).
 
     All rows are U; those labelled 1 are P as well. A document with labels that
-    differ is not trusted. ``prior`` is the share of good text; where it is None it
-    is the share of 1 among the labelled training rows if they hold a 0, else the
-    least ratio of a bin's share in U to that in P. Without rows or positives every
+    differ is not trusted, and labels 0 are not used. ``prior`` is the share of good text,
+    estimated as the module says where it is None. Without rows or positives every
     text scores the prior (0.5 if None).
     """
     spark = stats.sparkSession
-    marked = labels.where("quality is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("quality"), F.max("quality").alias("most"))
-    marked = marked.select(F.col("doc_id").alias("__id"), F.when(F.col("quality") == F.col("most"), F.col("quality")).alias("quality"))
-    rows = written(stats.join(marked, F.col("doc_id") == F.col("__id"), "left").select("stats", (F.pmod(F.xxhash64("doc_id", "stats"), F.lit(2)) == 1).alias("half"), F.coalesce(F.col("quality") == 1, F.lit(False)).alias("positive"), (F.col("quality") == 0).alias("negative")), "pu-rows")
+    marked = labels.where("quality is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("quality"))
+    marked = marked.where("quality = 1").select(F.col("doc_id").alias("__id"), F.lit(True).alias("positive"))
+    rows = written(stats.join(marked, F.col("doc_id") == F.col("__id"), "left").select("stats", (F.pmod(F.xxhash64("doc_id", "stats"), F.lit(2)) == 1).alias("half"), F.coalesce("positive", F.lit(False)).alias("positive")), "pu-rows")
     q = [i / bins for i in range(1, bins)]
-    seen = rows.agg(F.count(F.lit(1)).alias("n"), F.count_if("positive").alias("p"), F.count_if(F.coalesce("negative", F.lit(False))).alias("z"), *[F.percentile_approx(F.col("stats")[k], q, 1000).alias(name) for k, name in enumerate(STATISTICS)]).first()
+    seen = rows.agg(F.count(F.lit(1)).alias("n"), F.count_if("positive").alias("p"), *[F.percentile_approx(F.col("stats")[k], q, 1000).alias(name) for k, name in enumerate(STATISTICS)]).first()
     if not seen["p"]:
         return Model((), np.zeros(0), GRID, GRID, prior if prior is not None else 0.5)
     cuts = tuple(np.unique(np.array(seen[name], np.float32)) for name in STATISTICS)
@@ -258,16 +273,21 @@ def fit(stats: DataFrame, labels: DataFrame, prior: float | None = None, bins: i
     size = 1 + sum(len(c) + 1 for c in cuts)
     u0, p0, u1, p1 = total(_moments(cuts), 4, size * size).reshape(4, size, size)
     u, p = u0 + u1, p0 + p1
+
+    def fitted(prior: float) -> tuple[Model, np.ndarray, np.ndarray]:
+        """The model, and U and P by bin of the linear score that the weights of the other half give."""
+        made = lambda p, u: Model(cuts, _minimise(p, u, prior, ridge + RIDGE_ROWS / p[0, 0]), GRID, GRID, prior)
+        whole = made(p, u)
+        # measured on texts that the weights have not seen, or the positives would look too good
+        halves = (made(p0, u0), made(p1, u1)) if p0[0, 0] and p1[0, 0] else (whole, whole)
+        return whole, *total(_histogram(halves), 2, len(GRID))
+
     if prior is None:
-        voting = p[0] >= LEAST_SHARE * p[0, 0]
-        ratio = (u[0] / u[0, 0])[voting] / (p[0] / p[0, 0])[voting]
-        # the least of many noisy ratios is too small: each gets its two deviations first
-        prior = seen["p"] / (seen["p"] + seen["z"]) if seen["z"] else float(min(1.0, (ratio * (1 + 2 / np.sqrt(p[0][voting]))).min()))
-    made = lambda p, u: Model(cuts, _minimise(p, u, prior, ridge + RIDGE_ROWS / p[0, 0]), GRID, GRID, prior)
-    whole = made(p, u)
-    # the posterior is measured on texts that the weights have not seen, or the positives would look too good
-    halves = (made(p0, u0), made(p1, u1)) if p0[0, 0] and p1[0, 0] else (whole, whole)
-    everything, good = total(_histogram(halves), 2, len(GRID))
+        guess = least_ratio(u[0], p[0], u[0, 0], p[0, 0])
+        _, everything, good = fitted(guess)
+        upper = lambda n: np.cumsum(n[::-1])
+        prior = least_ratio(upper(everything), upper(good), everything.sum(), good.sum(), LEAST_END)
+    whole, everything, good = fitted(prior)
     return Model(cuts, whole.weights, GRID, _posterior(good, everything, prior), prior)
 
 

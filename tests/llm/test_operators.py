@@ -384,3 +384,45 @@ def test_substrings_of_one_repeated_byte(spark):
     docs = [(5, long), (2, "b" * 30 + "a" * 70_000), (9, "c" * 10 + "a" * 80 + "d" * 10), (11, "ab" * 5000), (12, "xy" + "ab" * 4000)]
     got = {r.doc_id: (r.n_removed, r.n_spans) for r in suffix_dedup.dedup_substrings(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
     assert got == {2: (0, 0), 5: (len(long), 1), 9: (80, 1), 11: (0, 0), 12: (8000, 1)}
+
+
+def test_class_prior_needs_no_negatives(spark):
+    df, labels, truth = quality_data(spark, 4000)
+    stats = pu_quality.statistics_of(df).cache()
+    with_zeros = pu_quality.fit(stats, labels)
+    without = pu_quality.fit(stats, labels.where("quality = 1"))
+    assert with_zeros.prior == without.prior and abs(without.prior - sum(truth.values()) / len(truth)) < 0.06
+
+
+def test_least_ratio_of_known_shares():
+    rng = np.random.default_rng(8)
+    for prior in (0.2, 0.5, 0.8):
+        good, bad = rng.multinomial(40_000, [0.1, 0.2, 0.3, 0.4]), rng.multinomial(40_000, [0.6, 0.3, 0.1, 0.0])
+        u = prior * good + (1 - prior) * bad
+        assert abs(pu_quality.least_ratio(u, good, u.sum(), good.sum()) - prior) < 0.03
+    assert pu_quality.least_ratio(np.ones(3), np.zeros(3), 3, 0) == pu_quality.MOST_PRIOR
+
+
+def test_risk_is_least(spark):
+    """The moments are those of the rows, and no other weights have a smaller non-negative risk."""
+    df, labels, _ = quality_data(spark, 600)
+    x = np.array([r.stats for r in pu_quality.statistics_of(df).collect()], np.float32)
+    cuts = tuple(np.unique(np.quantile(x[:, k], [0.3, 0.7]).astype(np.float32)) for k in range(x.shape[1]))
+    z = pu_quality._bins(x, cuts)
+    good = np.arange(len(z)) % 3 == 0
+    u, p, prior, ridge = z.T @ z, z[good].T @ z[good], 0.4, 1e-3
+    w = pu_quality._minimise(p, u, prior, ridge)
+
+    def risk(w):
+        g = z @ w
+        return prior * ((1 - g[good]) ** 2).mean() / 4 + max(0.0, ((1 + g) ** 2).mean() / 4 - prior * ((1 + g[good]) ** 2).mean() / 4) + ridge * (w**2).sum()
+
+    rng = np.random.default_rng(1)
+    assert all(risk(w) <= risk(w + 0.05 * rng.normal(size=len(w))) + 1e-12 for _ in range(200))
+
+
+def test_quality_of_very_long_texts(spark):
+    df, labels, _ = quality_data(spark, 400)
+    long = spark.createDataFrame([(9000, "the river " * 200_000, "s", "en"), (9001, "\n" * 500_000, "s", "en"), (9002, "é" * 700_000, "s", "en")], df.schema)
+    out = {r.doc_id: r.score for r in pu_quality.classify(df.unionByName(long), labels).collect()}
+    assert all(0 <= out[i] <= 1 for i in (9000, 9001, 9002))

@@ -4,8 +4,9 @@ Every text is cut into lower-cased words. Of the hashes of k consecutive words
 the least in each window of w is kept, so any span of k + w - 1 words that a
 document shares with a benchmark item leaves at least one kept hash in both.
 Kept hashes of documents are joined with those of the benchmark, and each hit
-is extended word by word to the longest shared span; spans of ``span_words``
-words or more count.
+is extended to the windows of ``span_words`` words around it that an item has too;
+windows that follow each other are one span. No pairs of places are made, so a
+text and an item that repeat one word a thousand times cost no more than others.
 
 The benchmark side is the query set: it is read in blocks of a bounded number
 of bytes, each is broadcast to the scan of the documents, and the spans found
@@ -63,16 +64,18 @@ class _Block:
         self.words = ts.span_hashes(ts.prefix_hashes(raw), starts, ends)
         self.owner, self.first = ts.owners(first), first
         sizes = np.diff(first)
-        at, grams = _kept(self.words, first, k, span - k + 1)
-        long = sizes[self.owner[at]] >= span if len(at) else np.zeros(0, bool)
-        order = np.argsort(grams[long], kind="stable")
-        self.grams, self.at = grams[long][order], at[long][order]
-        self.short: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-        for n in sorted(set(sizes[(sizes > 0) & (sizes < span)].tolist())):
-            which = np.flatnonzero(sizes == n)
-            whole = ts.gram_hashes(self.words, n)[first[which]]
-            order = np.argsort(whole, kind="stable")
-            self.short[n] = whole[order], which[order]
+        self.grams = np.unique(_kept(self.words, first, k, span - k + 1)[1])
+        # for each number of words in a window: the windows' hashes, sorted, and the item of each
+        self.windows: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        for n in {span, *sizes[(sizes > 0) & (sizes < span)].tolist()}:
+            hashes = ts.gram_hashes(self.words, n)
+            owner = self.owner[: len(hashes)]
+            own = (owner == self.owner[n - 1 :][: len(hashes)]) & ((sizes[owner] == n) | (n == span)) if len(hashes) else np.zeros(0, bool)
+            order = np.lexsort((owner[own], hashes[own]))
+            hashes, owner = hashes[own][order], owner[own][order]
+            new = np.ones(len(hashes), bool)
+            new[1:] = (hashes[1:] != hashes[:-1]) | (owner[1:] != owner[:-1])
+            self.windows[n] = hashes[new], owner[new]
 
 
 def _runs(keys: np.ndarray, probe: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -84,37 +87,38 @@ def _runs(keys: np.ndarray, probe: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return who, np.repeat(low, count) + step
 
 
+def _near(hashes: np.ndarray, first: np.ndarray, grams: np.ndarray, span: int, k: int) -> np.ndarray:
+    """Places of windows of ``span`` words with a kept gram that the benchmark keeps too."""
+    at, kept = _kept(hashes, first, k, span - k + 1)
+    if not len(grams) or not len(at):
+        return np.zeros(0, np.int64)
+    at = at[grams[np.minimum(np.searchsorted(grams, kept), len(grams) - 1)] == kept]
+    places = (at[:, None] - np.arange(span - k + 1)[None, :]).ravel()
+    return np.unique(places[places >= 0])
+
+
 def _spans(block: _Block, hashes: np.ndarray, first: np.ndarray, span: int, k: int) -> list[tuple[int, int, int]]:
-    """(item, start, end) of the longest shared spans, in words of the buffer."""
-    found: set[tuple[int, int, int]] = set()
-    at, grams = _kept(hashes, first, k, span - k + 1)
-    if len(block.grams) and len(at):
-        hit = block.grams[np.minimum(np.searchsorted(block.grams, grams), len(block.grams) - 1)] == grams
-        at, grams = at[hit], grams[hit]
-        reach: dict[int, int] = {}
-        for who, key in zip(*_runs(block.grams, grams), strict=True):
-            a, b = int(at[who]), int(block.at[key])
-            if reach.get(a - b, -1) > a:  # inside a span that is known already
-                continue
-            doc, item = np.searchsorted(first, a, side="right") - 1, block.owner[b]
-            left = min(a - first[doc], b - block.first[item])
-            differs = hashes[a - left : a][::-1] != block.words[b - left : b][::-1]
-            back = int(np.argmax(differs)) if differs.any() else int(left)
-            right = min(first[doc + 1] - a, block.first[item + 1] - b)
-            differs = hashes[a : a + right] != block.words[b : b + right]
-            on = int(np.argmax(differs)) if differs.any() else int(right)
-            reach[a - b] = a + on
-            if back + on >= span:
-                found.add((int(item), a - back, a + on))
-    for n, (whole, which) in block.short.items():
+    """(item, start, end) of the longest runs of windows that an item has too, in words of the buffer."""
+    found = []
+    ends = np.repeat(first[1:], np.diff(first))
+    for n, (windows, item) in block.windows.items():
         grams = ts.gram_hashes(hashes, n)
-        if not len(grams):
+        places = np.arange(len(grams)) if n < span else _near(hashes, first, block.grams, span, k)
+        places = places[places < len(grams)]
+        places = places[places + n <= ends[places]]
+        if not len(places) or not len(windows):
             continue
-        inside = np.flatnonzero(whole[np.minimum(np.searchsorted(whole, grams), len(whole) - 1)] == grams)
-        doc = np.searchsorted(first, inside, side="right") - 1
-        inside = inside[inside + n <= first[doc + 1]]
-        for who, key in zip(*_runs(whole, grams[inside]), strict=True):
-            found.add((int(which[key]), int(inside[who]), int(inside[who]) + n))
+        who, key = _runs(windows, grams[places])
+        of, start = item[key], places[who]
+        order = np.lexsort((start, of))
+        of, start = of[order], start[order]
+        # windows in a row are one span; a short item is one window each time
+        new = np.ones(len(of), bool)
+        if n == span:
+            new[1:] = (of[1:] != of[:-1]) | (start[1:] != start[:-1] + 1) | (ends[start[1:]] != ends[start[:-1]])
+        at = np.flatnonzero(new)
+        last = np.concatenate((at[1:], [len(of)])) - 1 if len(at) else at
+        found += zip(of[at].tolist(), start[at].tolist(), (start[last] + n).tolist(), strict=True)
     return sorted(found)
 
 
@@ -144,8 +148,8 @@ _SPANS = pa.list_(pa.struct([("item_id", pa.string()), ("start", pa.int64()), ("
 def shared_spans(docs: DataFrame, benchmark: DataFrame, span_words: int = 13, gram_words: int = GRAM_WORDS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_words, spans (item_id, start, end in words, end exclusive).
 
-    A span is a longest run of words that an item shares with the document at one
-    alignment, of ``span_words`` words at least, or a whole item that is shorter.
+    A span is a longest run of windows of ``span_words`` words that an item has too, or a
+    whole item that is shorter, wherever it stands.
     Null and empty texts have no words and no spans; items without words match
     nothing; items without item_id match like others, under a null item_id; repeated rows each get their row; an empty benchmark gives no spans.
     Other columns are not read. Only ``doc_id`` and ``text`` (``item_id`` and

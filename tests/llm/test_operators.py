@@ -4,6 +4,7 @@ import itertools
 import math
 import random
 import sys
+import time
 from pathlib import Path
 
 import numpy as np
@@ -119,6 +120,18 @@ def test_every_long_span_is_found():
         assert kept[0] & kept[1]
 
 
+def test_one_word_repeated_is_no_work(spark):
+    """Of 20,000 equal words and an item of 1,000: every window is a hit, and no pairs of places are made."""
+    item, texts = " ".join(["echo"] * 1000), ["echo " * 20_000, "echo " * 12, "x " * 50_000 + "echo " * 13]
+    block = winnowing._Block([(1, item), (2, "echo echo")], 13, 8)
+    raw, offsets = winnowing.ts.flat(winnowing.pa.array(texts))
+    starts, ends, first = winnowing.ts.words(raw, offsets, winnowing.ts.ALNUM_WORD)
+    hashes = winnowing.ts.span_hashes(winnowing.ts.prefix_hashes(raw), starts, ends)
+    began = time.perf_counter()
+    long = [(item, b - a) for item, a, b in winnowing._spans(block, hashes, first, 13, 8) if item == 0]
+    assert long == [(0, 20_000), (0, 13)] and time.perf_counter() - began < 5
+
+
 # --- near duplicates
 
 

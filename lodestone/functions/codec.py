@@ -43,12 +43,12 @@ def compress_bytes(data: bytes, kind: str, level: int | None = None) -> bytes:
 
 
 def decompress_bytes(data: bytes, kind: str, size: int) -> bytes:
-    """The bytes back; ``size`` is that of the original, at least."""
+    """The bytes back; ``size`` is that of the original, as the record has it."""
     try:
         if kind == "lzma":
             return lzma.decompress(data, format=lzma.FORMAT_XZ)
         if kind == "lz4":
-            return _lz4_block(data, size)
+            return pa.Codec("lz4_raw").decompress(data, int(size), asbytes=True) if size else b""
         if kind == "zstd":
             return zstandard.ZstdDecompressor().decompress(data, max_output_size=max(int(size), 1))
     except CompressionError:
@@ -58,38 +58,6 @@ def decompress_bytes(data: bytes, kind: str, size: int) -> bytes:
     raise CompressionError(f"unknown codec {kind}, not one of {CODECS}")
 
 
-def _lz4_block(data: bytes, size: int) -> bytes:
-    # the size is taken exactly where it is right; a larger one is allowed too, so the length is read off the block
-    length = _lz4_length(data)
-    if length > size:
-        raise CompressionError(f"lz4 decompress: {length} bytes don't fit into {size}")
-    return pa.Codec("lz4_raw").decompress(data, length, asbytes=True) if length else b""
-
-
-def _lz4_length(block: bytes) -> int:
-    """Sum of the literal and match lengths of a block (public LZ4 block format)."""
-    total, at, n = 0, 0, len(block)
-    while at < n:
-        token = block[at]
-        at += 1
-        for part, shift in ((token >> 4, 0), (token & 15, 4)):
-            if shift:
-                if at >= n:
-                    return total
-                at += 2
-            more = part
-            if part == 15:
-                while at < n:
-                    byte = block[at]
-                    at += 1
-                    more += byte
-                    if byte != 255:
-                        break
-            total += more + shift
-            at += 0 if shift else more
-    return total
-
-
 @F.pandas_udf(T.BinaryType())
 def compress(data: pd.Series, kind: pd.Series, level: pd.Series) -> pd.Series:
     """``compress_bytes`` of a column; null stays null."""

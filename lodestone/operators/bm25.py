@@ -43,7 +43,8 @@ def scores(post: DataFrame, stats: DataFrame, query_tokens: DataFrame, k1: float
     wanted = query_tokens.select("token").distinct()
     hits = post.join(small(wanted), "token", "left_semi")
     # frequencies of the queries' tokens only, from the rows that survive
-    hits = hits.join(document_frequency(hits), "token").join(F.broadcast(stats))
+    # they are one row a token of the queries: looked at for their size, and then broadcast, so that no posting is shuffled by token
+    hits = hits.join(small(document_frequency(hits)), "token").join(F.broadcast(stats))
     idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
     norm = F.coalesce(F.col("doc_len") / F.nullif(F.col("avg_len"), F.lit(0.0)), F.lit(0.0))
     weight = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * norm))

@@ -15,8 +15,8 @@ from .bm25 import top
 DIGITS = 6
 #: Queries in one broadcast; more are taken block by block.
 BLOCK_QUERIES = 4096
-#: Rows of the corpus in one product.
-BLOCK_ROWS = 8192
+#: Scores in one product: that of few rows where there are many queries.
+BLOCK_SCORES = 1 << 22
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -29,35 +29,44 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(F.size(a) == F.size(b), F.when(norms == 0, 0.0).otherwise(dot(a, b) / F.when(norms != 0, norms)))
 
 
+def _best(ids: np.ndarray, at: np.ndarray, score: np.ndarray, k: int) -> np.ndarray:
+    """Columns of the k best of each row: ``score`` in whole units, of the ids that ``at`` points to, ties by id."""
+    rank = np.empty(len(ids), np.int64)
+    rank[np.argsort(ids, kind="stable")] = np.arange(len(ids))
+    # one number for both, so that a partition is enough
+    order = (-score << 32) | rank[at]
+    return np.argpartition(order, k - 1, axis=1)[:, :k] if order.shape[1] > k else np.broadcast_to(np.arange(order.shape[1]), order.shape)
+
+
 def _block_task(block, k: int):
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The k best rows of each query in this task: what leaves it does not grow with the corpus."""
-        qids, queries = block.value
-        held_id, held_score = np.zeros((len(qids), 0), np.int64), np.zeros((len(qids), 0))
-        names: list = []
+        queries = block.value
+        ids, at, score, kind = None, None, None, None
+        step = max(1, BLOCK_SCORES // len(queries))
         for batch in batches:
-            for a in range(0, batch.num_rows, BLOCK_ROWS):
-                part = batch.slice(a, BLOCK_ROWS)
+            kind = batch.schema.field("id").type
+            for a in range(0, batch.num_rows, step):
+                part = batch.slice(a, step)
                 rows = part.column("embedding").flatten().to_numpy(zero_copy_only=False).reshape(part.num_rows, -1).astype(np.float64)
                 norm = np.linalg.norm(rows, axis=1)
                 rows = np.divide(rows, norm[:, None], out=np.zeros_like(rows), where=norm[:, None] > 0)
-                score = np.round(queries @ rows.T, DIGITS) + 0.0
-                base = len(names)
-                names += part.column("id").to_pylist()
-                ids = np.broadcast_to(np.arange(base, base + part.num_rows), score.shape)
-                held_id, held_score = np.hstack((held_id, ids)), np.hstack((held_score, score))
-                # ties by id: ids are ordered by value, not by place
-                rank = np.argsort(np.argsort(np.array(names, dtype=object), kind="stable"), kind="stable") if held_id.shape[1] > k else None
-                if rank is not None:
-                    order = np.lexsort((rank[held_id], -held_score), axis=1)[:, :k]
-                    held_id, held_score = np.take_along_axis(held_id, order, 1), np.take_along_axis(held_score, order, 1)
-                    used, held_id = np.unique(held_id, return_inverse=True)
-                    held_id = held_id.reshape(order.shape)
-                    names = [names[i] for i in used]
-        if held_id.shape[1]:
-            kind = batch.schema.field("id").type
-            who = np.repeat(np.arange(len(qids)), held_id.shape[1])
-            yield pa.RecordBatch.from_arrays([pa.array(who, pa.int32()), pa.array([names[i] for i in held_id.ravel()], kind), pa.array(held_score.ravel())], names=["q", "id", "score"])
+                new = np.rint((queries @ rows.T) * 10**DIGITS).astype(np.int64)
+                names = part.column("id").to_numpy(zero_copy_only=False)
+                take = _best(names, np.arange(len(names))[None, :], new, k)
+                new = np.take_along_axis(new, take, 1)
+                if ids is None:
+                    ids, at, score = names, take, new
+                    continue
+                at, score = np.hstack((at, take + len(ids))), np.hstack((score, new))
+                ids = np.concatenate((ids, names))
+                take = _best(ids, at, score, k)
+                at, score = np.take_along_axis(at, take, 1), np.take_along_axis(score, take, 1)
+                used, at = np.unique(at, return_inverse=True)
+                ids, at = ids[used], at.reshape(take.shape)
+        if ids is not None and at.shape[1]:
+            who = np.repeat(np.arange(len(queries)), at.shape[1])
+            yield pa.RecordBatch.from_arrays([pa.array(who, pa.int32()), pa.array(ids[at.ravel()].tolist(), kind), pa.array(score.ravel() / 10**DIGITS)], names=["q", "id", "score"])
 
     return search
 
@@ -65,31 +74,26 @@ def _block_task(block, k: int):
 def search(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """(qid, id, score, rank): the k nearest of (id, embedding) to each of (qid, embedding), ties by id.
 
-    Rows of another dimension than the queries, and null ones, are left out; a
+    Queries are compared with rows of their own dimension; null ones have no hits. A
     zero vector has cosine 0 with all. Queries go in blocks of a fixed number.
     """
     spark = vectors.sparkSession
-    first = queries.where("embedding is not null").select(F.size("embedding").alias("dim")).first()
     qid_type = queries.schema["qid"].dataType.simpleString()
     id_type = vectors.schema["id"].dataType.simpleString()
-    if first is None or k <= 0:
-        return spark.createDataFrame([], f"qid {qid_type}, id {id_type}, score double, rank int")
-    dim = first["dim"]
-    usable = vectors.where((F.size("embedding") == dim) & F.col("id").isNotNull()).select("id", F.col("embedding").cast("array<double>").alias("embedding"))
-    wanted = queries.where(F.size("embedding") == dim).select("qid", F.col("embedding").cast("array<double>").alias("embedding"))
-    n_blocks = max(1, -(-wanted.count() // BLOCK_QUERIES))
-    found = None
-    for i in range(n_blocks):
-        rows = wanted.where(F.pmod(F.xxhash64("qid"), F.lit(n_blocks)) == i).collect()
-        if not rows:
-            continue
-        matrix = np.array([r["embedding"] for r in rows])
-        norm = np.linalg.norm(matrix, axis=1)
-        matrix = np.divide(matrix, norm[:, None], out=np.zeros_like(matrix), where=norm[:, None] > 0)
-        block = spark.sparkContext.broadcast((list(range(len(rows))), matrix))
-        names = spark.createDataFrame([(j, r["qid"]) for j, r in enumerate(rows)], f"q int, qid {qid_type}")
-        part = usable.mapInArrow(_block_task(block, k), f"q int, id {id_type}, score double").join(F.broadcast(names), "q").select("qid", "id", "score")
-        found = part if found is None else found.unionByName(part)
-    if found is None:
-        return spark.createDataFrame([], f"qid {qid_type}, id {id_type}, score double, rank int")
+    found = spark.createDataFrame([], f"qid {qid_type}, id {id_type}, score double")
+    wanted = queries.where("embedding is not null").select("qid", F.col("embedding").cast("array<double>").alias("embedding"))
+    sizes = wanted.groupBy(F.size("embedding").alias("dim")).agg(F.count(F.lit(1)).alias("n")).collect() if k > 0 else []
+    for dim, n in sizes:
+        usable = vectors.where((F.size("embedding") == dim) & F.col("id").isNotNull()).select("id", F.col("embedding").cast("array<double>").alias("embedding"))
+        n_blocks = -(-n // BLOCK_QUERIES)
+        for i in range(n_blocks):
+            rows = wanted.where((F.size("embedding") == dim) & (F.pmod(F.xxhash64("qid"), F.lit(n_blocks)) == i)).collect()
+            if not rows:
+                continue
+            matrix = np.array([r["embedding"] for r in rows]).reshape(len(rows), -1)
+            norm = np.linalg.norm(matrix, axis=1)
+            matrix = np.divide(matrix, norm[:, None], out=np.zeros_like(matrix), where=norm[:, None] > 0)
+            names = spark.createDataFrame([(j, r["qid"]) for j, r in enumerate(rows)], f"q int, qid {qid_type}")
+            part = usable.mapInArrow(_block_task(spark.sparkContext.broadcast(matrix), k), f"q int, id {id_type}, score double").join(F.broadcast(names), "q").select("qid", "id", "score")
+            found = found.unionByName(part)
     return top(found, k)

@@ -149,6 +149,15 @@ from tok join freq using (token) join len using (doc_id) cross join stats group
     "ingest_local_records": f"""{_CHUNKS}, named as (select doc_id, chunk_index, 'mock summary for: ' || chunk as summary, count(*) over (partition by doc_id) as total_chunks from cut)
 select doc_id, chunk_index::bigint as chunk_index, total_chunks, 'text' as modality, case when doc_id % 2 = 0 then 'hybrid_file' else 'text_only' end as storage_mode, 'lzma(6)' as codec, 'text/plain' as mime_type,
  sha256(summary) as summary_sha256, len(list_distinct({_terms('summary')})) as n_tokens, strlen(text) as original_size, upper(sha256(text)) as checksum from named join documents using (doc_id)""",
+    "ingest_totals": f"{_CHUNKS} select (select count(*) from documents) as files, count(*) as records, (select sum(strlen(text))::bigint from documents) as original_bytes from cut",
+    "request_validation": """with picked as (select doc_id, ['text_only', 'HYBRID_FILE', 'full_raw', null, 'text_only', 'raw', 'text_only', 'full_raw', 'text_only'][(doc_id % 9)::int + 1] as mode,
+  ['text', 'Image', null, '', 'document', 'film', 'audio'][(doc_id % 7)::int + 1] as kind, ['{}', '', null, '{"k": 1}', 'no json'][(doc_id % 5)::int + 1] as meta,
+  [null, '', '0f8fad5b-d9cb-469f-a165-70867728950e', 'x'][(doc_id % 4)::int + 1] as parent, case when doc_id % 11 = 0 then 15 when doc_id % 13 = 0 then 12 else 16 end as size from documents)
+select doc_id, case when mode is null or mode = 'raw' then 'Invalid input: Unknown storage mode: ' || coalesce(mode, 'null') when kind = 'film' then 'Invalid input: Unknown modality: film'
+ when meta = 'no json' then 'Invalid input: metadata is no JSON' when parent = 'x' then 'Invalid input: parent_id is no UUID' when size = 15 then 'Invalid input: embedding bytes are no whole floats'
+ when size = 12 then 'Invalid input: embedding has 3 values, not 4' end as error from picked""",
+    "vault_lifecycle": f"""{_CHUNKS} select doc_id, lang is distinct from 'fr' as found, case when lang = 'fr' then 0 else n end as records, coalesce(lang = 'en', false) as english,
+ lang is distinct from 'fr' and doc_id % 2 = 0 and strlen(text) > 0 as fetched from documents join (select doc_id, count(*) as n from cut group by doc_id) using (doc_id)""",
     "parent_rollup": "select conv_id, count(*) as chunks, sha256(string_agg(text, chr(10) order by turn)) as text_sha256 from conversations group by conv_id",
     "vault_stats": """select count(*) as total_records, sum(size) as total_payload_bytes, sum(half) as total_compressed_bytes, round(avg(size / half), 6) as avg_compression_ratio
  from (select strlen(text)::bigint as size, ((strlen(text) + 1) // 2)::bigint as half from documents)""".replace("sum(size)", "sum(size)::bigint").replace("sum(half)", "sum(half)::bigint"),
@@ -169,5 +178,5 @@ select doc_id, chunk_index::bigint as chunk_index, total_chunks, 'text' as modal
     "checksum_sha256": "select doc_id, sha256(text) as checksum from documents",
     "media_texts": f"""select doc_id, case when doc_id % 3 = 0 then '[Image: OCR not available — install tesseract]' when strlen(seen) < 20 then '[Image: no readable text detected]' else seen end || ' a picture' as image,
  case when doc_id % 2 = 0 then '[Visual]: ' || shots || ' [Audio]: words' else shots end as video
- from (select doc_id, array_to_string({_words('text[1:30]')}, ' ') as seen, text[1:10] || ' | ' || text[11:20] as shots from documents)""",
+ from (select doc_id, array_to_string({_words('text')}, ' ') as seen, array_to_string({_SENTENCES}, ' | ') as shots from documents)""",
 }

@@ -14,7 +14,7 @@ from ..sources.extract import image_text, tidy_ocr, video_text
 from ..sources.shared import folder, written
 from ..sources.store import frames, latest
 from . import vault
-from .ingest import IngestConfig, ingest
+from .ingest import IngestConfig, ingest, validate
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -49,13 +49,20 @@ def records(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-#: Folders of the indexes that this process has built, by application and tables.
-_INDEXES: dict[tuple[str, str], str] = {}
+#: Folders of the indexes that this process has built, by application, and the files they were built from.
+_INDEXES: dict[tuple, str] = {}
+
+
+def _files_of(spark: SparkSession, path: str) -> tuple:
+    """Names, sizes and times of a table's files: another set of them is another table."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    listed = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(at)
+    return tuple(sorted((s.getPath().toString(), s.getLen(), s.getModificationTime()) for s in listed))
 
 
 def indexed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Postings and statistics of the documents: an index is built once for a session, and read by every search."""
-    name = (spark.sparkContext.applicationId, sf_dir)
+    """Postings and statistics of the documents: an index is built once for a session and a state of the table, and read by every search."""
+    name = (spark.sparkContext.applicationId, _files_of(spark, f"{sf_dir}/documents.parquet"))
     if name not in _INDEXES:
         path = f"{folder(spark)}/index-{uuid.uuid4().hex}"
         tokens = written(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), text.tokenize(F.col("text")).alias("bm25_tokens")), "tokens")
@@ -290,6 +297,42 @@ def ingest_local_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def ingest_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the response to an ingest adds up; stored bytes depend on the codec's release and are not compared."""
+    made, _ = ingest(files(spark, sf_dir), IngestConfig(chunk_words=CHUNK, overlap_words=OVERLAP, dim=8))
+    return vault.ingest_totals(made).select("files", "records", "original_bytes")
+
+
+def request_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests made of documents, each field of some of them wrong or missing."""
+    pick = lambda *values: F.element_at(F.array(*[F.lit(v).cast("string") for v in values]), (F.col("doc_id") % len(values) + 1).cast("int"))
+    requests = table(spark, sf_dir, "documents").select(
+        "doc_id",
+        pick("text_only", "HYBRID_FILE", "full_raw", None, "text_only", "raw", "text_only", "full_raw", "text_only").alias("storage_mode"),
+        pick("text", "Image", None, "", "document", "film", "audio").alias("modality"),
+        pick("{}", "", None, '{"k": 1}', "no json").alias("metadata"),
+        pick(None, "", "0f8fad5b-d9cb-469f-a165-70867728950e", "x").alias("parent_id"),
+        F.encode(F.repeat(F.lit("a"), F.when(F.col("doc_id") % 11 == 0, 15).when(F.col("doc_id") % 13 == 0, 12).otherwise(16)), "utf-8").alias("embedding_bytes"),
+    )
+    return validate(requests, 4).select("doc_id", "error")
+
+
+def vault_lifecycle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents ingested into a vault, French ones deleted: what is left of each file, and what fetching its first record finds."""
+    kept = vault.Vault(spark, f"{folder(spark)}/vault-{uuid.uuid4().hex}", vault.VaultConfig(ingest=IngestConfig(chunk_words=CHUNK, overlap_words=OVERLAP, dim=8)))
+    kept.ingest(files(spark, sf_dir))
+    records = kept.store.records()
+    kept.store.delete(records.where(metadata.matches(F.col("metadata"), "lang", "fr")).select("id"))
+    asked = written(records.where("chunk_index = 0").select("id", "filename", "parent_id", "original_size"), "asked")
+    found = kept.store.exists(asked)
+    alive = kept.store.records().groupBy(F.col("filename").alias("f")).agg(F.count(F.lit(1)).alias("records"))
+    described = kept.store.search_metadata("lang", "en").withColumn("english", F.lit(True))
+    stored = kept.store.fetch(asked).select("id", F.lit(True).alias("fetched")).distinct()
+    rows = asked.join(found, "id").join(described, "id", "left").join(stored, "id", "left").join(alive, F.col("filename") == F.col("f"), "left")
+    none = F.lit(False)
+    return rows.select(F.regexp_extract("filename", r"(\d+)", 1).cast("long").alias("doc_id"), "found", F.coalesce("records", F.lit(0)).cast("long").alias("records"), F.coalesce("english", none).alias("english"), F.coalesce("fetched", none).alias("fetched"))
+
+
 def parent_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversations put together from their turns."""
     turns = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("parent_id"), F.col("turn").alias("chunk_index"), F.col("text").alias("summary"))
@@ -388,8 +431,8 @@ def checksum_sha256(spark: SparkSession, sf_dir: str) -> DataFrame:
 def media_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How texts of images and videos are put together, with document texts for what models would say."""
     docs = table(spark, sf_dir, "documents")
-    seen = F.when(F.col("doc_id") % 3 != 0, F.substring("text", 1, 30))
-    shots = F.array(F.substring("text", 1, 10), F.substring("text", 11, 10))
+    seen = F.when(F.col("doc_id") % 3 != 0, F.col("text"))
+    shots = chunk.sentences(F.col("text"))
     heard = F.when(F.col("doc_id") % 2 == 0, F.lit("words")).otherwise("")
     return docs.select("doc_id", image_text(tidy_ocr(seen), F.lit("a picture")).alias("image"), video_text(shots, heard).alias("video"))
 
@@ -401,7 +444,7 @@ QUERIES: dict[str, Query] = {
         bm25_scores, bm25_topk, bm25_tf_variant, cosine_scores, cosine_topk, cosine_zero_query, vector_batch, hybrid_rrf, hybrid_pure_bm25,
         hybrid_pure_vector, hybrid_modality_filter, hybrid_metadata_filter, hybrid_filter_intersection, hybrid_prefilter, hybrid_enriched,
         hybrid_batch, metadata_kv_search, metadata_nonstring_no_match, detect_modality, detect_mime, should_chunk, sentences, chunk_text,
-        chunk_counts, ingest_local_records, parent_rollup, vault_stats, upsert_latest, record_exists, delete_records, incremental_index,
+        chunk_counts, ingest_local_records, ingest_totals, request_validation, vault_lifecycle, parent_rollup, vault_stats, upsert_latest, record_exists, delete_records, incremental_index,
         fetch_frames, payload_sizes, delta_encode, delta_decode, select_codec, codec_roundtrip, embedding_codec_roundtrip,
         embedding_bytes_roundtrip, checksum_sha256, media_texts,
     )

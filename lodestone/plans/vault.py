@@ -12,9 +12,9 @@ from ..functions.codec import decompress
 from ..functions.metadata import candidate
 from ..functions.text import tokenize_query
 from ..operators import bm25, hybrid, vector
-from ..schema import RECORD, InvalidInputError, NotFoundError, parse_modality
+from ..schema import InvalidInputError, NotFoundError, parse_modality
 from ..sources.store import Store, frames
-from .ingest import IngestConfig, ingest
+from .ingest import IngestConfig, put
 
 
 @dataclass(frozen=True)
@@ -38,13 +38,9 @@ class Vault:
 
     def ingest(self, files: DataFrame) -> DataFrame:
         """Ingests files and tells for each record its id and sizes."""
-        records, payloads = ingest(files, self.config.ingest)
         version = self.store.next_version()
-        self.store.put_records(records, version)
-        self.store.put_payloads(payloads, version)
-        self.store.put_metadata(records.select("id", "metadata"), version)
-        written = self.store._read("records", RECORD).where(F.col("version") == version)
-        return written.select("id", "parent_id", "chunk_index", "total_chunks", "original_size", "compressed_size")
+        put(self.store, files, self.config.ingest, version)
+        return self.store.written_records(version).select("id", "parent_id", "chunk_index", "total_chunks", "original_size", "compressed_size")
 
     def index(self) -> tuple[DataFrame, DataFrame]:
         """Postings and corpus statistics, stored beside the records; tokens are range partitioned, so that few row groups serve a query."""
@@ -115,7 +111,15 @@ def vault_stats(records: DataFrame) -> DataFrame:
     )
 
 
+def ingest_totals(records: DataFrame) -> DataFrame:
+    """One row for what an ingest wrote: files, records, bytes before and after compression (each file once), and its share."""
+    first = F.col("chunk_index") == 0
+    sizes = [F.coalesce(F.sum(F.when(first, F.col(c))), F.lit(0)).cast("long") for c in ("original_size", "compressed_size")]
+    totals = records.agg(F.count_if(first).alias("files"), F.count(F.lit(1)).alias("records"), sizes[0].alias("original_bytes"), sizes[1].alias("stored_bytes"))
+    return totals.withColumn("share", F.round(F.coalesce(F.col("stored_bytes") / F.nullif(F.col("original_bytes"), F.lit(0)), F.lit(0.0)), 6))
+
+
 def parent_rollup(records: DataFrame) -> DataFrame:
-    """(parent_id, chunks, text): the chunks of each parent in their order."""
+    """(parent_id, chunks, text): the chunks of each parent in their order; a parent becomes one text, so it may have 2 GB at most."""
     grouped = records.where("parent_id is not null").groupBy("parent_id").agg(F.array_sort(F.collect_list(F.struct("chunk_index", "summary"))).alias("all"))
     return grouped.select("parent_id", F.size("all").cast("long").alias("chunks"), F.array_join("all.summary", "\n").alias("text"))

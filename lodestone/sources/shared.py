@@ -9,16 +9,22 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def folder(spark: SparkSession) -> str:
-    """The folder named in ``spark.checkpoint.dir``; a temporary one where that is unset, as in local tests."""
+    """The folder named in ``spark.checkpoint.dir``; a temporary one where that is unset and all tasks run on this machine, as in local tests."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         named = tempfile.mkdtemp(prefix="lodestone-")
         spark.conf.set("spark.checkpoint.dir", named)
     return named.rstrip("/")
 
 
-def written(df: DataFrame, what: str) -> DataFrame:
-    """``df`` as a Parquet table of its own: what reads it several times does not compute it again."""
+def written(df: DataFrame, what: str, files: int | None = None) -> DataFrame:
+    """``df`` as a Parquet table of its own: what reads it several times, or after an executor is lost, does not compute it again.
+
+    ``files`` is at most how many files (and last tasks) it takes, for tables known to be small.
+    """
     path = f"{folder(df.sparkSession)}/{what}-{uuid.uuid4().hex}"
+    df = df.coalesce(files) if files else df
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

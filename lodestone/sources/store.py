@@ -39,6 +39,9 @@ def frames(payloads: DataFrame, size: int = FRAME_BYTES) -> DataFrame:
     return split.select("id", "chunk_index", F.substring(F.col("payload"), F.col("chunk_index") * size + 1, F.lit(size)).alias("data"), total.cast("long").alias("total_bytes"))
 
 
+TABLES = ("records", "payloads", "metadata", "tombstones")
+
+
 class Store:
     """Tables under ``path``; directories are created when they are first written."""
 
@@ -63,8 +66,28 @@ class Store:
                 writer = writer.option(f"parquet.bloom.filter.enabled#{column}", "true")
         writer.parquet(f"{self.path}/{table}/version={version}")
 
+    def _files(self, table: str):
+        """Hadoop's file system and the names in a folder of the store; no names where there is no folder."""
+        jvm = self.spark.sparkContext._jvm
+        at = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{table}")
+        fs = at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        return fs, [s.getPath().getName() for s in fs.listStatus(at)] if fs.exists(at) else []
+
     def next_version(self) -> int:
-        return time.time_ns()
+        """A version above all that are there; the clock, unless it went back."""
+        names = [n for table in TABLES for n in self._files(table)[1] if n.startswith("version=")]
+        return max([time.time_ns(), *(int(n.partition("=")[2]) + 1 for n in names)])
+
+    def version_of(self, stream: str, batch: int) -> int:
+        """The version of a stream's batch: a new one when it is first seen, and the same when it is delivered again."""
+        name = f"batches/stream={stream}/batch={int(batch)}"
+        if not self._exists(name):
+            self.spark.createDataFrame([(self.next_version(),)], "version long").coalesce(1).write.mode("overwrite").parquet(f"{self.path}/{name}")
+        return self.spark.read.schema("version long").parquet(f"{self.path}/{name}").first()["version"]
+
+    def written_records(self, version: int) -> DataFrame:
+        """The records of one version, as they were written."""
+        return self._read("records", RECORD).where(F.col("version") == version).drop("version")
 
     def put_records(self, records: DataFrame, version: int | None = None) -> int:
         """Upsert by id. Writing a version again replaces it, so a batch that is delivered twice counts once."""
@@ -133,11 +156,8 @@ class Store:
             raise StorageError(f"no table {table}")
         version = self.next_version()
         {"records": self.put_records, "metadata": self.put_metadata, "payloads": self.put_payloads}[table](getattr(self, table)(), version)
-        jvm = self.spark.sparkContext._jvm
-        base = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{table}")
-        fs = base.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-        for status in fs.listStatus(base):
-            name = status.getPath().getName()
+        fs, names = self._files(table)
+        for name in names:
             if name.startswith("version=") and int(name.partition("=")[2]) < version:
-                fs.delete(status.getPath(), True)
+                fs.delete(self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{table}/{name}"), True)
         return version

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..plans.ingest import IngestConfig, ingest
+from ..plans.ingest import IngestConfig, put
 from ..sources.store import Store
 
 
@@ -27,15 +29,16 @@ def watch(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:
 def assemble_uploads(chunks: DataFrame) -> DataFrame:
     """Byte chunks (upload_id, filename, chunk_index, data) to files: what a client sends in parts is one file.
 
-    Parts of one upload are put together in their order; a part that was sent twice counts once.
+    Parts of one upload are put together in their order; a part that was sent twice counts once. An
+    upload becomes one value, so it may have 1 GB at most.
     """
     parts = chunks.dropDuplicates(["upload_id", "chunk_index"]).groupBy("upload_id").agg(
-        F.max("filename").alias("filename"), F.array_sort(F.collect_list(F.struct("chunk_index", F.hex("data").alias("data")))).alias("parts")
+        F.max("filename").alias("filename"), F.array_sort(F.collect_list(F.struct("chunk_index", "data"))).alias("parts")
     )
     return parts.select(
         F.col("upload_id").alias("file_id"),
         "filename",
-        F.unhex(F.array_join("parts.data", "")).alias("content"),
+        F.aggregate("parts.data", F.lit(b""), lambda whole, part: F.concat(whole, part)).alias("content"),
         F.lit("text_only").alias("storage_mode"),
         F.lit("{}").alias("metadata"),
         F.lit(None).cast("string").alias("parent_id"),
@@ -43,13 +46,16 @@ def assemble_uploads(chunks: DataFrame) -> DataFrame:
 
 
 def into_store(files: DataFrame, store: Store, checkpoint: str, config: IngestConfig | None = None, available_now: bool = True) -> StreamingQuery:
-    """Runs the stream into the store. A batch that is delivered again overwrites its own version."""
+    """Runs the stream into the store.
+
+    A batch gets a version above all that the store has, whoever wrote them, so it wins over what
+    came before it. Streams are known by the id in their checkpoint: a batch that is delivered again overwrites its own
+    version, and no other stream's. Records are written once; their metadata is taken from what was written.
+    """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        records, payloads = ingest(batch, config)
-        store.put_records(records, batch_id)
-        store.put_payloads(payloads, batch_id)
-        store.put_metadata(records.select("id", "metadata"), batch_id)
+        stream = json.loads(batch.sparkSession.read.text(f"{checkpoint}/metadata").first()[0])["id"]
+        put(store, batch, config, store.version_of(stream, batch_id))
 
     writer = files.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="10 seconds")).start()

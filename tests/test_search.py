@@ -95,3 +95,11 @@ def test_enrich_drops_unknown_hits(spark):
     payloads = spark.createDataFrame([(30,), (2,)], "payload_id long")
     shown = {r.id: (r.filename, r.has_payload) for r in hybrid.enrich(hybrid.hybrid(v, t, 5), records_, payloads).collect()}
     assert shown == {1: ("", False), 3: ("f", True)}
+
+
+def test_queries_of_several_dimensions(spark):
+    rows = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0]), (3, [1.0, 0.0, 0.0]), (4, None), (None, [1.0, 1.0])], "id long, embedding array<float>")
+    asked = spark.createDataFrame([("a", [1.0, 0.0]), ("b", [0.0, 0.0, 0.0]), ("c", None), ("d", [1.0])], "qid string, embedding array<float>")
+    got = {(r.qid, r.id): (r.score, r["rank"]) for r in vector.search(rows, asked, 2).collect()}
+    assert got == {("a", 1): (1.0, 1), ("a", 2): (0.0, 2), ("b", 3): (0.0, 1)}
+    assert vector.search(rows, asked, 0).count() == 0 and vector.search(rows, asked.limit(0), 3).count() == 0

@@ -66,7 +66,10 @@ def test_retry():
 
 def test_validate(spark):
     rows = spark.createDataFrame([("text_only", "{}", ""), ("nope", "{}", ""), ("full_raw", "{", ""), ("full_raw", "", "x")], "storage_mode string, metadata string, parent_id string")
-    assert [r.error for r in validate(rows).collect()] == [None, "Unknown storage mode: nope", "Invalid input: metadata is no JSON", "Invalid input: parent_id is no UUID"]
+    assert [r.error for r in validate(rows).collect()] == [None, "Invalid input: Unknown storage mode: nope", "Invalid input: metadata is no JSON", "Invalid input: parent_id is no UUID"]
+    rows = spark.createDataFrame([("FULL_RAW", "Text", b"12345678", [1.0]), (None, "text", None, None), ("full_raw", "film", None, None), ("full_raw", None, b"123", None), ("full_raw", "", b"1234", None), ("full_raw", "", None, [1.0, 2.0])], "storage_mode string, modality string, embedding_bytes binary, embedding array<float>")
+    assert [r.error for r in validate(rows).collect()] == [None, "Invalid input: Unknown storage mode: null", "Invalid input: Unknown modality: film", "Invalid input: embedding bytes are no whole floats", None, None]
+    assert [r.error for r in validate(rows, 2).collect()][0] == "Invalid input: embedding has 1 values, not 2" and [r.error for r in validate(rows, 2).collect()][4:] == ["Invalid input: embedding has 1 values, not 2", None]
 
 
 def test_extractors(spark):
@@ -153,6 +156,42 @@ def test_streaming(spark, tmp_path):
     assert bytes(assemble_uploads(parts).first().content) == b"hello"
 
 
+def test_streams_and_the_facade_share_versions(spark, tmp_path):
+    """What comes later counts, whether a stream or the facade wrote it; no stream overwrites another; a batch that comes again does nothing new."""
+    vault = Vault(spark, str(tmp_path / "vault"), VaultConfig(ingest=config()))
+    stream = lambda name: into_store(watch(spark, str(tmp_path / name)), vault.store, str(tmp_path / f"check-{name}"), config()).awaitTermination(120)
+    for name in ("one", "two"):
+        (tmp_path / name).mkdir()
+    (tmp_path / "one" / "a.txt").write_text("new")
+    path = (tmp_path / "one" / "a.txt").as_uri().replace("file:///", "file:/")
+    vault.ingest(files(spark, (path, "a.txt", b"old")))
+    assert stream("one")
+    assert [r.summary for r in vault.store.records().collect()] == ["mock summary for: new"]
+    (tmp_path / "two" / "b.txt").write_text("second stream")
+    assert stream("two") and vault.store.records().count() == 2
+    vault.delete(vault.store.records().where("filename = 'a.txt'").select("id"))
+    (tmp_path / "one" / "c.txt").write_text("third")
+    assert stream("one") and {r.filename for r in vault.store.records().collect()} == {"b.txt", "c.txt"}
+    vault.store.compact("records")
+    (tmp_path / "two" / "d.txt").write_text("after")
+    assert stream("two") and vault.store.records().count() == 3
+    assert vault.store.version_of("s", 0) == vault.store.version_of("s", 0) < vault.store.version_of("s", 1) < vault.store.next_version()
+
+
+def test_models_are_asked_once(spark, tmp_path):
+    (tmp_path / "asked").mkdir()
+
+    def summarizer(prompt, text, where=str(tmp_path / "asked")):
+        import uuid
+
+        open(f"{where}/{uuid.uuid4().hex}", "w").close()
+        return f"summary {uuid.uuid4().hex}"
+
+    vault = Vault(spark, str(tmp_path / "vault"), VaultConfig(ingest=config(summarizer=summarizer)))
+    vault.ingest(files(spark, ("a", "a.txt", b"alpha", "full_raw", '{"k":"x"}')))
+    assert len(list((tmp_path / "asked").iterdir())) == 1 and vault.store.metadata().count() == vault.store.records().count() == 1
+
+
 def test_command_line(spark, tmp_path, capsys):
     (tmp_path / "f.txt").write_text("a file about lanterns")
     where = ["--path", str(tmp_path / "v"), "--dim", "8"]

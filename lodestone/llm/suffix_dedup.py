@@ -55,10 +55,8 @@ HOT_GROUP = 1 << 13
 SPARE_BITS = 6
 
 _RUNS = "part int, run binary"
-_SPANS = "doc_id long, tag int, starts array<int>, ends array<int>"
-_SHARED = "doc_id long, tag int, places array<int>, hot boolean"
-#: What a run holds.
-_SUFFIXES, _STRINGS = 0, 1
+#: What a run holds: suffixes, hashes, or what is found for the documents of a part.
+_SUFFIXES, _STRINGS, _FOUND = 0, 1, 2
 
 
 def anchors(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -179,10 +177,34 @@ def _groups(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return first, np.diff(np.concatenate((first, [len(h)])))
 
 
-def _run_batch(runs: list[tuple[int, bytes]], names: tuple[str, ...] = ()) -> pa.RecordBatch:
-    arrays = [pa.array([p for p, _ in runs], pa.int32()), pa.array([r for _, r in runs], pa.binary())]
-    kinds = {"doc_id": pa.int64(), "tag": pa.int32(), "starts": pa.list_(pa.int32()), "ends": pa.list_(pa.int32())}
-    return pa.RecordBatch.from_arrays([*arrays, *[pa.nulls(len(runs), kinds[n]) for n in names]], names=["part", "run", *names])
+def _run_batch(runs: list[tuple[int, bytes]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([p for p, _ in runs], pa.int32()), pa.array([r for _, r in runs], pa.binary())], names=["part", "run"])
+
+
+def _found_runs(key: np.ndarray, one: np.ndarray, other: np.ndarray, parts: int) -> list[tuple[int, bytes]]:
+    """Two numbers for each key, as a run for each part that the documents are dealt to: a row for each document and task would be very many."""
+    part = _of_parts(ts.mix(key["doc"].astype(np.uint64)), parts)
+    order = np.argsort(part, kind="stable")
+    key, one, other = key[order], one[order], other[order]
+    cut = np.searchsorted(part[order], np.arange(parts + 1))
+    runs = []
+    for p in np.flatnonzero(np.diff(cut)):
+        a, b = cut[p], cut[p + 1]
+        keys, which = _unique(key[a:b])
+        runs.append((int(p), np.array([_FOUND, b - a, len(keys)], np.int64).tobytes() + _packed(*_key_steps(keys), which.astype(np.uint32), one[a:b].astype(np.int32), other[a:b].astype(np.int32))))
+    return runs
+
+
+def _gather_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From the runs of each part: (doc_id, tag, one, other), a row for each document."""
+    for _, runs in _by_part(batches):
+        columns = []
+        for run in runs:
+            _, n, n_keys = np.frombuffer(run, np.int64, 3)
+            reader = _Reader(run[24:])
+            keys = reader.keys(n_keys)
+            columns.append((keys[reader.take(n, np.uint32)], reader.take(n, np.int32), reader.take(n, np.int32)))
+        yield pa.RecordBatch.from_arrays(_lists(*(np.concatenate(x) for x in zip(*columns, strict=True))), names=["doc_id", "tag", "one", "other"])
 
 
 def _anchor_task(parts: int, bits: int):
@@ -208,19 +230,19 @@ def _anchor_task(parts: int, bits: int):
     return runs
 
 
-def _by_part(batches: Iterator[pa.RecordBatch]) -> Iterator[list[bytes]]:
-    """The runs of one part after another, from rows in the order of parts."""
+def _by_part(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[bytes]]]:
+    """One part after another and its runs, from rows in the order of parts."""
     part, runs = None, []
     for batch in batches:
         column = batch.column("run")
         for i, p in enumerate(batch.column("part").to_pylist()):
             if p != part and runs:
-                yield runs
+                yield part, runs
                 runs = []
             part = p
             runs.append(column[i].as_py())
     if runs:
-        yield runs
+        yield part, runs
 
 
 def _lists(key: np.ndarray, *values: np.ndarray) -> list[pa.Array]:
@@ -232,29 +254,26 @@ def _lists(key: np.ndarray, *values: np.ndarray) -> list[pa.Array]:
     return [pa.array(keys["doc"]), pa.array(keys["tag"]), *lists]
 
 
-def _shared_task(hot_group: int):
-    """Anchors of two documents or more: (doc_id, tag, numbers of the anchors, hot), hot anchors apart."""
+def _shared_task(hot_group: int, parts: int):
+    """Anchors of two documents or more: their numbers, and whether they are hot."""
 
     def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for runs in _by_part(batches):
+        for _, runs in _by_part(batches):
             h, key, number = _read_hashes(runs)
             first, size = _groups(h)
-            several = np.minimum.reduceat(key["doc"], first) < np.maximum.reduceat(key["doc"], first)
-            for hot in (False, True):
-                take = np.repeat(several & ((size > hot_group) == hot), size)
-                if take.any():
-                    lists = _lists(key[take], number[take])
-                    yield pa.RecordBatch.from_arrays([*lists, pa.array(np.full(len(lists[0]), hot))], names=["doc_id", "tag", "places", "hot"])
+            several = np.repeat(np.minimum.reduceat(key["doc"], first) < np.maximum.reduceat(key["doc"], first), size)
+            yield _run_batch(_found_runs(key[several], number[several], np.repeat(size > hot_group, size)[several], parts))
 
     return shared
 
 
-def _picked(lists: pa.Array, at: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Which anchors (by their places) have their numbers in the lists of their texts."""
+def _picked(piece: pa.RecordBatch, at: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which anchors (by their places) have their numbers in the lists of their texts: those that are not hot, and those that are."""
     of, number = _numbered(at, offsets)
-    bounds = lists.offsets.to_numpy()
-    wanted = np.repeat(np.arange(len(lists)), np.diff(bounds)) << 40 | lists.flatten().to_numpy().astype(np.int64)
-    return np.isin(of << 40 | number, wanted)
+    lists = piece.column("one")
+    wanted = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy())) << 40 | lists.flatten().to_numpy().astype(np.int64)
+    hot = piece.column("other").flatten().to_numpy().astype(bool)
+    return np.isin(of << 40 | number, wanted[~hot]), np.isin(of << 40 | number, wanted[hot])
 
 
 def _contexts(raw: np.ndarray, at: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
@@ -317,8 +336,6 @@ def _string_runs(h: np.ndarray, key: np.ndarray, start: np.ndarray, parts: int)
 
 
 def _suffix_task(parts: int):
-    names = ("doc_id", "tag", "starts", "ends")
-
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cold: list[tuple] = []
         hot: list[tuple] = []
@@ -326,22 +343,17 @@ def _suffix_task(parts: int):
         def out(held: list[tuple], make) -> Iterator[pa.RecordBatch]:
             columns = [np.concatenate(x) for x in zip(*held, strict=True)]
             held.clear()
-            sent, (key, start, end) = make(*columns, parts)
-            yield _run_batch(sent, names)
-            if len(key):
-                lists = _lists(key, start, end)
-                # these have no part: they only travel with the others
-                where = pa.array((np.arange(len(lists[0])) % parts).astype(np.int32))
-                yield pa.RecordBatch.from_arrays([where, pa.nulls(len(where), pa.binary()), *lists], names=["part", "run", *names])
+            sent, decided = make(*columns, parts)
+            yield _run_batch(sent + _found_runs(*decided, parts))
 
         for piece in ts.pieces(batches):
             raw, offsets = ts.flat(piece.column("text"))
             h, at, first, last = anchors(raw, offsets)
             keys = _keys(piece)
-            mine = _picked(piece.column("places"), at, offsets)
+            mine, many_places = _picked(piece, at, offsets)
             of = np.searchsorted(offsets, at[mine], side="right") - 1
             cold.append((keys[of], at[mine] - offsets[of], _contexts(raw, at[mine], first[mine], last[mine])))
-            mine = _picked(piece.column("hot"), at, offsets)
+            mine = many_places
             if mine.any():
                 many = last[mine] - first[mine] + 1
                 starts = np.repeat(first[mine] - (np.cumsum(many) - many), many) + np.arange(many.sum())
@@ -445,7 +457,8 @@ def _repeats(doc: np.ndarray, left: np.ndarray, right: np.ndarray, common: np.nd
         return ts.mix(sums * np.uint64(0x9E3779B97F4A7C55) + left[which, LEFT - o].astype(np.uint64) + np.uint64(1))
 
     def smaller(which: np.ndarray, runs: np.ndarray, lefts_: np.ndarray) -> np.ndarray:
-        key = ts.mix(lefts_ + ts.mix(runs.astype(np.uint64)))
+        # the two parts must not be exchangeable: a left byte of 4 in run 9 is not one of 9 in run 4
+        key = ts.mix(lefts_ * np.uint64(0x9E3779B97F4A7C55) + ts.mix(runs.astype(np.uint64) + np.uint64(1)))
         order = np.argsort(key)
         key = key[order]
         first = np.flatnonzero(np.concatenate((np.ones(min(1, len(key)), bool), key[1:] != key[:-1])))
@@ -505,27 +518,21 @@ def _merged_strings(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndar
     return key[hit], start[hit].astype(np.int64), start[hit].astype(np.int64) + SPAN
 
 
-def _merge_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From the runs of each part: (doc_id, tag, starts, ends) of the bytes that go; what was decided before passes."""
-    names, decided = ["doc_id", "tag", "starts", "ends"], []
+def _merge_task(parts: int):
+    """From the runs of each part: starts and ends of the bytes that go; what was decided before passes."""
 
-    def open_runs() -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            given = batch.column("run").is_valid()
-            decided.append(batch.filter(pc.invert(given)).select(names))
-            yield batch.filter(given)
+    def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, blobs in _by_part(batches):
+            kind = [int(np.frombuffer(b, np.int64, 1)[0]) for b in blobs]
+            of = lambda k: [b for b, x in zip(blobs, kind, strict=True) if x == k]  # noqa: E731, B023
+            made = [make(own) for make, own in ((_merged_suffixes, of(_SUFFIXES)), (_merged_strings, of(_STRINGS))) if own]
+            for figures in made:
+                yield _run_batch(_found_runs(*figures, parts))
+            found = of(_FOUND)
+            if found:
+                yield _run_batch([(part, b) for b in found])
 
-    for blobs in _by_part(open_runs()):
-        yield from decided
-        decided.clear()
-        kind = [int(np.frombuffer(b, np.int64, 1)[0]) for b in blobs]
-        for k, make in ((_SUFFIXES, _merged_suffixes), (_STRINGS, _merged_strings)):
-            own = [b for b, x in zip(blobs, kind, strict=True) if x == k]
-            if own:
-                key, start, end = make(own)
-                if len(key):
-                    yield pa.RecordBatch.from_arrays(_lists(key, start, end), names=names)
-    yield from decided
+    return merged
 
 
 def _cut_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -567,8 +574,7 @@ def removed_spans(docs: DataFrame, hot_group: int = HOT_GROUP) -> DataFrame:
         every = every.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     named = every.where("doc_id is not null")
     size = named.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    parts = max(1, -(-size // PART_BYTES))
-    n = max(parts, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    parts = max(1, -(-size // PART_BYTES), int(spark.conf.get("spark.sql.shuffle.partitions")))
     digest = named.where("text is not null").select("doc_id", F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(1), "text").alias("h2"))
     # texts that share a doc_id are told apart by a tag; there are hardly ever any
     several = digest.groupBy("doc_id").agg((F.min("h1") < F.max("h1")).alias("several")).where("several")
@@ -583,18 +589,15 @@ def removed_spans(docs: DataFrame, hot_group: int = HOT_GROUP) -> DataFrame:
         return left.join(right, (F.col("doc_id") == F.col("__id")) & (F.col("tag") - F.col("__tag") == 0), how).drop("__id", "__tag")
 
     # one exchange of the texts serves the anchors, the suffixes and the cut
-    texts = named.repartition(n, "doc_id").join(several.hint("shuffle_hash"), "doc_id", "left").withColumn("h1", F.xxhash64("text")).select("doc_id", tag, "text")
+    texts = named.repartition(parts, "doc_id").join(several.hint("shuffle_hash"), "doc_id", "left").withColumn("h1", F.xxhash64("text")).select("doc_id", tag, "text")
     texts = by_id(texts, copies, "left")
     single = texts.where("copy is null").drop("copy")
-    # more partitions than parts, so that few of these share one
-    dealt = lambda runs: runs.repartition(2 * parts, "part").sortWithinPartitions("part")
+    dealt = lambda runs: runs.repartitionById(parts, "part").sortWithinPartitions("part")
+    gathered = lambda found: dealt(found).mapInArrow(_gather_task, "doc_id long, tag int, one array<int>, other array<int>")
     bits = min(64, max(32, int(size // LEFT).bit_length() + SPARE_BITS))
-    shared = dealt(single.mapInArrow(_anchor_task(parts, bits), _RUNS)).mapInArrow(_shared_task(hot_group), _SHARED)
-    gathered = lambda c, of=None: F.flatten(F.collect_list(F.when(of, F.col(c)) if of is not None else F.col(c)))
-    places = shared.groupBy("doc_id", "tag").agg(gathered("places", ~F.col("hot")).alias("places"), gathered("places", F.col("hot")).alias("hot"))
-    wanted = by_id(single, places, "inner").select("doc_id", "tag", "text", "places", "hot")
-    spans = dealt(wanted.mapInArrow(_suffix_task(parts), f"{_RUNS}, {_SPANS}")).mapInArrow(_merge_task, _SPANS)
-    listed = spans.groupBy("doc_id", "tag").agg(gathered("starts").alias("starts"), gathered("ends").alias("ends"))
+    shared = gathered(dealt(single.mapInArrow(_anchor_task(parts, bits), _RUNS)).mapInArrow(_shared_task(hot_group, parts), _RUNS))
+    wanted = by_id(single, shared, "inner").select("doc_id", "tag", "text", "one", "other")
+    listed = gathered(dealt(wanted.mapInArrow(_suffix_task(parts), _RUNS)).mapInArrow(_merge_task(parts), _RUNS)).withColumnsRenamed({"one": "starts", "other": "ends"})
     marked = by_id(texts, listed, "left")
     marked = marked.select("doc_id", "text", F.coalesce("copy", F.lit(False)).alias("copy"), "starts", "ends")
     nameless = every.where("doc_id is null").select("doc_id", "text", F.lit(False).alias("copy"), F.lit(None).cast("array<int>").alias("starts"), F.lit(None).cast("array<int>").alias("ends"))

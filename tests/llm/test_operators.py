@@ -439,3 +439,15 @@ def test_quality_of_very_long_texts(spark):
     long = spark.createDataFrame([(9000, "the river " * 200_000, "s", "en"), (9001, "\n" * 500_000, "s", "en"), (9002, "é" * 700_000, "s", "en")], df.schema)
     out = {r.doc_id: r.score for r in pu_quality.classify(df.unionByName(long), labels).collect()}
     assert all(0 <= out[i] <= 1 for i in (9000, 9001, 9002))
+
+
+def test_repeats_tells_left_bytes_from_runs():
+    """Suffixes that share nothing but whose left byte and number among the suffixes are those of another one exchanged."""
+    n = 120
+    right = np.frombuffer(b"".join(bytes([65 + i // 20, 97 + i % 20]) * 25 for i in range(n)), np.uint8).reshape(n, 50)
+    left = np.full((n, 34), 46, np.uint8)
+    left[:, -1] = np.arange(n)[::-1]
+    low, high = suffix_dedup._repeats(np.arange(n), left, right, np.zeros(n, int))
+    assert (high == -1).all() and (low == 35).all()
+    low, high = suffix_dedup._repeats(np.arange(n), left, right, np.full(n, 16))
+    assert (high == -1).all()

@@ -89,7 +89,8 @@ def scan_unseen(versions: DataFrame, ledger: str, rules: tuple[Rule, ...] = RULE
     blobs = addressed.groupBy("blob").agg(F.min("path").alias("path"))
     known = _ledger(spark, ledger, "scanned", SCANNED)
     wanted = spark.createDataFrame([(r.kind, r.version) for r in rules], "kind string, version int")
-    pairs = blobs.join(F.broadcast(wanted)).join(known, ["blob", "kind", "version"], "left_anti")
+    # written once: a source that changes meanwhile must not mark blobs as scanned that were not
+    pairs = written(blobs.join(F.broadcast(wanted)).join(known, ["blob", "kind", "version"], "left_anti"), "unseen-pairs")
     todo = pairs.groupBy("blob").agg(F.first("path").alias("path"), F.collect_set("kind").alias("kinds"))
     todo = todo.select(F.col("blob").alias("b"), F.col("path").alias("p"), "kinds")
     # path and blob find the row of the representative; paths are many, so no task gets a hot one

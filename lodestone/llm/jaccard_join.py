@@ -40,8 +40,8 @@ WORDS = 3
 NUM, DEN = 100, 90
 #: A region up to these many nodes and shingles is joined in one task; larger ones are cut into blocks of as many nodes.
 REGION_NODES, REGION_SHINGLES = 256, 1_000_000
-#: Words of 64 bits in the least parity sketch, and nodes of a block when a region is narrowed by sketches.
-LEAST_SKETCH, NARROW_NODES = 8, 8192
+#: Words of 64 bits in the least parity sketch, and nodes and bytes of a block when a region is narrowed by sketches.
+LEAST_SKETCH, NARROW_NODES, NARROW_BYTES = 8, 8192, 32 << 20
 #: Pivots of the first round in a large region; each round takes eight times as many.
 FIRST_PIVOTS = 256
 #: Rows (a long and two ids) that may be broadcast; beyond it texts are fetched by a shuffle.
@@ -228,9 +228,10 @@ def _narrow_task(num: int, den: int):
 def _narrowed(placed: DataFrame, num: int, den: int) -> DataFrame:
     """(pivot, node) from (pivot, node, n, sketch): what sketches leave connected, under the least node.
 
-    A region of more than ``NARROW_NODES`` is compared block by block, each pair of blocks in a group of its own.
+    A region of more than ``NARROW_NODES`` or ``NARROW_BYTES`` is compared block by block, each pair of blocks in a group of its own.
     """
-    sizes = placed.groupBy(F.col("pivot").alias("p")).agg(F.ceil(F.count(F.lit(1)) / NARROW_NODES).cast("int").alias("blocks"))
+    blocks = F.ceil(F.greatest(F.count(F.lit(1)) / NARROW_NODES, F.sum(F.octet_length("sketch")) / NARROW_BYTES))
+    sizes = placed.groupBy(F.col("pivot").alias("p")).agg(blocks.cast("int").alias("blocks"))
     rows = placed.join(sizes, F.col("pivot") == F.col("p")).drop("p").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = rows.select("pivot", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "node", "n", "sketch")
@@ -331,10 +332,13 @@ def components(links: DataFrame, most_rounds: int = 50) -> DataFrame:
 
 
 def _large_regions(big: DataFrame, links: DataFrame, n_words: int, num: int, den: int) -> DataFrame:
-    """Links of regions (region, node, text) beyond the bound, round by round; ``links`` are those known already."""
+    """Links of regions (region, node, n, text) beyond the bound, round by round; ``links`` are those known already.
+
+    Blocks of members and chunks of pivots are bounded in nodes and in shingles.
+    """
     spark = big.sparkSession
-    ids = big.select("region", "node").distinct()
-    blocks = ids.groupBy("region").agg(F.ceil(F.count(F.lit(1)) / REGION_NODES).cast("int").alias("blocks"))
+    ids = big.select("region", "node", "n").distinct()
+    blocks = ids.groupBy("region").agg(F.ceil(F.greatest(F.count(F.lit(1)) / REGION_NODES, F.sum("n") / REGION_SHINGLES)).cast("int").alias("blocks"))
     spent = spark.createDataFrame([], "region long, node long")
     found, take = spark.createDataFrame([], _LINKS), FIRST_PIVOTS
     first = True
@@ -343,18 +347,20 @@ def _large_regions(big: DataFrame, links: DataFrame, n_words: int, num: int, den
             rest = ids
         else:
             known = components(links.unionByName(found))
-            of = ids.join(known, "node", "left").select("region", "node", F.coalesce("component", "node").alias("component"))
+            of = ids.join(known, "node", "left").select("region", "node", "n", F.coalesce("component", "node").alias("component"))
             largest = of.groupBy("region", "component").count().groupBy("region").agg(F.max_by("component", F.struct("count", "component")).alias("largest"))
-            rest = of.join(largest, "region").where("component <> largest").select("region", "node")
+            rest = of.join(largest, "region").where("component <> largest").select("region", "node", "n")
         rest = rest.join(spent, ["region", "node"], "left_anti")
         turn = Window.partitionBy("region").orderBy(F.col("node") != F.col("region"), F.xxhash64("node"))
-        chosen = written(rest.withColumn("turn", F.row_number().over(turn)).where(F.col("turn") <= take).select("region", "node", F.floor((F.col("turn") - 1) / REGION_NODES).alias("chunk")), "pivots")
+        before = F.sum("n").over(turn.rowsBetween(Window.unboundedPreceding, -1))
+        ranked = rest.withColumns({"turn": F.row_number().over(turn), "before": F.coalesce(before, F.lit(0))}).where(F.col("turn") <= take)
+        chosen = written(ranked.select("region", "node", F.floor(F.greatest((F.col("turn") - 1) / REGION_NODES, F.col("before") / REGION_SHINGLES)).alias("chunk")), "pivots")
         if chosen.isEmpty():
             return found
         # each block of members meets each chunk of pivots, and the centre, to which distances make the windows
         chunks = chosen.select("region", "chunk").distinct()
         members = big.join(blocks, "region").withColumn("block", F.pmod(F.xxhash64(F.lit(7), "node"), F.col("blocks"))).join(chunks, "region").select("region", "block", "chunk", "node", "text", F.lit(False).alias("chosen"))
-        texts = big.withColumnRenamed("node", "n")
+        texts = big.select("region", F.col("node").alias("n"), "text")
         centres = chunks.withColumn("node", F.col("region")).unionByName(chosen.select("region", "chunk", "node")).distinct().withColumnRenamed("node", "n")
         centres = centres.join(chosen.select("region", "chunk", F.col("node").alias("n"), F.lit(True).alias("chosen")), ["region", "chunk", "n"], "left")
         pivots = centres.join(texts, ["region", "n"]).join(blocks, "region").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
@@ -396,9 +402,9 @@ def _grouped(docs: DataFrame, n_words: int, num: int, den: int) -> DataFrame:
     wanted = members.select(F.col("doc_id").alias("id"), F.col("node")).distinct()
     wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted.hint("shuffle_hash")
     texts = docs.join(wanted, F.col("doc_id").eqNullSafe(F.col("id"))).select("node", "text")
-    placed = members.select(F.col("pivot").alias("region"), "node").join(sizes, "region")
-    full = written(placed.join(texts, "node").select("region", "node", "text", "large"), "regions")
-    links = written(full.where("not large").drop("large").groupBy("region").applyInArrow(_region_task(n_words, num, den), _LINKS), "links-small")
+    placed = members.select(F.col("pivot").alias("region"), "node", "n").join(sizes, "region")
+    full = written(placed.join(texts, "node").select("region", "node", "n", "text", "large"), "regions")
+    links = written(full.where("not large").drop("large", "n").groupBy("region").applyInArrow(_region_task(n_words, num, den), _LINKS), "links-small")
     big = full.where("large").drop("large")
     if not big.isEmpty():
         links = links.unionByName(_large_regions(big, links, n_words, num, den))

@@ -3,19 +3,19 @@
 Lines are reduced to 128 bits of hash with document and position, and range
 partitioned by (hash, document), with position as a secondary sort inside.
 The range bounds run over the document too, so a line that a third of all
-documents hold is spread over many partitions. Inside a partition each
-document's first occurrence of a line stands first and the later ones follow
-it; what a partition knows of a hash (documents, largest document) is one row,
-so the totals move one row for each hash and partition. Only the positions of
-dropped lines go back to their documents, as run lengths.
+documents hold is spread over many partitions. A window streams over the sorted
+partitions as they are and numbers the occurrences of a line in a document; the first ones
+count the documents that hold it. What a partition knows of a hash (documents, largest
+document) is one row, so the totals move one row for each hash and partition. Only the
+positions of dropped lines go back to their documents, as run lengths.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import written
+from .shared import unused, written
 
 #: ASCII letters, for a lower-casing that leaves all other characters alone.
 _UPPER, _SMALL = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -48,13 +48,14 @@ def dropped_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -> Da
     # written: the range bounds and both readers below would each go through the texts again
     keyed = written(lines.select(F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(1), "key").alias("h2"), "doc_id", "text_hash", "pos"), "line-hashes")
     ranged = keyed.repartitionByRange("h1", "h2", "doc_id").sortWithinPartitions("h1", "h2", "doc_id", "pos")
-    # the range partitioning keeps a (hash, document) together, so this needs no exchange
-    held = ranged.groupBy("h1", "h2", "doc_id").agg(F.collect_set(F.struct("text_hash", "pos")).alias("at"))
-    wide = held.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.max("doc_id").alias("last")).where(F.col("n") >= min_docs).drop("n")
+    # the range partitioning keeps a (hash, document) together and in order, so this needs neither an exchange nor a sort
+    occurrence = F.row_number().over(Window.partitionBy("h1", "h2", "doc_id").orderBy("pos"))
+    first = ranged.withColumn("occurrence", occurrence).where("occurrence = 1")
+    wide = first.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.max("doc_id").alias("last")).where(F.col("n") >= min_docs).drop("n")
     # a table of its own: the join then has an exchange on either side, and a hot line can be split
     wide = written(wide, "repeated-lines")
-    gone = held.join(wide.withColumnsRenamed({"h1": "g1", "h2": "g2"}), (F.col("h1") == F.col("g1")) & (F.col("h2") == F.col("g2"))).where(~F.col("doc_id").eqNullSafe(F.col("last")))
-    return gone.select("doc_id", F.explode("at").alias("at")).select("doc_id", "at.text_hash", "at.pos")
+    gone = keyed.join(wide.withColumnsRenamed({"h1": "g1", "h2": "g2"}), (F.col("h1") == F.col("g1")) & (F.col("h2") == F.col("g2"))).where(~F.col("doc_id").eqNullSafe(F.col("last")))
+    return gone.select("doc_id", "text_hash", "pos")
 
 
 def keep_bitmaps(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -> DataFrame:
@@ -64,7 +65,7 @@ def keep_bitmaps(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -> Dat
     lengths of runs of kept and dropped lines in turn, kept first (it may be 0),
     without the last kept run, as 4-byte big-endian integers.
     """
-    gone = dropped_lines(docs, min_chars, min_docs).groupBy("doc_id", "text_hash").agg(F.sort_array(F.collect_list("pos")).alias("p"))
+    gone = dropped_lines(docs, min_chars, min_docs).groupBy("doc_id", "text_hash").agg(F.sort_array(F.collect_set("pos")).alias("p"))
     p = F.col("p")
     starts = F.filter(p, lambda x, i: (i == 0) | (F.get(p, i - 1) != x - 1))
     ends = F.transform(F.filter(p, lambda x, i: F.coalesce(F.get(p, i + 1) != x + 1, F.lit(True))), lambda x: x + 1)
@@ -93,15 +94,17 @@ def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -> Data
     columns are added, n_lines (before) and n_dropped; where the input has such
     columns they are replaced.
     """
-    maps = keep_bitmaps(docs, min_chars, min_docs).select(F.struct("doc_id", "text_hash").alias("__key"), F.struct("n_dropped", "keep_runs").alias("__map"))
+    key_name, map_name = unused(docs, "__key"), unused(docs, "__map")
+    maps = keep_bitmaps(docs, min_chars, min_docs).select(F.struct("doc_id", "text_hash").alias("__doc_of_map"), F.struct("n_dropped", "keep_runs").alias(map_name))
     key = F.struct(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"))
+    other = unused(docs, "__doc")
     # the bitmaps are the small side: a hash join spares the sort of the texts
-    joined = docs.withColumn("__key", key).join(maps.hint("shuffle_hash").withColumnRenamed("__key", "__doc"), F.col("__key").eqNullSafe(F.col("__doc")), "left").drop("__key", "__doc")
-    lines = lines_of(F.col("text"))
+    joined = docs.withColumn(key_name, key).join(maps.hint("shuffle_hash").withColumnRenamed("__doc_of_map", other), F.col(key_name).eqNullSafe(F.col(other)), "left").drop(key_name, other)
+    lines, found = lines_of(F.col("text")), F.col(map_name)
     return joined.withColumns(
         {
             "n_lines": F.size(lines).cast("long"),
-            "n_dropped": F.coalesce(F.col("__map.n_dropped"), F.lit(0)).cast("long"),
-            "text": F.when(F.col("__map").isNull(), F.coalesce(F.col("text"), F.lit(""))).otherwise(apply_bitmap(lines, F.col("__map.keep_runs"))),
+            "n_dropped": F.coalesce(found["n_dropped"], F.lit(0)).cast("long"),
+            "text": F.when(found.isNull(), F.coalesce(F.col("text"), F.lit(""))).otherwise(apply_bitmap(lines, found["keep_runs"])),
         }
-    ).drop("__map")
+    ).drop(map_name)

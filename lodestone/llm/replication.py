@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import written
+from .shared import unused, written
 
 #: Sources are weighted by their size to this power where no weights are given.
 ALPHA = 0.5
@@ -80,15 +80,16 @@ def replicate(docs: DataFrame, weights: DataFrame | None = None, budget: float |
     Null texts have size 0; an empty table gives an empty table.
     """
     rates = written(source_rates(docs, weights, budget, alpha), "rates")
-    tables = poisson_tables(rates).select(F.struct("source").alias("__of"), F.struct("rate", "least", "sums").alias("__t"))
-    if rates.count() <= BROADCAST_SOURCES:
-        tables = F.broadcast(tables)
-    drawn = F.struct(F.lit(f"{seed}").alias("seed"), F.col("doc_id").cast("string").alias("doc_id"), F.md5(F.coalesce(F.col("text"), F.lit(""))).alias("text"))
-    rows = docs.withColumn("__d", drawn).join(tables, F.struct(F.col("source").cast("string").alias("source")).eqNullSafe(F.col("__of")))
-    u = uniform(F.col("__d.seed"), F.col("__d.doc_id"), F.col("__d.text"))
-    copies = (F.col("__t.least") + F.size(F.filter("__t.sums", lambda s: s <= u))).cast("int")
-    rows = rows.withColumn("__n", copies).where("__n > 0")
-    rows = rows.withColumns({"rate": F.col("__t.rate"), "copy": F.explode(F.sequence(F.lit(1), F.col("__n")))})
-    rows = rows.withColumn("mix_key", F.md5(F.concat_ws("|", F.lit("mix"), F.col("__d.seed"), F.coalesce(F.col("__d.doc_id"), F.lit("")), F.col("__d.text"), F.col("copy").cast("string"))))
-    rows = rows.drop("__d", "__of", "__t", "__n")
+    of, given, drawn, copies = (unused(docs, name) for name in ("__of", "__table", "__drawn", "__copies"))
+    tables = poisson_tables(rates).select(F.struct("source").alias(of), F.struct("rate", "least", "sums").alias(given))
+    # beyond the bound a table of its own: the join then has an exchange on either side, and a hot source can be split
+    tables = F.broadcast(tables) if rates.count() <= BROADCAST_SOURCES else written(tables, "poisson-tables")
+    row = F.struct(F.lit(f"{seed}").alias("seed"), F.col("doc_id").cast("string").alias("doc_id"), F.md5(F.coalesce(F.col("text"), F.lit(""))).alias("text"))
+    rows = docs.withColumn(drawn, row).join(tables, F.struct(F.col("source").cast("string").alias("source")).eqNullSafe(F.col(of)))
+    d, t = F.col(drawn), F.col(given)
+    u = uniform(d["seed"], d["doc_id"], d["text"])
+    rows = rows.withColumn(copies, (t["least"] + F.size(F.filter(t["sums"], lambda s: s <= u))).cast("int")).where(F.col(copies) > 0)
+    rows = rows.withColumns({"rate": t["rate"], "copy": F.explode(F.sequence(F.lit(1), F.col(copies)))})
+    rows = rows.withColumn("mix_key", F.md5(F.concat_ws("|", F.lit("mix"), d["seed"], F.coalesce(d["doc_id"], F.lit("")), d["text"], F.col("copy").cast("string"))))
+    rows = rows.drop(drawn, of, given, copies)
     return rows.repartition("mix_key").sortWithinPartitions("mix_key")

@@ -1,29 +1,17 @@
-"""Intermediate tables in the folder that driver and executors share."""
+"""Intermediate tables in the folder that driver and executors share, and names that are free in a table."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from pyspark.sql import DataFrame
 
-from pyspark.sql import DataFrame, SparkSession
+from ..sources.shared import folder, written
 
+__all__ = ["folder", "unused", "written"]
 
-def folder(spark: SparkSession) -> str:
-    """The folder named in ``spark.checkpoint.dir``; a temporary one where that is unset, as in local tests."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        named = tempfile.mkdtemp(prefix="lodestone-")
-        spark.conf.set("spark.checkpoint.dir", named)
-    return named.rstrip("/")
 
-
-def written(df: DataFrame, what: str, files: int | None = None) -> DataFrame:
-    """``df`` written as Parquet to the shared folder and read again: later steps survive lost executors without computing it anew.
-
-    ``files`` is at most how many files (and last tasks) it takes, for tables known to be small.
-    """
-    spark = df.sparkSession
-    path = f"{folder(spark)}/{what}-{uuid.uuid4().hex}"
-    df = df.coalesce(files) if files else df
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, with underscores behind it until ``df`` has no such column."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name

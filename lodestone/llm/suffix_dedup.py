@@ -39,6 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textscan as ts
+from .shared import written
 
 #: Length of the strings, of the grams whose hashes anchor them, and what lies to the left of an anchor at most.
 SPAN, GRAM = 50, 16
@@ -580,6 +581,8 @@ def removed_spans(docs: DataFrame, hot_group: int = HOT_GROUP) -> DataFrame:
     several = digest.groupBy("doc_id").agg((F.min("h1") < F.max("h1")).alias("several")).where("several")
     tag = F.when(F.col("several"), F.pmod(F.col("h1"), F.lit((1 << 31) - 1))).otherwise(0).cast("int").alias("tag")
     least = digest.groupBy("h1", "h2").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("h1").alias("g1"), F.col("h2").alias("g2"), "least")
+    # a table of its own: the join then has an exchange on either side, and a text with very many copies can be split
+    least = written(least, "copied-texts")
     copies = digest.join(least, (F.col("h1") == F.col("g1")) & (F.col("h2") == F.col("g2"))).where("doc_id > least").select("doc_id", "h1").distinct()
     copies = copies.join(several, "doc_id", "left").select("doc_id", tag, F.lit(True).alias("copy"))
 

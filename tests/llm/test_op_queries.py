@@ -98,3 +98,44 @@ def test_pipeline(spark, small, docs):
     assert {r.doc_id for r in stages["benchmark decontamination"](spark, table, small).collect()} == clean
     out = corpus_pipeline.run(spark, small)
     assert {r.doc_id for r in out.select("doc_id").collect()} <= {i for i, _ in docs}
+
+
+def test_stages_on_awkward_tables(spark, small):
+    """Nulls in any column, repeated rows, no ids, columns with clashing names, empty tables."""
+    rows = C.awkward(20)
+    names = "doc_id long, text string, source string, lang string, n_chars long, __key int, __map int, __drawn int, __of int, row int, part int"
+    odd = [(i, t, None if i % 7 == 0 else "s", None if i % 3 == 0 else "en", None, 1, 2, 3, 4, 5, 6) for i, t in [*rows, rows[3], rows[3]]]
+    odd += [(None, rows[2][1], "s", "en", 1, 1, 2, 3, 4, 5, 6), (None, None, None, None, None, None, None, None, None, None, None)]
+    table = spark.createDataFrame(odd, names)
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        out = stage(spark, table, small)
+        assert set(table.columns) <= set(out.columns) if k == 4 else out.columns == table.columns
+        kept = out.collect()
+        assert all((r["__key"], r["row"]) in {(1, 5), (None, None)} for r in kept)
+        if k == 1:
+            assert len(kept) == len(odd) and all(r.text is not None and r.n_chars == len(r.text) for r in kept)
+        if k == 2:
+            assert len([r for r in kept if r.doc_id == 3]) == 3 and len([r for r in kept if r.doc_id is None]) == 1
+        if k == 3:
+            assert len(kept) == len(odd)
+        assert stage(spark, table.limit(0), small).count() == 0
+
+
+def test_quality_and_mixing_stages_against_their_operators(spark, small, docs):
+    """The quality stage keeps what scores 0.7; the mixing stage repeats each document as its Poisson number says."""
+    table = spark.read.parquet(f"{small}/documents.parquet")
+    stages = dict(corpus_pipeline.STAGES)
+    good = {r.doc_id for r in queries.op3_pu_quality(spark, small).where("predicted = 1").collect()}
+    assert {r.doc_id for r in stages["quality classifier"](spark, table, small).collect()} == good
+    mixed = stages["mixing sources to target weights"](spark, table, small).collect()
+    sizes = {}
+    for r in table.collect():
+        sizes[r.source] = sizes.get(r.source, 0) + len(r.text or "")
+    total = sum(s**0.5 for s in sizes.values())
+    for r in mixed:
+        assert r.rate == pytest.approx(sizes[r.source] ** 0.5 / total * sum(sizes.values()) / sizes[r.source], rel=1e-6)
+    per = {}
+    for r in mixed:
+        per.setdefault(r.doc_id, []).append(r.copy)
+    assert all(sorted(c) == list(range(1, len(c) + 1)) for c in per.values())
+    assert [r.doc_id for r in mixed] != sorted(r.doc_id for r in mixed)

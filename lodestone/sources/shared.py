@@ -12,7 +12,7 @@ def folder(spark: SparkSession) -> str:
     """The folder named in ``spark.checkpoint.dir``; a temporary one where that is unset and all tasks run on this machine, as in local tests."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
-        if not spark.sparkContext.master.startswith("local["):
+        if not (spark.sparkContext.master == "local" or spark.sparkContext.master.startswith("local[")):
             raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         named = tempfile.mkdtemp(prefix="lodestone-")
         spark.conf.set("spark.checkpoint.dir", named)

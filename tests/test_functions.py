@@ -124,3 +124,9 @@ def test_names():
         parse_modality("smell")
     assert [format_codec("lzma", 6), format_codec("lz4", None)] == ["lzma(6)", "lz4"]
     assert str(NotFoundError("x")) == "Record not found: x"
+
+
+def test_tokens_end_at_marks_that_are_no_letters(spark):
+    """A combining accent is no letter and splits a word; a vowel sign of Hindi counts as one and does not."""
+    df = spark.createDataFrame([("cafébar हिन्दी x²yz",)], "t string")
+    assert [sorted(r.w) for r in df.select(text.tokenize(F.col("t")).alias("w")).collect()] == [sorted(["cafe", "bar", "हिन", "दी", "x²yz"])]

@@ -274,7 +274,7 @@ def test_ppm_prunes_nothing(spark, df, docs, rows, monkeypatch):
     monkeypatch.setattr(ppm, "LOG_ROWS", rows)
     training = [d for d in docs if d[0] % 3]
     out = ppm.score(df, df.where("doc_id % 3 <> 0"), hot_share=1 / 500)
-    model, want = C.Ppm([t for _, t in training], 4, 0), C.unigrams(docs, training)
+    model, want = C.Ppm([t for _, t in training], ppm.ORDER, 0), C.unigrams(docs, training)
     for i, (n_tokens, n_known, train_tokens, base, score) in by_id(out, "n_tokens", "n_known", "train_tokens", "base_score", "score").items():
         assert (n_tokens, n_known, train_tokens) == want[i][:3] and base == pytest.approx(want[i][3], abs=1e-6)
         assert score == pytest.approx(model.log10(dict(docs)[i]), rel=1e-9), i
@@ -284,7 +284,7 @@ def test_ppm_default_prunes_nothing_beyond_a_million_bytes(spark):
     """A passage that stands once among a million other bytes keeps its contexts."""
     texts = ["ab cd " * 100_000] * 2 + ["zyx wvut srq"]
     out = by_id(ppm.score(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")), "score")
-    assert out[2][0] == pytest.approx(C.Ppm(texts, 4, 0).log10(texts[2]), rel=1e-9)
+    assert out[2][0] == pytest.approx(C.Ppm(texts, ppm.ORDER, 0).log10(texts[2]), rel=1e-9)
 
 
 def test_ppm_edges(odd, none, docs):
@@ -451,3 +451,11 @@ def test_repeats_tells_left_bytes_from_runs():
     assert (high == -1).all() and (low == 35).all()
     low, high = suffix_dedup._repeats(np.arange(n), left, right, np.full(n, 16))
     assert (high == -1).all()
+
+
+def test_scores_of_very_long_texts(spark):
+    """One text of a million bytes, and one of a million ends of words, beside an empty one."""
+    docs = spark.createDataFrame([(1, "river stone " * 90_000), (2, " \n" * 500_000), (3, None), (4, "river stone")], "doc_id long, text string")
+    out = by_id(ppm.score(docs), "n_tokens", "score", "base_score")
+    assert (out[1][0], out[2][0], out[3][0]) == (180_001, 1, 1) and all(math.isfinite(x) and x < 0 for v in out.values() for x in v[1:])
+    assert out[1][1] / (12 * 90_000) > -0.01

@@ -32,7 +32,7 @@ from . import textscan as ts
 from .shared import written
 
 #: Bytes of context. With the symbol they are packed into one integer.
-ORDER = 5
+ORDER = 4
 #: Orders below this one are known to every task.
 SHORT = 2
 #: Share of the scored bytes (or training tokens) from which a gram (or token) is broadcast.

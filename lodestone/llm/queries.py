@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import blob_ledger, chroma, jaccard_join, language_id, line_dedup, ppm, pu_quality, replication, suffix_dedup, winnowing
+from . import blob_ledger, chroma, jaccard_join, language_id, line_dedup, periodic_runs, ppm, pu_quality, replication, suffix_dedup, winnowing
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -81,6 +81,25 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.dedup_substrings(_table(spark, sf_dir, "documents"), digest=True)
 
 
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of words of documents, one in ten made periodic, and digests of what is left without their repetitions."""
+    docs = _table(spark, sf_dir, "documents")
+    found = periodic_runs.periodic_runs(docs.select("doc_id", periodic_runs.stuttered(F.col("text"), F.col("doc_id")).alias("text")))
+    longest = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("s"), (-r["period"]).alias("p"))))
+    listed = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", *[r[c].cast("string") for c in ("start", "length", "period")]), F.lit("\n"))), "")
+    found = found.withColumn("best", F.when(F.size("runs") > 0, longest))
+    return found.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        (-F.col("best.s")).alias("start"),
+        F.col("best.length").alias("length"),
+        (-F.col("best.p")).alias("period"),
+        F.floor(1000 * F.col("best.length") / -F.col("best.p")).cast("long").alias("exponent_milli"),
+        F.sha2(listed, 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 QUERIES = {
     "op1_winnowing": op1_winnowing,
     "op2_language_id": op2_language_id,
@@ -92,4 +111,5 @@ QUERIES = {
     "op8_ppm": op8_ppm,
     "op9_jaccard_join": op9_jaccard_join,
     "op10_suffix_dedup": op10_suffix_dedup,
+    "op13_periodic_runs": op13_periodic_runs,
 }

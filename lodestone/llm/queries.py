@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import blob_ledger, chroma, jaccard_join, language_id, line_dedup, periodic_runs, ppm, pu_quality, replication, suffix_dedup, winnowing
+from . import blob_ledger, chroma, jaccard_join, language_id, line_dedup, packing, periodic_runs, ppm, pu_quality, replication, suffix_dedup, winnowing
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -81,6 +81,13 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.dedup_substrings(_table(spark, sf_dir, "documents"), digest=True)
 
 
+def op11_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents in sequences of 2048 ids of a public vocabulary."""
+    import public_tokenizers
+
+    return packing.pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Runs of words of documents, one in ten made periodic, and digests of what is left without their repetitions."""
     docs = _table(spark, sf_dir, "documents")
@@ -111,5 +118,6 @@ QUERIES = {
     "op8_ppm": op8_ppm,
     "op9_jaccard_join": op9_jaccard_join,
     "op10_suffix_dedup": op10_suffix_dedup,
+    "op11_packing": op11_packing,
     "op13_periodic_runs": op13_periodic_runs,
 }

@@ -49,4 +49,12 @@ from (select drawn.*, rate, unnest(generate_series(1, copies)) as copy from draw
     "op7_blob_ledger": f"""with spans as ({_spans('assign', 0, _ASSIGN, 2, 12)} union all {_spans('access', 1, 'AKIA[A-Z0-9]+', 0, 18)} union all {_spans('hex', 2, '[0-9a-f]+', 0, 16)}),
  per as (select doc_id, count(*) filter (kind = 'assign') as n_assign, count(*) filter (kind = 'access') as n_access, count(*) filter (kind = 'hex') as n_hex, string_agg(kind || ':' || start || ':' || stop, ',' order by start, rank) as listed from spans group by doc_id)
 select doc_id, coalesce(n_assign, 0) as n_assign, coalesce(n_access, 0) as n_access, coalesce(n_hex, 0) as n_hex, sha256(coalesce(listed, '')) as base_sha256, coalesce(listed, '') as spans from documents left join per using (doc_id)""",
+    "op12_lexical_search": f"""with d as (select r, doc_id, w, len(w) as n from (select row_number() over () as r, doc_id, {_WORDS} as w from documents) where len(w) > 0),
+ s as (select count(*) as n_docs, sum(n)::hugeint as n_terms from d),
+ post as (select r, term, count(*) as tf from (select r, unnest(w) as term from d) group by r, term),
+ item as (select distinct item_id, term from (select item_id, unnest({_WORDS}) as term from benchmark)),
+ weight as (select term, floor(1000 * ln((2 * any_value(n_docs) + 2)::double / (2 * count(*) + 1)::double))::bigint as weight from post, s group by term),
+ m as (select r, doc_id, (10 + (90 * n * n_docs) // n_terms)::bigint as m from d, s),
+ scored as (select item_id, r, sum(weight * ((1000000000 * tf) // (1000 * tf + 8 * m)))::bigint as score, any_value(doc_id) as doc_id from item join weight using (term) join post using (term) join m using (r) group by item_id, r)
+select item_id, rank::int as rank, doc_id, score from (select *, row_number() over (partition by item_id order by score desc, doc_id nulls last) as rank from scored where score > 0) where rank <= 10""",
 }

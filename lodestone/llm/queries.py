@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import blob_ledger, chroma, jaccard_join, language_id, line_dedup, packing, periodic_runs, ppm, pu_quality, replication, suffix_dedup, winnowing
+from . import blob_ledger, chroma, jaccard_join, language_id, lexical_search, line_dedup, packing, periodic_runs, ppm, pu_quality, replication, suffix_dedup, winnowing
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -88,6 +88,11 @@ def op11_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best documents for each benchmark item."""
+    return lexical_search.search(lexical_search.index(_table(spark, sf_dir, "documents")), _table(spark, sf_dir, "benchmark"))
+
+
 def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Runs of words of documents, one in ten made periodic, and digests of what is left without their repetitions."""
     docs = _table(spark, sf_dir, "documents")
@@ -119,5 +124,6 @@ QUERIES = {
     "op9_jaccard_join": op9_jaccard_join,
     "op10_suffix_dedup": op10_suffix_dedup,
     "op11_packing": op11_packing,
+    "op12_lexical_search": op12_lexical_search,
     "op13_periodic_runs": op13_periodic_runs,
 }

@@ -33,10 +33,12 @@ from .shared import written
 #: The bounded sample that the first levels are fitted to, and how many levels; terms that it has twice at least count, the most frequent first.
 SAMPLE_DOCS, SAMPLE_TERMS, SAMPLE_WORDS = 4096, 256, 1 << 16
 DEPTH = 6
-#: Texts of a leaf that go to a task, of a block that is bisected at once, and documents of a shard.
-LEAF_BYTES, BLOCK_BYTES, SHARD_DOCS = 16 << 20, 4 << 20, 64
+#: Bytes of a leaf that are dealt together, of a block that is bisected at once, and documents of a shard.
+LEAF_BYTES, BLOCK_BYTES, SHARD_DOCS = 4 << 20, 4 << 20, 64
 #: Exchanges between two halves at most.
 ROUNDS = 8
+#: Shards that are looked at together, by their bounds.
+VISIT_SHARDS = 32
 #: Queries that are searched at once; what is broadcast and collected is bounded by them.
 BLOCK_QUERIES = 1024
 #: Shards that a query visits before it has a threshold.
@@ -159,14 +161,20 @@ def fitted(sample: list[np.ndarray]) -> Tree:
     return Tree(terms[chosen], says, middle)
 
 
+def _few(doc: np.ndarray, n_docs: int) -> np.ndarray:
+    """Which (document, term), in order, are among the first ``SAMPLE_TERMS`` terms of their document by hash: those that the first levels look at."""
+    upto = np.searchsorted(doc, np.arange(n_docs + 1))
+    return np.arange(len(doc)) - upto[doc] < SAMPLE_TERMS
+
+
 def _sample_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for piece in ts.pieces(batches):
         raw, offsets = ts.flat(piece.column("text"))
         doc, term, _, _ = doc_terms(raw, offsets)
-        at = np.searchsorted(doc, np.arange(piece.num_rows + 1))
-        few = [np.sort(ts.mix(term[a:b]))[:SAMPLE_TERMS] for a, b in zip(at[:-1], at[1:], strict=True)]
-        kept = [term[a:b][np.isin(ts.mix(term[a:b]), f)].view(np.int64) for a, b, f in zip(at[:-1], at[1:], few, strict=True)]
-        yield pa.RecordBatch.from_arrays([piece.column("key"), pa.array(kept, pa.list_(pa.int64()))], names=["key", "terms"])
+        few = _few(doc, piece.num_rows)
+        doc, term = doc[few], term[few]
+        at = pa.array(np.searchsorted(doc, np.arange(piece.num_rows + 1)).astype(np.int32))
+        yield pa.RecordBatch.from_arrays([piece.column("key"), pa.ListArray.from_arrays(at, pa.array(term.view(np.int64))), pa.array(np.diff(offsets))], names=["key", "terms", "size"])
 
 
 def _leaf_task(tree, subs):
@@ -177,7 +185,8 @@ def _leaf_task(tree, subs):
         for piece in ts.pieces(batches):
             raw, offsets = ts.flat(piece.column("text"))
             doc, term, _, _ = doc_terms(raw, offsets)
-            leaf = tree.value.leaves(doc, term, piece.num_rows)
+            few = _few(doc, piece.num_rows)
+            leaf = tree.value.leaves(doc[few], term[few], piece.num_rows)
             turn = (np.arange(piece.num_rows) + seen) % subs.value[leaf]
             seen += piece.num_rows
             yield pa.RecordBatch.from_arrays([piece.column("doc_id"), piece.column("text"), pa.array(leaf.astype(np.int32)), pa.array(turn.astype(np.int32))], names=["doc_id", "text", "leaf", "sub"])
@@ -249,16 +258,17 @@ def index(docs: DataFrame) -> DataFrame:
     n, size = docs.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
     key = F.xxhash64(F.lit(12), "doc_id")
     share = min(1.0, 4 * SAMPLE_DOCS / max(1, n))
-    picked = docs.where(F.pmod(key, F.lit(1 << 20)) < math.ceil(share * (1 << 20))).select(key.alias("key"), "text").mapInArrow(_sample_task, "key long, terms array<long>")
-    sample = [np.array(r.terms, np.int64).view(np.uint64) for r in picked.orderBy("key", F.xxhash64("terms")).limit(SAMPLE_DOCS).collect()]
+    picked = docs.where(F.pmod(key, F.lit(1 << 20)) < math.ceil(share * (1 << 20))).select(key.alias("key"), "text").mapInArrow(_sample_task, "key long, terms array<long>, size long")
+    rows = picked.orderBy("key", F.xxhash64("terms")).limit(SAMPLE_DOCS).collect()
+    sample = [np.array(r.terms, np.int64).view(np.uint64) for r in rows]
     tree = fitted(sample)
     doc = np.repeat(np.arange(len(sample)), [len(s) for s in sample])
     leaves = tree.leaves(doc, np.concatenate([*sample, np.zeros(0, np.uint64)]).astype(np.uint64), len(sample))
-    # a leaf's share of the sample tells to how many tasks it goes
-    shares = np.bincount(leaves, minlength=1 << DEPTH) / max(1, len(sample))
+    # a leaf's share of the sample's bytes tells in how many it is dealt
+    shares = np.bincount(leaves, [r.size for r in rows], minlength=1 << DEPTH) / max(1, sum(r.size for r in rows))
     subs = np.maximum(1, np.ceil(shares * size / LEAF_BYTES)).astype(np.int64)
     routed = docs.mapInArrow(_leaf_task(spark.sparkContext.broadcast(tree), spark.sparkContext.broadcast(subs)), "doc_id long, text string, leaf int, sub int")
-    dealt = routed.repartition("leaf", "sub").sortWithinPartitions("leaf", "sub").select("doc_id", "text", (F.col("leaf") * (1 << 20) + F.col("sub")).alias("leaf"))
+    dealt = routed.repartition("leaf", "sub").sortWithinPartitions("leaf", "sub").select("doc_id", "text", (F.col("leaf") * F.lit(1 << 32) + F.col("sub")).alias("leaf"))
     return written(dealt.mapInArrow(_shard_task, _SHARD), "lexical-index")
 
 
@@ -357,7 +367,7 @@ def _visit_task(queries, threshold, k: int):
         """(query, doc_id, score): the best of each query in a task."""
         q, least = queries.value, threshold.value
         best, names = np.zeros((len(q.first), k), np.int64), np.full((len(q.first), k), NO_ID)
-        for batch in batches:
+        for batch in (b.slice(a, VISIT_SHARDS) for b in batches for a in range(0, b.num_rows, VISIT_SHARDS)):
             shards = [(s, p, _bounds(s, q, p)) for s in _shards(iter([batch]), q.terms) for p in [s.parts(q.n, q.length)]]
             for shard, parts, bound in sorted(shards, key=lambda s: -int(s[2].max())):
                 worst = np.maximum(best[:, -1], least)

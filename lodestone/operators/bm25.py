@@ -38,13 +38,15 @@ def small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
-def scores(post: DataFrame, stats: DataFrame, query_tokens: DataFrame, k1: float = K1, b: float = B) -> DataFrame:
-    """(qid, id, score) of all records that hold a token of the query; ``query_tokens`` has (qid, token)."""
+def scores(post: DataFrame, stats: DataFrame, query_tokens: DataFrame, k1: float = K1, b: float = B, frequencies: DataFrame | None = None) -> DataFrame:
+    """(qid, id, score) of all records that hold a token of the query; ``query_tokens`` has (qid, token).
+
+    ``frequencies`` (token, df) of these tokens, where an index keeps them; else they are counted from the rows that survive.
+    """
     wanted = query_tokens.select("token").distinct()
     hits = post.join(small(wanted), "token", "left_semi")
-    # frequencies of the queries' tokens only, from the rows that survive
-    # they are one row a token of the queries: looked at for their size, and then broadcast, so that no posting is shuffled by token
-    hits = hits.join(small(document_frequency(hits)), "token").join(F.broadcast(stats))
+    # one row a token of the queries: looked at for their size, and then broadcast, so that no posting is shuffled by token
+    hits = hits.join(small(document_frequency(hits) if frequencies is None else frequencies), "token").join(F.broadcast(stats))
     idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
     norm = F.coalesce(F.col("doc_len") / F.nullif(F.col("avg_len"), F.lit(0.0)), F.lit(0.0))
     weight = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * norm))

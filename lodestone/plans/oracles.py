@@ -5,6 +5,7 @@ from __future__ import annotations
 from ..functions.detect import EXTENSIONS, MIME_TYPES
 from ..functions.text import STOPWORDS
 from .queries import CHUNK, FRAME, NAMES, OVERLAP, QUERY_TEXT, QUERY_VECTOR, K
+from .store_queries import DIM, RANGE
 
 #: Unicode whitespace, spelled out for RE2.
 _WS = r"[\t-\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
@@ -105,6 +106,17 @@ _CHUNKS = f"""with recursive sent as (select doc_id, text, {_SENTENCES} as s, le
  cut as (select doc_id, chunk_index - 1 as chunk_index, chunk from fold where chunk is not null
   union all select doc_id, 0, text from words where total <= {CHUNK})"""
 
+#: The vector of a text by the hashes of its tokens, and searches by it.
+_PLACES = f"list_transform(list_distinct({_terms('text')}), lambda t: (('0x' || substr(md5(t), 1, 8))::bigint % {DIM}))"
+_HASHED = f"""(select key, list_transform(c, lambda x: (case when n > 0 then x / n else 0 end)::float::double) as e from (select key, c, sqrt(list_dot_product(c, c)) as n from (
+   select key, list_transform(range({DIM}), lambda i: len(list_filter(p, lambda x: x = i))::double) as c from (select key, {_PLACES} as p from __rows__))))"""
+_BY_TEXT = f"""with {_bm25('true', _MANY)}, {_ranked('scored', 'text_arm', 'doc_id::varchar', 4 * K)},
+ near as (select b.key as qid, a.key as doc_id, round({_COSINE}, 6) + 0.0 as score from {_HASHED.replace('__rows__', '(select doc_id as key, text from documents)')} a cross join {_HASHED.replace('__rows__', '(select item_id as key, text from benchmark)')} b),
+ {_ranked('near', 'vector_arm', 'doc_id::varchar', 4 * K)},
+ fused as (select qid, doc_id, round(sum(part), 12) as score from (select qid, doc_id, 0.5::double / (60 + rank) as part from vector_arm union all select qid, doc_id, 0.5::double / (60 + rank) from text_arm) group by qid, doc_id),
+ {_ranked('fused', 'final', 'doc_id::varchar', K)}
+select qid, doc_id, score, rank from final"""
+
 _LATER = "doc_id % 2 = 0 or doc_id % 4 <> 2"
 
 SQL: dict[str, str] = {
@@ -168,6 +180,18 @@ select doc_id, case when mode is null or mode = 'raw' then 'Invalid input: Unkno
     "fetch_frames": f"""select doc_id, i as chunk_index, sha256(raw[i * {FRAME} + 1 : (i + 1) * {FRAME}]) as data_sha256, total_bytes
  from (select doc_id, encode(text) as raw, strlen(text)::bigint as total_bytes, unnest(generate_series(0, greatest((strlen(text) - 1) // {FRAME}, 0))) as i from documents)""",
     "payload_sizes": "select doc_id, strlen(text)::bigint as size from documents",
+    "payload_ranges": f"""select doc_id, 0::bigint as chunk_index, sha256(encode(text)[{RANGE[0] + 1} : {RANGE[1]}]) as data_sha256, strlen(text)::bigint as total_bytes
+ from documents where lang is distinct from 'fr' and (strlen(text) > {RANGE[0]} or true)""",
+    "metadata_index": f"select doc_id from documents where lang = 'en' and source = 'src3' and {_MODALITY} = 'text'",
+    "index_segments": f"""with {_bm25(queries=f"q as (select 0 as qid, unnest({_query(repr(QUERY_TEXT + ' revised'))}) as token)").replace('from documents)', "from (select doc_id, case when doc_id % 2 = 0 then text || ' revised' else text end as text from documents where lang is distinct from 'fr'))")}
+select doc_id, score from scored""",
+    "snapshot_reads": """select 'before' as reader, doc_id, n_chars from documents
+ union all select 'after', doc_id, case when doc_id % 2 = 0 then n_chars + 1 else n_chars end from documents where lang is distinct from 'fr'""",
+    "hybrid_text": _BY_TEXT,
+    "search_stream": _BY_TEXT,
+    "upload_stream": """select conv_id, 'c' || conv_id as filename, sum(strlen(text))::bigint as n_bytes, sha256(string_agg(text, '' order by turn)) as content_sha256 from conversations where conv_id % 3 <> 0 group by conv_id""",
+    "model_answers": """select doc_id, case when length(text) % 7 <> 3 then 'about ' || length(text) || ' ' || sha256(text) end as answer,
+ case when length(text) % 7 = 3 then 'Provider error: gone' end as error from documents""",
     "delta_encode": """select vec_id, (i - 1)::bigint as pos, round((case when i = 1 then embedding[1] else embedding[i] - embedding[i - 1] end)::float::double, 4) + 0.0 as delta
  from (select vec_id, embedding, unnest(generate_series(1, len(embedding))) as i from embeddings)""",
     "delta_decode": "select vec_id, true as same from embeddings",

@@ -12,7 +12,7 @@ from ..functions import chunk, codec, detect, metadata, text
 from ..operators import bm25, hybrid, vector
 from ..sources.extract import image_text, tidy_ocr, video_text
 from ..sources.shared import folder, written
-from ..sources.store import frames, latest
+from ..sources.store import frames
 from . import vault
 from .ingest import IngestConfig, ingest, validate
 
@@ -53,7 +53,7 @@ def records(spark: SparkSession, sf_dir: str) -> DataFrame:
 _INDEXES: dict[tuple, str] = {}
 
 
-def _files_of(spark: SparkSession, path: str) -> tuple:
+def files_of(spark: SparkSession, path: str) -> tuple:
     """Names, sizes and times of a table's files: another set of them is another table."""
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     listed = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(at)
@@ -62,7 +62,7 @@ def _files_of(spark: SparkSession, path: str) -> tuple:
 
 def indexed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Postings and statistics of the documents: an index is built once for a session and a state of the table, and read by every search."""
-    name = (spark.sparkContext.applicationId, _files_of(spark, f"{sf_dir}/documents.parquet"))
+    name = (spark.sparkContext.applicationId, files_of(spark, f"{sf_dir}/documents.parquet"))
     if name not in _INDEXES:
         path = f"{folder(spark)}/index-{uuid.uuid4().hex}"
         tokens = written(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), text.tokenize(F.col("text")).alias("bm25_tokens")), "tokens")
@@ -339,54 +339,14 @@ def parent_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vault.parent_rollup(turns).select(F.col("parent_id").alias("conv_id"), "chunks", F.sha2("text", 256).alias("text_sha256"))
 
 
-def vault_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    size = F.octet_length("text").cast("long")
-    shown = docs.select(F.lit(0).alias("chunk_index"), size.alias("original_size"), F.ceil(size / 2).alias("compressed_size"), (size / F.nullif(F.ceil(size / 2), F.lit(0))).alias("compression_ratio"))
-    return vault.vault_stats(shown)
-
-
 # --- store --------------------------------------------------------------------------------------------------------
 
 
-def _versions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each document, and a second version of every other one."""
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "n_chars", F.lit(1).cast("long").alias("version"))
-    return docs.unionByName(docs.where("id % 2 = 0").select("id", (F.col("n_chars") + 1).alias("n_chars"), F.lit(2).cast("long").alias("version")))
-
-
-def upsert_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return latest(_versions(spark, sf_dir), "id").select(F.col("id").alias("doc_id"), "n_chars", "version")
-
-
-def record_exists(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.lit(True).alias("found"))
-    asked = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"))
-    return asked.join(docs, F.col("id") == F.col("doc_id"), "left").select("id", F.coalesce("found", F.lit(False)).alias("found"))
-
-
-def delete_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    gone = table(spark, sf_dir, "documents").where("lang = 'fr'").select("doc_id")
-    return table(spark, sf_dir, "documents").join(gone, "doc_id", "left_anti").select("doc_id")
-
-
-def incremental_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Document frequencies after half of the documents came in later, some twice, and French ones were deleted."""
-    docs = table(spark, sf_dir, "documents")
-    batches = docs.where("doc_id % 2 = 0").withColumn("version", F.lit(1)).unionByName(docs.where("doc_id % 4 <> 2").withColumn("version", F.lit(2)))
-    alive = latest(batches, "doc_id").join(docs.where("lang = 'fr'").select("doc_id"), "doc_id", "left_anti")
-    return bm25.document_frequency(bm25.postings(alive.select(F.col("doc_id").alias("id"), text.tokenize(F.col("text")).alias("bm25_tokens"))))
-
-
 def fetch_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = frames(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("text").cast("binary").alias("payload")), FRAME)
     return cut.select(F.col("id").alias("doc_id"), F.col("chunk_index").cast("long").alias("chunk_index"), F.sha2("data", 256).alias("data_sha256"), "total_bytes")
 
 
-def payload_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", F.octet_length("text").cast("long").alias("size"))
-
-
 # --- codecs -------------------------------------------------------------------------------------------------------
 
 
@@ -444,8 +404,8 @@ QUERIES: dict[str, Query] = {
         bm25_scores, bm25_topk, bm25_tf_variant, cosine_scores, cosine_topk, cosine_zero_query, vector_batch, hybrid_rrf, hybrid_pure_bm25,
         hybrid_pure_vector, hybrid_modality_filter, hybrid_metadata_filter, hybrid_filter_intersection, hybrid_prefilter, hybrid_enriched,
         hybrid_batch, metadata_kv_search, metadata_nonstring_no_match, detect_modality, detect_mime, should_chunk, sentences, chunk_text,
-        chunk_counts, ingest_local_records, ingest_totals, request_validation, vault_lifecycle, parent_rollup, vault_stats, upsert_latest, record_exists, delete_records, incremental_index,
-        fetch_frames, payload_sizes, delta_encode, delta_decode, select_codec, codec_roundtrip, embedding_codec_roundtrip,
+        chunk_counts, ingest_local_records, ingest_totals, request_validation, vault_lifecycle, parent_rollup, 
+        fetch_frames, delta_encode, delta_decode, select_codec, codec_roundtrip, embedding_codec_roundtrip,
         embedding_bytes_roundtrip, checksum_sha256, media_texts,
     )
 }

@@ -9,12 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.codec import decompress
-from ..functions.metadata import candidate
+from ..functions.metadata import usable
 from ..functions.text import tokenize_query
 from ..operators import bm25, hybrid, vector
 from ..schema import InvalidInputError, NotFoundError, parse_modality
-from ..sources.store import Store, frames
-from .ingest import IngestConfig, put
+from ..sources.store import Snapshot, Store
+from .ingest import IngestConfig, embedded_queries, put
 
 
 @dataclass(frozen=True)
@@ -37,40 +37,41 @@ class Vault:
         return "pong"
 
     def ingest(self, files: DataFrame) -> DataFrame:
-        """Ingests files and tells for each record its id and sizes."""
+        """Ingests files in one commit and tells for each record its id and sizes."""
         version = self.store.next_version()
         put(self.store, files, self.config.ingest, version)
         return self.store.written_records(version).select("id", "parent_id", "chunk_index", "total_chunks", "original_size", "compressed_size")
 
-    def index(self) -> tuple[DataFrame, DataFrame]:
-        """Postings and corpus statistics, stored beside the records; tokens are range partitioned, so that few row groups serve a query."""
-        records = self.store.records()
-        path = f"{self.store.path}/index"
-        bm25.postings(records).repartitionByRange("token", "id").sortWithinPartitions("token", "id").write.mode("overwrite").option("compression", "zstd").parquet(f"{path}/postings")
-        bm25.corpus_stats(records).coalesce(1).write.mode("overwrite").parquet(f"{path}/stats")
-        return self.spark.read.parquet(f"{path}/postings"), self.spark.read.parquet(f"{path}/stats")
+    def index(self) -> Snapshot:
+        """Records and index as they are now: searches that are given it don't see what is written later."""
+        return self.store.snapshot()
 
-    def search_batch(self, queries: DataFrame, k: int = hybrid.DEFAULT_K, weight: float = hybrid.DEFAULT_WEIGHT, modality: str | None = None, filters: dict | str | None = None, index: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
-        """Hits of many queries (qid, text, embedding): qid, id, score, rank and what is shown of the records."""
+    def search_batch(self, queries: DataFrame, k: int = hybrid.DEFAULT_K, weight: float = hybrid.DEFAULT_WEIGHT, modality: str | None = None, filters: dict | str | None = None, index: Snapshot | None = None) -> DataFrame:
+        """Hits of many queries (qid, text, embedding): qid, id, score, rank and what is shown of the records. Without embeddings, texts are embedded as records are."""
         if k < 0:
             raise InvalidInputError("k must not be negative")
-        records = self.store.records()
-        if modality:
-            modality = parse_modality(modality)
-        keep = candidate(F.col("modality"), F.col("metadata"), modality, filters)
-        searched = records.where(keep) if keep is not None and self.config.filter_mode == "pre" else records
-        post, stats = index or (bm25.postings(searched), bm25.corpus_stats(searched))
+        now = index or self.store.snapshot()
+        if "embedding" not in queries.columns:
+            queries = embedded_queries(queries, self.config.ingest)
+        records = now.records()
+        modality, wanted = parse_modality(modality) if modality else None, usable(filters)
+        candidates = now.candidates(modality, wanted) if modality or wanted else None
         tokens = queries.select("qid", F.explode(tokenize_query(F.coalesce("text", F.lit("")))).alias("token"))
-        text_arm = bm25.top(bm25.scores(post, stats, tokens, self.config.k1, self.config.b), k * hybrid.OVER_FETCH)
-        vector_arm = vector.search(searched.select("id", "embedding"), queries.select("qid", "embedding"), k * hybrid.OVER_FETCH)
-        candidates = records.where(keep).select("id") if keep is not None and self.config.filter_mode == "post" else None
-        hits = hybrid.hybrid(vector_arm, text_arm, k, weight, candidates)
-        return hybrid.enrich(hits, records, self.store.payloads().select("payload_id"))
+        post, stats, df, vectors = now.postings(tokens), now.corpus_stats(), now.frequencies(tokens), records.select("id", "embedding")
+        if candidates is not None and self.config.filter_mode == "pre":
+            # statistics are those of what is left
+            searched = records.join(candidates, "id", "left_semi")
+            post, stats, df, vectors = post.join(candidates, "id", "left_semi"), bm25.corpus_stats(searched), None, searched.select("id", "embedding")
+        text_arm = bm25.top(bm25.scores(post, stats, tokens, self.config.k1, self.config.b, df), k * hybrid.OVER_FETCH)
+        vector_arm = vector.search(vectors, queries.select("qid", "embedding"), k * hybrid.OVER_FETCH)
+        hits = hybrid.hybrid(vector_arm, text_arm, k, weight, candidates if self.config.filter_mode == "post" else None)
+        return hybrid.enrich(hits, records, now.payload_ids())
 
     def search(self, text: str = "", embedding: list[float] | None = None, **options) -> DataFrame:
-        """One query, by text, by vector or both; without a vector a zero vector is taken."""
-        vector_ = embedding if embedding is not None else [0.0] * self.config.ingest.dim
-        query = self.spark.createDataFrame([(0, text, [float(x) for x in vector_])], "qid int, text string, embedding array<float>")
+        """One query, by text, by vector or both; without a vector the text is embedded as records are."""
+        query = self.spark.createDataFrame([(0, text)], "qid int, text string")
+        if embedding is not None:
+            query = self.spark.createDataFrame([(0, text, [float(x) for x in embedding])], "qid int, text string, embedding array<float>")
         return self.search_batch(query, **options).drop("qid").orderBy("rank")
 
     def fetch(self, id: str, unpack: bool = False) -> bytes:
@@ -83,8 +84,9 @@ class Vault:
             raise NotFoundError(id)
         return bytes(row[0])
 
-    def fetch_frames(self, ids: DataFrame) -> DataFrame:
-        return frames(self.store.fetch(ids).select("id", "payload"))
+    def fetch_frames(self, ids: DataFrame, start: int = 0, stop: int | None = None) -> DataFrame:
+        """(id, chunk_index, data, total_bytes) of the stored bytes from ``start`` to ``stop``, frame by frame."""
+        return self.store.snapshot().fetch_range(ids, start, stop)
 
     def delete(self, ids: DataFrame) -> int:
         """Number of records deleted; an error if one of the ids is not there."""
@@ -96,8 +98,8 @@ class Vault:
         return n
 
     def stats(self) -> DataFrame:
-        """One row: records, bytes before and after compression (each file once), mean ratio, uptime."""
-        return vault_stats(self.store.records()).withColumn("uptime_seconds", F.lit(int(time.time() - self.started)).cast("long"))
+        """One row: records, bytes before and after compression (each file once), mean ratio, bytes of the index, uptime. Nothing is scanned."""
+        return self.store.snapshot().stats().withColumn("uptime_seconds", F.lit(int(time.time() - self.started)).cast("long"))
 
 
 def vault_stats(records: DataFrame) -> DataFrame:
@@ -112,10 +114,10 @@ def vault_stats(records: DataFrame) -> DataFrame:
 
 
 def ingest_totals(records: DataFrame) -> DataFrame:
-    """One row for what an ingest wrote: files, records, bytes before and after compression (each file once), and its share."""
+    """One row for what an ingest wrote: files, records, bytes before and after compression (each file once), its share, and the first record's id."""
     first = F.col("chunk_index") == 0
     sizes = [F.coalesce(F.sum(F.when(first, F.col(c))), F.lit(0)).cast("long") for c in ("original_size", "compressed_size")]
-    totals = records.agg(F.count_if(first).alias("files"), F.count(F.lit(1)).alias("records"), sizes[0].alias("original_bytes"), sizes[1].alias("stored_bytes"))
+    totals = records.agg(F.count_if(first).alias("files"), F.count(F.lit(1)).alias("records"), sizes[0].alias("original_bytes"), sizes[1].alias("stored_bytes"), *([F.min_by("id", F.struct("chunk_index", "id")).alias("first_id")] if "id" in records.columns else []))
     return totals.withColumn("share", F.round(F.coalesce(F.col("stored_bytes") / F.nullif(F.col("original_bytes"), F.lit(0)), F.lit(0.0)), 6))
 
 

@@ -8,7 +8,10 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from lodestone.plans import oracles, queries
+from lodestone.plans import oracles, store_queries
+from lodestone.plans.queries import QUERIES as PLAN_QUERIES
+
+QUERIES = PLAN_QUERIES | store_queries.QUERIES
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
@@ -27,12 +30,12 @@ def rows_of(rows):
 
 
 def test_all_have_oracles():
-    assert set(queries.QUERIES) == set(oracles.SQL)
+    assert set(QUERIES) == set(oracles.SQL)
 
 
-@pytest.mark.parametrize("name", list(queries.QUERIES))
+@pytest.mark.parametrize("name", list(QUERIES))
 def test_query_matches_sql(spark, small, duck, name):
-    df = queries.QUERIES[name](spark, small)
+    df = QUERIES[name](spark, small)
     columns = sorted(df.columns)
     got = duck.execute(oracles.SQL[name])
     names = [c[0] for c in got.description]
@@ -45,7 +48,7 @@ def test_entry(spark):
     import __spark_entry__ as entry
 
     assert entry.entry(spark).count() > 0
-    assert set(entry.oracle_sql()) <= set(entry.queries())
+    assert set(entry.oracle_sql()) <= set(entry.queries()) and set(QUERIES) <= set(entry.queries())
 
 
 def test_rest_stands_without_corpus_operators(tmp_path):

@@ -34,7 +34,7 @@ from .shared import written
 SAMPLE_DOCS, SAMPLE_TERMS, SAMPLE_WORDS = 4096, 256, 1 << 16
 DEPTH = 6
 #: Bytes of a leaf that are dealt together, of a block that is bisected at once, and documents of a shard.
-LEAF_BYTES, BLOCK_BYTES, SHARD_DOCS = 4 << 20, 4 << 20, 64
+LEAF_BYTES, BLOCK_BYTES, SHARD_DOCS = 1 << 20, 4 << 20, 64
 #: Exchanges between two halves at most.
 ROUNDS = 8
 #: Shards that are looked at together, by their bounds.
@@ -206,8 +206,10 @@ def _shard_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def shards() -> pa.RecordBatch:
         nonlocal number
         table = pa.Table.from_batches(waiting).combine_chunks().to_batches()[0]
-        raw, offsets = ts.flat(table.column("text"))
-        doc, term, count, size = doc_terms(raw, offsets)
+        parts = [doc_terms(*ts.flat(p.column("text"))) for p in ts.pieces(iter([table]))]
+        base = np.cumsum([0, *[len(p[3]) for p in parts]])
+        doc = np.concatenate([p[0] + b for p, b in zip(parts, base, strict=False)])
+        term, count, size = (np.concatenate([p[k] for p in parts]) for k in (1, 2, 3))
         # texts without terms are in no shard
         some = np.flatnonzero(size > 0)
         name = np.full(len(size), -1)
@@ -268,7 +270,7 @@ def index(docs: DataFrame) -> DataFrame:
     shares = np.bincount(leaves, [r.size for r in rows], minlength=1 << DEPTH) / max(1, sum(r.size for r in rows))
     subs = np.maximum(1, np.ceil(shares * size / LEAF_BYTES)).astype(np.int64)
     routed = docs.mapInArrow(_leaf_task(spark.sparkContext.broadcast(tree), spark.sparkContext.broadcast(subs)), "doc_id long, text string, leaf int, sub int")
-    dealt = routed.repartition("leaf", "sub").sortWithinPartitions("leaf", "sub").select("doc_id", "text", (F.col("leaf") * F.lit(1 << 32) + F.col("sub")).alias("leaf"))
+    dealt = routed.repartition("leaf", "sub").sortWithinPartitions("leaf", "sub").select("doc_id", "text", "leaf")
     return written(dealt.mapInArrow(_shard_task, _SHARD), "lexical-index")
 
 

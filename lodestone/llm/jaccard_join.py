@@ -28,6 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -175,7 +176,9 @@ def _sign_task(n_words: int, num: int, den: int):
             at = np.searchsorted(of[order], np.arange(len(nodes) + 1))
             lists = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(sign[order].view(np.int64)))
             sketch = pa.array(sketches(keys, first), pa.binary())
-            yield pa.RecordBatch.from_arrays([piece.column("doc_id"), piece.column("text_id"), pa.array(nodes.view(np.int64)), pa.array(np.diff(first)), sketch, lists], names=["doc_id", "text_id", "node", "n_shingles", "sketch", "signs"])
+            # a text that no id leads back to stays with its row
+            kept = pc.if_else(pc.is_null(piece.column("doc_id")), piece.column("text"), pa.scalar(None, pa.string()))
+            yield pa.RecordBatch.from_arrays([piece.column("doc_id"), piece.column("text_id"), pa.array(nodes.view(np.int64)), pa.array(np.diff(first)), sketch, lists, kept], names=["doc_id", "text_id", "node", "n_shingles", "sketch", "signs", "kept"])
 
     return signs
 
@@ -377,31 +380,35 @@ def near_duplicates(docs: DataFrame, n_words: int = WORDS, num: int = NUM, den:
     component_id is the smallest doc_id that links lead to, the row's own
     included; a document without words (null and empty texts too) is linked with
     nothing. Equal sets are linked, whatever their texts. Repeated rows each get
-    their row. A null doc_id is never the smallest; alone it is its component.
-    Only doc_id and text are read.
+    their row. Rows without doc_id are linked like others, and links lead through them; a null is never the smallest, and the
+    component of rows that all lack one. Only doc_id and text are read.
     """
-    return _grouped(docs, n_words, num, den).drop("text_id")
+    return _grouped(docs, n_words, num, den).drop("text_id", "first_text")
 
 
 def _grouped(docs: DataFrame, n_words: int, num: int, den: int) -> DataFrame:
-    """``near_duplicates`` with text_id, the hash of each row's text."""
+    """``near_duplicates`` with text_id, the hash of each row's text, and first_text, that of the text that stands for its component."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     signed = docs.select("doc_id", F.xxhash64("text").alias("text_id"), "text")
-    sets = written(signed.mapInArrow(_sign_task(n_words, num, den), "doc_id long, text_id long, node long, n_shingles long, sketch binary, signs array<long>"), "sets")
+    kind = "doc_id long, text_id long, node long, n_shingles long, sketch binary, signs array<long>, kept string"
+    sets = written(signed.mapInArrow(_sign_task(n_words, num, den), kind).withColumn("row", F.monotonically_increasing_id()), "sets")
     signs = sets.select(F.explode("signs").alias("sign"), "node").repartition("sign").sortWithinPartitions("sign", "node")
     met = signs.mapInArrow(_meet, "pivot long, node long").distinct()
     met = written(met, "met")
     regions = met.unionByName(met.select("pivot", F.col("pivot").alias("node")).distinct())
-    nodes = sets.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"))
-    # one row of each node has its sketch; copies of that row don't matter
-    sketched = sets.select(F.col("doc_id").alias("d"), F.col("node").alias("s"), "sketch")
-    placed = regions.join(nodes.where("doc_id is not null"), "node").join(sketched, (F.col("doc_id") == F.col("d")) & (F.col("node") == F.col("s"))).select("pivot", "node", "n", "sketch")
+    # a node stands for its row with the least id; rows without id come last
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row", "text_id")).alias("least")
+    nodes = sets.where("n_shingles > 0").groupBy("node").agg(least, F.first("n_shingles").alias("n")).select("node", "n", "least.doc_id", "least.row", "least.text_id")
+    sketched = sets.select(F.col("row").alias("s"), "sketch")
+    placed = regions.join(nodes.select("node", "n", "row"), "node").join(sketched, F.col("row") == F.col("s")).select("pivot", "node", "n", "sketch")
     members = written(_narrowed(placed, num, den).join(nodes, "node"), "members")
     sizes = members.groupBy("pivot").agg((F.count(F.lit(1)) > REGION_NODES).alias("many"), (F.sum("n") > REGION_SHINGLES).alias("heavy"), F.count(F.lit(1)).alias("size"))
     sizes = sizes.select(F.col("pivot").alias("region"), (F.col("many") | (F.col("heavy") & (F.col("size") > 2))).alias("large"))
-    wanted = members.select(F.col("doc_id").alias("id"), F.col("node")).distinct()
+    wanted = members.where("doc_id is not null").select(F.col("doc_id").alias("id"), "node").distinct()
     wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted.hint("shuffle_hash")
-    texts = docs.join(wanted, F.col("doc_id").eqNullSafe(F.col("id"))).select("node", "text")
+    texts = docs.join(wanted, F.col("doc_id") == F.col("id")).select("node", "text")
+    unnamed = members.where("doc_id is null").select(F.col("row").alias("r"), F.col("node").alias("m")).distinct()
+    texts = texts.unionByName(sets.join(unnamed, F.col("row") == F.col("r")).select(F.col("m").alias("node"), F.col("kept").alias("text")))
     placed = members.select(F.col("pivot").alias("region"), "node", "n").join(sizes, "region")
     full = written(placed.join(texts, "node").select("region", "node", "n", "text", "large"), "regions")
     links = written(full.where("not large").drop("large", "n").groupBy("region").applyInArrow(_region_task(n_words, num, den), _LINKS), "links-small")
@@ -409,11 +416,12 @@ def _grouped(docs: DataFrame, n_words: int, num: int, den: int) -> DataFrame:
     if not big.isEmpty():
         links = links.unionByName(_large_regions(big, links, n_words, num, den))
     found = components(links)
-    named = found.join(nodes.select("node", "doc_id"), "node").groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    of_node = nodes.select("node", "doc_id").join(found.join(named, "component").select("node", "component_id"), "node", "left")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_id")).alias("first")
+    named = found.join(nodes.select("node", "doc_id", "text_id"), "node").groupBy("component").agg(first).select("component", F.col("first.doc_id").alias("component_id"), F.col("first.text_id").alias("first_text"))
+    of_node = nodes.select("node", "doc_id", "text_id").join(found.join(named, "component").select("node", "component_id", "first_text"), "node", "left")
     # a table of its own: the join then has an exchange on either side, and a node with very many copies can be split
-    of_node = written(of_node.select(F.col("node").alias("n"), F.coalesce("component_id", "doc_id").alias("component_id")), "of-node")
-    return sets.join(of_node, F.col("node") == F.col("n"), "left").select("doc_id", "text_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    of_node = written(of_node.select(F.col("node").alias("n"), F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("first_text", "text_id").alias("first_text")), "of-node")
+    return sets.join(of_node, F.col("node") == F.col("n"), "left").select("doc_id", "text_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), "first_text")
 
 
 def keep_first(docs: DataFrame, n_words: int = WORDS, num: int = NUM, den: int = DEN) -> DataFrame:
@@ -421,9 +429,9 @@ def keep_first(docs: DataFrame, n_words: int = WORDS, num: int = NUM, den: int =
 
     It is decided per row, known by doc_id and text: another text under the id of
     a row that goes stays. Rows that repeat the kept doc_id in its group all stay; so
-    do rows without words and rows with a null id that are linked with no row that has one.
+    do rows without words. A row without id goes where its group has a row with one; of a group without any id, one text stays.
     """
-    gone = _grouped(docs, n_words, num, den).where("doc_id <> component_id or (doc_id is null and component_id is not null)")
+    gone = _grouped(docs, n_words, num, den).where("doc_id <> component_id or (doc_id is null and (component_id is not null or text_id <> first_text))")
     gone = gone.select(F.col("doc_id").alias("__gone"), F.col("text_id").alias("__gone_text")).distinct()
     same = docs["doc_id"].cast("long").eqNullSafe(gone["__gone"]) & (F.xxhash64(docs["text"].cast("string")) == gone["__gone_text"])
     return docs.join(gone, same, "left_anti")

@@ -177,7 +177,8 @@ def _sign_task(n_words: int, num: int, den: int):
             lists = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(sign[order].view(np.int64)))
             sketch = pa.array(sketches(keys, first), pa.binary())
             # a text that no id leads back to stays with its row
-            kept = pc.if_else(pc.is_null(piece.column("doc_id")), piece.column("text"), pa.scalar(None, pa.string()))
+            named = pc.is_valid(piece.column("doc_id")).to_numpy(zero_copy_only=False)
+            kept = piece.column("text").take(pa.array(np.arange(piece.num_rows), mask=named))
             yield pa.RecordBatch.from_arrays([piece.column("doc_id"), piece.column("text_id"), pa.array(nodes.view(np.int64)), pa.array(np.diff(first)), sketch, lists, kept], names=["doc_id", "text_id", "node", "n_shingles", "sketch", "signs", "kept"])
 
     return signs

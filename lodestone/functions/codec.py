@@ -75,10 +75,10 @@ def delta_encode(vector: Column) -> Column:
     return F.zip_with(vector, before, lambda x, y: (x - y).cast("float"))
 
 
-def delta_decode(deltas: Column) -> Column:
+@F.pandas_udf(T.ArrayType(T.FloatType()))
+def delta_decode(deltas: pd.Series) -> pd.Series:
     """Running sums, in FLOAT: equal to the input up to rounding."""
-    start = F.struct(F.lit(0.0).cast("float").alias("sum"), F.array().cast("array<float>").alias("out"))
-    return F.aggregate(deltas, start, lambda acc, d: F.struct((acc["sum"] + d).cast("float").alias("sum"), F.array_append(acc["out"], (acc["sum"] + d).cast("float")).alias("out")), lambda acc: acc["out"])
+    return pd.Series([None if d is None else np.cumsum(np.asarray(d, np.float32), dtype=np.float32) for d in deltas], dtype=object)
 
 
 def embedding_to_bytes(vector: np.ndarray) -> bytes:

@@ -392,38 +392,46 @@ class _Run:
             self.right[:, c] = rest[begin[source] + c - self.shared[source]] if n else 0
 
 
+#: What of a suffix, as an integer, lies behind a known prefix of each length.
+_BEHIND = [(1 << (8 * (SPAN - n))) - 1 for n in range(SPAN + 1)]
+
+
 def merge(runs: list[list[int]], shared: list[list[int]]) -> tuple[list[int], list[int], list[int]]:
     """Loser tree over sorted runs of SPAN-byte suffixes (as integers) with their common prefixes.
 
     Gives the run and index of each suffix in order, and the length of the prefix
     it shares with the one before. ``prefix`` of a player is what it shares with the
-    last winner (for a loser, with the player that beat it there).
+    last winner (for a loser, with the player that beat it there); -1 for a run that is
+    at its end. Of two players the longer prefix wins; only players with equal prefixes
+    are compared, and only the bytes behind these.
     """
     k = len(runs)
     at = [0] * k
-    none = 1 << (8 * SPAN)
-    value = [r[0] if r else none for r in runs]
-    prefix = [0] * k
+    value = [r[0] if r else 0 for r in runs]
+    prefix = [0 if r else -1 for r in runs]
     tree = [-1] * k
     whole = 8 * SPAN
 
     def play(i: int, j: int) -> tuple[int, int]:
         """Winner and loser of two players that share equally much with the last winner."""
-        a, b = value[i], value[j]
+        behind = _BEHIND[prefix[i]]
+        a, b = value[i] & behind, value[j] & behind
         if a > b:
-            i, j, a, b = j, i, b, a
-        prefix[j] = min((whole - (a ^ b).bit_length()) >> 3, SPAN) if b < none else 0
+            i, j = j, i
+        prefix[j] = (whole - (a ^ b).bit_length()) >> 3
         return i, j
 
     def build(node: int) -> int:
         if node >= k:
             return node - k
-        w, tree[node] = play(build(2 * node), build(2 * node + 1))
+        i, j = build(2 * node), build(2 * node + 1)
+        # nothing has won yet, so all are compared from the first byte; empty runs lose
+        w, tree[node] = play(i, j) if prefix[i] == prefix[j] == 0 else (i, j) if prefix[j] < 0 else (j, i)
         return w
 
     winner = build(1) if k > 1 else 0
     of_run, index, common = [], [], []
-    while value[winner] < none:
+    while k and prefix[winner] >= 0:
         i = at[winner]
         of_run.append(winner)
         index.append(i)
@@ -434,14 +442,14 @@ def merge(runs: list[list[int]], shared: list[list[int]]) -> tuple[list[int], li
         if i < len(run):
             value[winner], prefix[winner] = run[i], shared[winner][i]
         else:
-            value[winner], prefix[winner] = none, -1
+            prefix[winner] = -1
         node = (winner + k) >> 1
         while node:
             other = tree[node]
             mine, its = prefix[winner], prefix[other]
             if its > mine:
                 tree[node], winner = winner, other
-            elif its == mine and mine >= 0 and value[other] < none:
+            elif its == mine >= 0:
                 winner, tree[node] = play(winner, other)
             node >>= 1
     return of_run, index, common

@@ -229,6 +229,41 @@ def test_loser_tree():
         assert prefix[1:] == [common(a, b) for a, b in zip(merged, merged[1:])]
 
 
+class Suffix(int):
+    """Counts how often each of its bytes is looked at; can't be compared as a whole."""
+
+    seen: list[int]
+
+    def __and__(self, mask):
+        for i in range(suffix_dedup.SPAN - mask.bit_length() // 8, suffix_dedup.SPAN):
+            self.seen[i] += 1
+        return int(self) & mask
+
+    def _whole(self, other):
+        raise AssertionError("compared from its first byte")
+
+    __lt__ = __gt__ = __le__ = __ge__ = __xor__ = __rxor__ = __rand__ = _whole
+
+
+def test_loser_tree_never_compares_known_prefixes():
+    """Between the first and the last comparison of a suffix its known prefix only grows: bytes within it are not looked at again."""
+    width = suffix_dedup.SPAN
+    rng = random.Random(4)
+    texts = sorted({b"x" * 40 + bytes(rng.choice(b"ab") for _ in range(10)) for _ in range(200)})
+    runs = [texts[k::4] for k in range(4)]
+    common = lambda a, b: next((i for i in range(width) if a[i] != b[i]), width)
+    shared = [[common(r[i - 1], r[i]) if i else 0 for i in range(len(r))] for r in runs]
+    values = [[Suffix.from_bytes(x, "big") for x in r] for r in runs]
+    for run in values:
+        for v in run:
+            v.seen = [0] * width
+    of_run, index, _ = suffix_dedup.merge(values, shared)
+    assert [runs[a][b] for a, b in zip(of_run, index, strict=True)] == texts
+    # the 40 bytes that all share are looked at while the tree is built (two rounds), never in the merge
+    assert sum(v.seen[0] for run in values for v in run) == 6
+    assert all(v.seen[i] == 0 for run in values for v in run[1:] for i in range(40))
+
+
 # --- secrets
 
 

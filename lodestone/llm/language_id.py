@@ -3,8 +3,9 @@
 Four kinds of evidence are multiplied, each learned from the tables themselves:
 
 - Text: trigrams of letters, hashed into ``BUCKETS`` bins, counted by language over all
-  documents. The table of their likelihoods has a fixed size and is broadcast, so pages
-  are scored where they are read. Trigrams of one page are no independent witnesses:
+  documents. The table of the likelihoods of ``TABLE_LANGUAGES`` languages has a fixed size
+  and is broadcast, so pages are scored where they are read; where there are more languages,
+  pages are read once for each such table. Trigrams of one page are no independent witnesses:
   beyond ``WITNESSES`` of them their sum counts as that of so many.
 - The language the markup declares, the suffix of the address, and a language tag in
   the address (its first label or first folder). What such a value says about the language is
@@ -36,8 +37,8 @@ BUCKETS = 1 << 16
 WITNESSES = 100
 #: Pages for which what is smoothed towards counts, and for which the name of a language in markup or address counts.
 SMOOTH, NAMED = 10.0, 2.0
-#: Languages that the table of likelihoods may have.
-MOST_LANGUAGES = 512
+#: Languages of one table of likelihoods (64 MB); beyond as many, sums over pages are taken language by language.
+TABLE_LANGUAGES = 128
 
 _LETTER = ts.ALNUM_WORD.copy()
 _LETTER[0x30:0x3A] = False
@@ -125,17 +126,28 @@ def _count_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out()
 
 
-def likelihoods(docs: DataFrame) -> tuple[list[str], np.ndarray]:
-    """The languages of ``docs`` (text, lang), sorted, and ln P(bin | language) by bin and language."""
+def trigram_counts(docs: DataFrame) -> DataFrame:
+    """(lang, bins, ns, total) of ``docs`` (text, lang): one row a language, with at most ``BUCKETS`` bins."""
     rows = docs.select(F.col("text").cast("string").alias("text"), F.trim(F.col("lang").cast("string")).alias("lang")).where("lang <> ''")
-    counts = written(rows.mapInArrow(_count_task, "lang string, bin int, n long").groupBy("lang", "bin").agg(F.sum("n").alias("n")), "lang-trigrams")
-    langs = sorted(r["lang"] for r in counts.select("lang").distinct().limit(MOST_LANGUAGES + 1).collect())
-    if len(langs) > MOST_LANGUAGES:
-        raise ValueError(f"documents name more than {MOST_LANGUAGES} languages")
+    counts = rows.mapInArrow(_count_task, "lang string, bin int, n long").groupBy("lang", "bin").agg(F.sum("n").alias("n"))
+    # a language whose documents have no trigram counts too
+    gathered = counts.groupBy("lang").agg(F.collect_list(F.struct("bin", "n")).alias("all"))
+    known = rows.select("lang").distinct().join(gathered, "lang", "left")
+    return written(known.select("lang", F.coalesce("all.bin", F.array().cast("array<int>")).alias("bins"), F.coalesce("all.n", F.array().cast("array<long>")).alias("ns")), "lang-trigrams")
+
+
+def likelihoods(counts: DataFrame, langs: list[str]) -> np.ndarray:
+    """ln P(bin | language), by bin, of at most ``TABLE_LANGUAGES`` languages."""
     table = np.ones((BUCKETS, len(langs)))
-    found = counts.toArrow()
-    table[found.column("bin").to_numpy(), np.searchsorted(np.array(langs), np.array(found.column("lang").to_pylist(), str))] += found.column("n").to_numpy()
-    return langs, np.log(table / table.sum(0, keepdims=True))
+    found = counts.where(F.col("lang").isin(langs)).toArrow()
+    place = {lang: k for k, lang in enumerate(langs)}
+    for lang, bins, ns in zip(found.column("lang").to_pylist(), found.column("bins"), found.column("ns"), strict=True):
+        table[bins.values.to_numpy(), place[lang]] += ns.values.to_numpy()
+    return np.log(table / table.sum(0, keepdims=True))
+
+
+#: Values that pages share.
+KINDS = ("host", "domain", "suffix", "tag", "declared")
 
 
 def _posterior(logs: np.ndarray) -> np.ndarray:
@@ -148,7 +160,7 @@ def _array(values: np.ndarray) -> pa.Array:
 
 
 def _read_task(model):
-    """From (page, url, html): the address, what is declared, ln of the text's likelihoods, and their posterior."""
+    """From (page, url, html): the address, what is declared, and ln of the text's likelihoods."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = model.value
@@ -160,14 +172,40 @@ def _read_task(model):
             logs *= (np.minimum(n, WITNESSES) / np.maximum(n, 1))[:, None]
             places = [address(u or "") for u in piece.column("url").to_pylist()]
             words = [pa.array([p[k] for p in places], pa.string()) for k in range(4)]
-            arrays = [piece.column("page"), *words, pa.array([declared(x) for x in pages], pa.string()), _array(logs), _array(_posterior(logs))]
-            yield pa.RecordBatch.from_arrays(arrays, names=["page", "host", "domain", "suffix", "tag", "declared", "logs", "p"])
+            arrays = [piece.column("page"), *words, pa.array([declared(x) for x in pages], pa.string()), _array(logs)]
+            yield pa.RecordBatch.from_arrays(arrays, names=["page", *KINDS, "logs"])
 
     return read
 
 
-#: Values that pages share, and what is smoothed by what.
-KINDS = ("host", "domain", "suffix", "tag", "declared")
+def _posterior_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        if batch.num_rows:
+            logs = batch.column("logs").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+            yield batch.append_column("p", _array(_posterior(logs)))
+
+
+def page_evidence(rows: DataFrame, counts: DataFrame, langs: list[str]) -> DataFrame:
+    """(page, what pages share, logs, p) of each page (page, url, html), logs and p in the order of ``langs``. One table of likelihoods is held at a time."""
+    strings = ", ".join(f"{kind} string" for kind in KINDS)
+    blocks = []
+    for k in range(0, len(langs), TABLE_LANGUAGES):
+        model = rows.sparkSession.sparkContext.broadcast(likelihoods(counts, langs[k : k + TABLE_LANGUAGES]))
+        read = rows.mapInArrow(_read_task(model), f"page long, {strings}, logs array<double>")
+        blocks.append(written(read.groupBy("page").agg(*[F.first(c).alias(c) for c in (*KINDS, "logs")]), "page-logs"))
+        model.unpersist()
+    each = blocks[0]
+    for other in blocks[1:]:
+        each = each.join(other.select(F.col("page").alias("q"), F.col("logs").alias("more")), F.col("page") == F.col("q")).select("page", *KINDS, F.concat("logs", "more").alias("logs"))
+    return written(each.mapInArrow(_posterior_task, f"page long, {strings}, logs array<double>, p array<double>"), "page-evidence")
+
+
+def posterior_sums(rows: DataFrame, keys: list[str], n_langs: int) -> DataFrame:
+    """(keys, n, sums): rows and the sums of their ``p``, by language, of each value of ``keys``."""
+    if n_langs <= TABLE_LANGUAGES:
+        return rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.array(*[F.sum(F.col("p")[k]) for k in range(n_langs)]).alias("sums"))
+    long = rows.select(*keys, F.posexplode("p").alias("k", "x")).groupBy(*keys, "k").agg(F.count(F.lit(1)).alias("n"), F.sum("x").alias("x"))
+    return long.groupBy(*keys).agg(F.first("n").alias("n"), F.array_sort(F.collect_list(F.struct("k", "x"))).alias("all")).select(*keys, "n", F.col("all.x").alias("sums"))
 
 
 def fuse(langs: list[str], logs: np.ndarray, own: np.ndarray, web: tuple[float, np.ndarray], met: dict[str, tuple[list, np.ndarray, np.ndarray]]) -> np.ndarray:
@@ -213,30 +251,26 @@ def identify(pages: DataFrame, docs: DataFrame) -> DataFrame:
     its own; then the rest decides, at last the whole web. Of equally likely languages the first by name is taken.
     Rows alike in url and html have one answer, whatever their page_id and number. Texts of any length
     count as ``WITNESSES`` trigrams at most. Documents without lang are not read; without any training row
-    lang is null and probability 0; more than ``MOST_LANGUAGES`` languages raise an error. Other columns are not read.
+    lang is null and probability 0. Languages may be as many as the driver can name. Other columns are not read.
     """
-    spark = pages.sparkSession
     rows = pages.select("page_id", F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html")).withColumn("page", F.xxhash64(F.coalesce("url", F.lit("")), F.coalesce("html", F.lit(""))))
-    langs, table = likelihoods(docs)
+    counts = trigram_counts(docs)
+    langs = sorted(r["lang"] for r in counts.select("lang").collect())
     if not langs:
         return rows.select("page_id", F.lit(None).cast("string").alias("lang"), F.lit(0.0).alias("probability"))
-    model = spark.sparkContext.broadcast(table)
-    strings = ", ".join(f"{kind} string" for kind in KINDS)
-    read = rows.select("page", "url", "html").mapInArrow(_read_task(model), f"page long, {strings}, logs array<double>, p array<double>")
-    each = written(read.groupBy("page").agg(*[F.first(c).alias(c) for c in (*KINDS, "logs", "p")]), "page-evidence")
-    total = [F.sum(F.col("p")[k]) for k in range(len(langs))]
-    world = each.agg(F.count(F.lit(1)), *total).first()
-    if not world[0]:
+    each = page_evidence(rows.select("page", "url", "html"), counts, langs)
+    world = posterior_sums(each, [], len(langs)).first()
+    if not world or not world["n"]:
         return rows.select("page_id", F.lit(None).cast("string").alias("lang"), F.lit(0.0).alias("probability"))
-    web = (float(world[0]), np.array(world[1:], float))
+    web = (float(world["n"]), np.array(world["sums"], float))
     # every value that two pages share, of all kinds, in one grouped sum
     values = each.select("page", "p", F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(k).alias("value")) for k in KINDS])).alias("v")).where("v.value is not null").select("page", "p", "v.kind", "v.value")
-    sums = values.groupBy("kind", "value").agg(F.count(F.lit(1)).alias("n"), F.array(*total).alias("sums")).where("n > 1")
+    sums = posterior_sums(values, ["kind", "value"], len(langs)).where("n > 1")
     # a table of its own: the join then has an exchange on either side, and a value that very many pages have can be split
     sums = written(sums.withColumnsRenamed({"kind": "k", "value": "v"}), "page-sums")
     found = values.join(sums, (F.col("kind") == F.col("k")) & (F.col("value") == F.col("v"))).select("page", "kind", F.struct("n", "sums").alias("s"))
     found = found.groupBy("page").pivot("kind", list(KINDS)).agg(F.first("s"))
-    none = F.array(*[F.lit(0.0)] * len(langs))
+    none = F.array_repeat(F.lit(0.0), len(langs))
     got = each.join(found.select(F.col("page").alias("q"), *[F.col(k).alias(f"of_{k}") for k in KINDS]), F.col("page") == F.col("q"), "left")
     got = got.select("page", *KINDS, "logs", "p", *[F.col(f"of_{k}.n").alias(f"{k}_n") for k in KINDS], *[F.coalesce(F.col(f"of_{k}.sums"), none).alias(f"{k}_sums") for k in KINDS])
     answers = written(got.mapInArrow(_fuse_task(langs, web), "page long, lang string, probability double").withColumnRenamed("page", "q"), "page-languages")

@@ -83,6 +83,27 @@ def test_against_loops(spark, small):
     assert [g[2] for g in got] == pytest.approx([w[2] for w in want], rel=1e-6)
 
 
+def test_languages_beyond_one_table(spark, small, monkeypatch):
+    """With tables of two languages, pages are read several times and summed language by language; answers stay."""
+    docs = spark.read.parquet(f"{small}/documents.parquet").select("text", "lang").unionByName(spark.createDataFrame([(None, "qq"), ("zz zz zzz", "zz")], "text string, lang string"))
+    pages = spark.read.parquet(f"{small}/pages.parquet").select("page_id", "url", "html").unionByName(spark.createDataFrame(ODD, "page_id long, url string, html string"))
+    answers = lambda: sorted((r.page_id or -1, r.lang, r.probability) for r in L.identify(pages, docs).collect())
+    want = answers()
+    monkeypatch.setattr(L, "TABLE_LANGUAGES", 2)
+    got = answers()
+    assert [g[:2] for g in got] == [w[:2] for w in want]
+    assert [g[2] for g in got] == pytest.approx([w[2] for w in want], rel=1e-6)
+    none = spark.createDataFrame([], "page_id long, url string, html string")
+    assert L.identify(none, docs).count() == 0 and L.identify(pages, docs.limit(0)).where("lang is null").count() == len(want)
+
+
+def test_more_than_five_hundred_languages(spark):
+    name = lambda k: "l" + chr(97 + k // 26) + chr(97 + k % 26)
+    docs = spark.createDataFrame([(f"{name(k) * 3} {name(k)[::-1] * 2}", name(k)) for k in range(600)], "text string, lang string")
+    pages = spark.createDataFrame([(k, None, f"<p>{name(k) * 3} {name(k)[::-1] * 2}" * 3) for k in (0, 77, 599)], "page_id long, url string, html string")
+    assert {r.page_id: r.lang for r in L.identify(pages, docs).collect()} == {k: name(k) for k in (0, 77, 599)}
+
+
 def test_pages(spark, small):
     pages = spark.read.parquet(f"{small}/pages.parquet")
     docs = spark.read.parquet(f"{small}/documents.parquet")

@@ -10,14 +10,14 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from .functions.text import preview_filename, preview_summary
-from .plans.ingest import IngestConfig
 from .plans.vault import Vault, VaultConfig
 
 
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="lodestone")
     p.add_argument("--path", default="vault", help="folder of the vault")
-    p.add_argument("--dim", type=int, default=1536)
+    p.add_argument("--config", action="append", default=[], help="TOML file of settings; later ones and the environment override earlier ones")
+    p.add_argument("--dim", type=int)
     sub = p.add_subparsers(dest="command", required=True)
     one = sub.add_parser("ingest")
     one.add_argument("files")
@@ -40,7 +40,9 @@ def parser() -> argparse.ArgumentParser:
 
 def main(argv: list[str] | None = None) -> int:
     a = parser().parse_args(argv)
-    config = VaultConfig(ingest=IngestConfig(dim=a.dim))
+    config = VaultConfig.load(*a.config)
+    if a.dim is not None:
+        config = config.changed("ingest", {"dim": a.dim})
     if a.command == "config":
         print(dataclasses.asdict(config))
         return 0

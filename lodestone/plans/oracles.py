@@ -196,9 +196,9 @@ select doc_id, score from scored""",
  from (select vec_id, embedding, unnest(generate_series(1, len(embedding))) as i from embeddings)""",
     "delta_decode": "select vec_id, true as same from embeddings",
     "select_codec": f"select doc_id, {_CODEC} as codec from (select doc_id, {_MODALITY} as modality from documents)",
-    "codec_roundtrip": "select doc_id, true as same from documents",
+    "codec_roundtrip": "select doc_id, octet_length(encode(text))::bigint as size, sha256(text) as sha256 from documents",
     "embedding_codec_roundtrip": "select vec_id, true as same from embeddings",
-    "embedding_bytes_roundtrip": "select vec_id, true as same from embeddings",
+    "embedding_bytes_roundtrip": "select vec_id, (i - 1)::bigint as pos, embedding[i]::float::double as value from (select vec_id, embedding, unnest(generate_series(1, len(embedding))) as i from embeddings)",
     "checksum_sha256": "select doc_id, sha256(text) as checksum from documents",
     "media_texts": f"""select doc_id, case when doc_id % 3 = 0 then '[Image: OCR not available — install tesseract]' when strlen(seen) < 20 then '[Image: no readable text detected]' else seen end || ' a picture' as image,
  case when doc_id % 2 = 0 then '[Visual]: ' || shots || ' [Audio]: words' else shots end as video

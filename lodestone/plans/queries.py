@@ -367,11 +367,11 @@ def select_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def codec_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents through the codec of their modality and back."""
+    """Contents of documents as they come back from the codec of their modality: size and digest."""
     docs = table(spark, sf_dir, "documents").select("doc_id", F.col("text").cast("binary").alias("raw"), codec.select_codec(detect.detect_modality(filename())).alias("c"))
     packed = docs.withColumn("packed", codec.compress("raw", "c.kind", "c.level"))
     back = packed.withColumn("back", codec.decompress("packed", "c.kind", F.octet_length("raw")))
-    return back.select("doc_id", (F.hex("back") == F.hex("raw")).alias("same"))
+    return back.select("doc_id", F.octet_length("back").cast("long").alias("size"), F.sha2("back", 256).alias("sha256"))
 
 
 def embedding_codec_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -381,7 +381,9 @@ def embedding_codec_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def embedding_bytes_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return vectors(spark, sf_dir).select(F.col("id").alias("vec_id"), (codec.floats_from_bytes(codec.floats_to_bytes("embedding")) == F.col("embedding")).alias("same"))
+    """Each value of the vectors, as read back from their bytes."""
+    back = codec.floats_from_bytes(codec.floats_to_bytes("embedding"))
+    return vectors(spark, sf_dir).select(F.col("id").alias("vec_id"), F.posexplode(back).alias("pos", "value")).select("vec_id", F.col("pos").cast("long").alias("pos"), F.col("value").cast("double").alias("value"))
 
 
 def checksum_sha256(spark: SparkSession, sf_dir: str) -> DataFrame:

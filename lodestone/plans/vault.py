@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import os
 import time
-from dataclasses import dataclass, field
+import tomllib
+from collections.abc import Mapping
+from dataclasses import dataclass, field, fields, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,6 +28,41 @@ class VaultConfig:
     filter_mode: str = "post"
     ingest: IngestConfig = field(default_factory=IngestConfig)
 
+    @classmethod
+    def load(cls, *files: str, environ: Mapping[str, str] | None = None, prefix: str = "LODESTONE") -> VaultConfig:
+        """Defaults, then TOML files in their order (those that are missing are passed over), then the environment.
+
+        Files have settings of searches in the table ``search`` and of ingests in ``ingest``; in the environment
+        they are ``LODESTONE__SEARCH__K1`` or ``LODESTONE__INGEST__CHUNK_WORDS``. Models are objects and cannot be named here.
+        """
+        config = cls()
+        for name in files:
+            if os.path.exists(name):
+                with open(name, "rb") as f:
+                    for section, settings in tomllib.load(f).items():
+                        config = config.changed(section, settings)
+        for name, value in sorted((os.environ if environ is None else environ).items()):
+            if name.upper().startswith(f"{prefix}__"):
+                section, _, key = name.lower()[len(prefix) + 2 :].partition("__")
+                config = config.changed(section, {key: value})
+        return config
+
+    def changed(self, section: str, settings: Mapping[str, object]) -> VaultConfig:
+        """With other settings of ``search`` or ``ingest``; strings become what the setting's default is."""
+        if section not in ("search", "ingest") or not isinstance(settings, Mapping):
+            raise InvalidInputError(f"no section {section} of settings")
+        own = self if section == "search" else self.ingest
+        known = {f.name: getattr(type(own)(), f.name) for f in fields(own) if f.name not in ("ingest", "summarizer", "embedder", "providers")}
+        values = {}
+        for key, value in settings.items():
+            if key not in known:
+                raise InvalidInputError(f"no setting {key} in {section}")
+            try:
+                values[key] = (float if known[key] is None else type(known[key]))(value)
+            except (TypeError, ValueError) as e:
+                raise InvalidInputError(f"{section}.{key}: {value}") from e
+        return replace(self, **values) if section == "search" else replace(self, ingest=replace(self.ingest, **values))
+
 
 class Vault:
     """Facade over one store; all methods take and give DataFrames unless they ask for one id."""

@@ -10,7 +10,7 @@ from lodestone.cli import main
 from lodestone.functions.codec import decompress_bytes
 from lodestone.plans.ingest import IngestConfig, hashing_embedding, ingest, validate
 from lodestone.plans.vault import Vault, VaultConfig
-from lodestone.schema import IngestError, NotFoundError, ProviderError
+from lodestone.schema import IngestError, InvalidInputError, NotFoundError, ProviderError
 from lodestone.sources.extract import NO_OCR, NO_TEXT, Providers, docx_markup, extract_text, with_retry
 from lodestone.sources.store import Store, frames
 from lodestone.streaming.stream_ingest import assemble_uploads, into_store, watch
@@ -199,3 +199,17 @@ def test_command_line(spark, tmp_path, capsys):
     for command in (["ping"], ["stats"], ["config"], ["search", "lanterns", "--weight", "0"]):
         assert main([*where, *command]) == 0
     assert "lanterns" in capsys.readouterr().out
+
+
+def test_settings_in_layers(tmp_path):
+    """Defaults, files in their order, the environment; what is unknown or of a wrong kind is refused."""
+    first, second = tmp_path / "default.toml", tmp_path / "production.toml"
+    first.write_text("[search]\nk1 = 1.2\nb = 0.5\n[ingest]\nchunk_words = 100\n")
+    second.write_text("[search]\nb = 0.6\n[ingest]\nrate = 2\n")
+    config = VaultConfig.load(str(first), str(tmp_path / "missing.toml"), str(second), environ={"LODESTONE__INGEST__CHUNK_WORDS": "50", "OTHER": "1"})
+    assert (config.k1, config.b, config.filter_mode) == (1.2, 0.6, "post")
+    assert (config.ingest.chunk_words, config.ingest.overlap_words, config.ingest.rate, config.ingest.dim) == (50, 64, 2.0, 1536)
+    assert VaultConfig.load(environ={}) == VaultConfig()
+    for bad in ({"LODESTONE__SEARCH__X": "1"}, {"LODESTONE__NOWHERE__K1": "1"}, {"LODESTONE__SEARCH__K1": "much"}):
+        with pytest.raises(InvalidInputError):
+            VaultConfig.load(environ=bad)

@@ -13,6 +13,7 @@ from lodestone.plans.vault import Vault, VaultConfig
 from lodestone.schema import StorageError
 from lodestone.sources import answers, store as S
 from lodestone.sources.manifest import Commits, ConflictError, Files
+from lodestone.sources.shared import PART_BYTES
 from lodestone.sources.store import Store
 from lodestone.streaming.search_stream import answer
 from lodestone.streaming.search_stream import answers as answered
@@ -292,3 +293,43 @@ def test_search_embeds_its_text(spark, tmp_path):
 
     lame = Vault(spark, str(tmp_path), VaultConfig(ingest=IngestConfig(dim=2, embedder=broken, attempts=1, pause=0.0)))
     assert lame.search("dog ran", weight=0.0, k=1).first().summary.endswith("a dog ran")
+
+
+# --- growth: tasks get more, not larger -----------------------------------------------------------------------------
+
+ROWS = [(1, "first words here", "en"), (2, "second words", "fr"), (3, "third text", "en")]
+
+
+def test_a_large_first_write_makes_more_buckets_and_later_ones_keep_them(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr("lodestone.sources.store.stored_bytes", lambda df: 20 * PART_BYTES)
+    store = Store(spark, str(tmp_path))
+    store.put_records(docs(spark, *ROWS), 1)
+    assert store.snapshot().manifest.buckets == 20
+    monkeypatch.setattr("lodestone.sources.store.stored_bytes", lambda df: 90 * PART_BYTES)
+    other = Store(spark, str(tmp_path))
+    other.write(2, record_rows(other.dealt(spark.createDataFrame([(9, "late words", "en", "s", 10, "9")], f"{DOC}, id string"))), dealt=True)
+    assert other.snapshot().manifest.buckets == 20
+    assert sorted(r.id for r in other.records().collect()) == sorted({str(i) for i, *_ in ROWS} | {"9"})
+
+
+def test_of_two_first_writers_one_decides_on_buckets(spark, tmp_path):
+    one, two = Store(spark, str(tmp_path), buckets=3), Store(spark, str(tmp_path), buckets=5)
+    rows = docs(spark, *ROWS)
+    one.dealt(rows)
+    two.put_records(rows, 1)
+    one.put_records(rows, 2)
+    assert (one.buckets(), two.buckets()) == (3, 3) and one.records().count() == len({i for i, *_ in ROWS})
+
+
+def test_postings_are_shuffled_once_and_rows_of_one_id_are_counted_together(spark):
+    rows = spark.createDataFrame([("a", ["x", "y", "x"]), ("b", ["x"]), ("b", ["x"])], "id string, bm25_tokens array<string>")
+    made = bm25.sorted_postings(rows, 3)
+    assert sorted((r.token, r.id, r.tf) for r in made.collect()) == [("x", "a", 2), ("x", "b", 2), ("y", "a", 1)]
+    assert plan(made).split("Initial Plan")[-1].count("Exchange ") == 1
+
+
+def test_index_counts_repeated_tokens_of_a_record(spark, tmp_path):
+    rows = docs(spark, (1, "kept once", "en"), (2, "again", "en")).withColumn("bm25_tokens", F.when(F.col("id") == "1", F.array(F.lit("twice"), F.lit("twice"), F.lit("once"))).otherwise(F.array(F.lit("once"))))
+    store = Store(spark, str(tmp_path))
+    store.put_records(rows, 1)
+    assert sorted((r.token, r.id, r.tf, r.doc_len) for r in store.snapshot().postings().collect()) == [("once", "1", 1, 3), ("once", "2", 1, 1), ("twice", "1", 2, 3)]

@@ -181,3 +181,37 @@ def test_query(spark, small):
 
 if __name__ == "__main__":
     pytest.main([__file__])
+
+
+def _made(spark, rows):
+    """Recordings as (id, codes, marks by place)."""
+    kind = "id long, tag int, named boolean, codes binary, marks array<int>, places array<int>"
+    return spark.createDataFrame([(i, 0, True, bytearray(np.array(codes, "<u4").tobytes()), [int(np.uint32(codes[p]).view(np.int32)) for p in at], at) for i, codes, at in rows], kind)
+
+
+def test_common_marks_link_recordings_beyond_the_first(spark):
+    """A mark that many have: the last two are nearly alike, but have only this mark in common."""
+    rng = np.random.default_rng(4)
+    codes = [rng.integers(0, 1 << 32, 40, np.uint64).astype(np.uint32) for _ in range(13)]
+    for c in codes:
+        c[20] = 77
+    # codes of 12 are those of 11 with one bit turned; 13 and 14 are copies of 12
+    codes[12] = np.where(np.arange(40) == 20, codes[11], codes[11] ^ np.uint32(4)).astype(np.uint32)
+    rows = [(i, c, [3, 20, 33]) for i, c in enumerate([*codes, codes[12], codes[12]])]
+    assert sorted((r.id, r.lead_id, r.offset, r.n_errors) for r in chroma.alignments(_made(spark, rows)).collect() if r.id in (11, 12)) == [(12, 11, 0, 39)]
+    found = chroma.alignments(_made(spark, rows)).select("id", "lead_id").collect()
+    assert {r.id for r in found} == {12, 13, 14}
+
+
+def test_all_offsets_of_a_pair_are_looked_at(spark):
+    """Four offsets have two marks each, the right one has one."""
+    a = np.random.default_rng(5).integers(0, 1 << 32, 60, np.uint64).astype(np.uint32)
+    b = (a ^ np.uint32(4)).astype(np.uint32)
+    b[50] = a[50]
+    for k, off in enumerate((3, 5, 7, 9)):
+        for j in (0, 1):
+            b[10 * k + j] = a[10 * k + j + off]
+    at = sorted({50, *(10 * k + j for k in range(4) for j in (0, 1))})
+    there = sorted({50, *(10 * k + j + off for k, off in enumerate((3, 5, 7, 9)) for j in (0, 1))})
+    links = chroma.alignments(_made(spark, [(1, a, there), (2, b, at)])).collect()
+    assert [(r.id, r.lead_id, r.offset) for r in links] == [(2, 1, 0)]

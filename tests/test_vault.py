@@ -213,3 +213,12 @@ def test_settings_in_layers(tmp_path):
     for bad in ({"LODESTONE__SEARCH__X": "1"}, {"LODESTONE__NOWHERE__K1": "1"}, {"LODESTONE__SEARCH__K1": "much"}):
         with pytest.raises(InvalidInputError):
             VaultConfig.load(environ=bad)
+
+
+def test_ingest_joins_nothing_and_two_files_of_one_id_stay_two(spark):
+    rows = [("a", "a.txt", b"one two three", "hybrid_file", "{}", None), ("a", "a.txt", b"four five", "hybrid_file", "{}", None), ("b", "b.txt", b"six", "text_only", "{}", None)]
+    files = spark.createDataFrame(rows, "file_id string, filename string, content binary, storage_mode string, metadata string, parent_id string")
+    records, payloads = ingest(files, IngestConfig(dim=2))
+    assert "Join" not in records._jdf.queryExecution().optimizedPlan().toString() + payloads._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted((r.original_size, r.compressed_size > 0) for r in records.collect()) == [(3, False), (9, True), (13, True)]
+    assert payloads.count() == 2

@@ -215,3 +215,34 @@ def test_all_offsets_of_a_pair_are_looked_at(spark):
     there = sorted({50, *(10 * k + j + off for k, off in enumerate((3, 5, 7, 9)) for j in (0, 1))})
     links = chroma.alignments(_made(spark, [(1, a, there), (2, b, at)])).collect()
     assert [(r.id, r.lead_id, r.offset) for r in links] == [(2, 1, 0)]
+
+
+def test_links_of_many_alike_against_all_pairs(spark, monkeypatch):
+    """Near copies whose marks many have, some long: every pair is looked at, whether listed or in cells, in several rounds or one."""
+    rng = np.random.default_rng(6)
+    rows = []
+    for family in range(3):
+        stem = rng.integers(0, 1 << 32, 60 + 200 * family, np.uint64).astype(np.uint32)
+        for k in range(14):
+            own = stem.copy()
+            turned = rng.choice(len(own), len(own) // 16 * (1 + k % 4), replace=False)
+            own[turned] = rng.integers(0, 1 << 32, len(turned), np.uint64).astype(np.uint32)
+            own = own[rng.integers(0, 12) :]
+            rows.append((100 * family + k, own, sorted(rng.choice(len(own), len(own) // 4, replace=False).tolist())))
+    want = set()
+    for a, x, at_a in rows:
+        for b, y, at_b in rows:
+            if b <= a:
+                continue
+            shared = [int(q) - p for p in at_b for q in np.flatnonzero(x == y[p]) if int(q) in set(at_a)]
+            for off in set(shared):
+                n, wrong = chroma.bit_errors(x.tobytes(), y.tobytes(), off)
+                if n >= chroma.OVERLAP * len(y) and wrong <= 32 * chroma.BIT_ERRORS * n and shared.count(off) >= max(1, np.ceil(len(at_b) * chroma.VOTES)):
+                    want.add((b, a))
+    assert len(want) > 60
+    monkeypatch.setattr(chroma, "ROUND", 100)
+    for changed in ({}, {"ROUND": 6, "CELL_ROWS": 5, "PAIRS": 7, "LEADS": 10}):
+        for name, value in changed.items():
+            monkeypatch.setattr(chroma, name, value)
+        links = chroma.alignments(_made(spark, rows)).collect()
+        assert {(r.id, r.lead_id) for r in links} == want and len(links) == len(want)

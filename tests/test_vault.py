@@ -222,3 +222,16 @@ def test_ingest_joins_nothing_and_two_files_of_one_id_stay_two(spark):
     assert "Join" not in records._jdf.queryExecution().optimizedPlan().toString() + payloads._jdf.queryExecution().optimizedPlan().toString()
     assert sorted((r.original_size, r.compressed_size > 0) for r in records.collect()) == [(3, False), (9, True), (13, True)]
     assert payloads.count() == 2
+
+
+def test_files_are_packed_in_batches_of_bounded_bytes(spark, monkeypatch):
+    from lodestone.plans import ingest as module
+
+    @F.pandas_udf("binary")
+    def handed(data, kind, level):
+        return data.map(lambda _: str(sum(map(len, data))).encode())
+
+    monkeypatch.setattr(module, "compress", handed)
+    files = spark.range(0, 400, 1, 1).select(F.col("id").cast("string").alias("file_id"), F.lit("a.txt").alias("filename"), F.repeat(F.lit("a "), 50_000).cast("binary").alias("content"), F.lit("full_raw").alias("storage_mode"), F.lit("{}").alias("metadata"), F.lit(None).cast("string").alias("parent_id"))
+    sizes = [int(bytes(r.payload)) for r in module.ingest(files)[1].select("payload").collect()]
+    assert len(sizes) == 400 and max(sizes) <= module.BATCH_BYTES + 100_000

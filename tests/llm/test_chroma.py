@@ -246,3 +246,65 @@ def test_links_of_many_alike_against_all_pairs(spark, monkeypatch):
             monkeypatch.setattr(chroma, name, value)
         links = chroma.alignments(_made(spark, rows)).collect()
         assert {(r.id, r.lead_id) for r in links} == want and len(links) == len(want)
+
+
+def test_tables_of_many_alike_grow_with_the_recordings(spark, monkeypatch):
+    """Near copies that are all linked with each other: their links are counted, but no table between has a row for each."""
+    rng, counts, real = np.random.default_rng(8), [], chroma.written
+    stem = [f"w{k}" for k in rng.integers(0, 5000, 400)]
+
+    def counted(df, what, *args, **kwargs):
+        out = real(df, what, *args, **kwargs)
+        counts.append((what, out.count()))
+        return out
+
+    rows = [(i, " ".join([*stem[:at], f"v{i}", *stem[at + 1 :]])) for i, at in enumerate(rng.integers(0, 400, 50).tolist())]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    prints = chroma.fingerprints(docs, chroma.melody, chroma.MELODY, "text").selectExpr("doc_id id", "0 tag", "true named", "codes", "marks", "places")
+    listed = [r.id for r in chroma.alignments(prints).collect()]
+    assert len(listed) > 600
+    monkeypatch.setattr(chroma, "written", counted)
+    got = {r.doc_id: r for r in chroma.align(docs, chroma.melody, chroma.MELODY, "text").collect()}
+    assert len({bytes(r.codes) for r in got.values()}) > 45
+    assert all(r.class_id == 0 and r.n_links == listed.count(i) for i, r in got.items())
+    assert len(counts) >= 3 and all(n <= 50 for _, n in counts), counts
+
+
+def test_rows_of_cells_against_the_listed_links(spark, monkeypatch):
+    """Classes, numbers of links and best links from many small cells and from one, against those of all links; some rows without id, some ids twice."""
+    rng = np.random.default_rng(9)
+    rows = []
+    for family in range(4):
+        stem = [f"w{k}" for k in rng.integers(0, 5000, 150 + 100 * family)]
+        for k in range(9):
+            own = [w if rng.random() > 0.002 * k else f"v{rng.integers(0, 99)}" for w in stem]
+            rows.append((None if k == 4 else 100 * (k % 3) + family if k > 5 else int(rng.integers(1000, 9999)), " ".join(own[rng.integers(0, 20) :])))
+    rows += [rows[3], rows[13], (7, rows[20][1]), (8, ""), (9, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    prints = chroma.fingerprints(docs, chroma.melody, chroma.MELODY, "text")
+    prints = prints.selectExpr("coalesce(doc_id, xxhash64(codes)) id", "cast(pmod(xxhash64(codes), 65536) as int) tag", "doc_id is not null named", "codes", "places", "doc_id").dropDuplicates(["id", "tag"])
+    links = chroma.alignments(prints).collect()
+    group = {(r.id, r.tag): (r.id, r.tag) for r in prints.collect()}
+    names = {(r.id, r.tag): r.doc_id for r in prints.collect()}
+    for _ in group:
+        for r in links:
+            group[(r.id, r.tag)] = group[(r.lead_id, r.lead_tag)] = min(group[(r.id, r.tag)], group[(r.lead_id, r.lead_tag)], key=lambda x: (names[x] is None, x))
+    of = {}
+    for r in links:
+        of.setdefault((r.id, r.tag), []).append(r)
+    same = {k: bytes(c) for k, c in ((((r.id, r.tag)), r.codes) for r in prints.collect())}
+    for changed in ({}, {"CELL_ROWS": 5, "PAIRS": 7, "ROUND": 3}):
+        for name, value in changed.items():
+            monkeypatch.setattr(chroma, name, value)
+        got = chroma.align(docs, chroma.melody, chroma.MELODY, "text").selectExpr("*", "coalesce(doc_id, xxhash64(codes)) id", "cast(pmod(xxhash64(codes), 65536) as int) tag").collect()
+        assert len(got) == len(rows) and sum(r.n_links for r in got) > 40
+        for r in got:
+            key = (r.id, r.tag)
+            own = list(of.get(key, []))
+            # a copy has the links of the first one too
+            copied = [x for x in own if same[(x.lead_id, x.lead_tag)] == same[key]] if r.codes else []
+            own += [x for c in copied for x in of.get((c.lead_id, c.lead_tag), [])]
+            assert r.n_links == len(own)
+            assert r.class_id == names[group[key]]
+            best = min(((x.n_errors / x.n_over, x.lead_id, x.offset, x.n_over, x.n_errors) for x in own), default=None)
+            assert (r.match_id, r.offset, r.n_over, r.n_errors) == (best[1:] if best else (None,) * 4)

@@ -36,7 +36,7 @@ def hybrid(vector_arm: DataFrame, text_arm: DataFrame, k: int = DEFAULT_K, weigh
     fused = fuse(vector_arm, text_arm, weight)
     if candidates is not None:
         # the fused lists are small: the candidates are looked up for them, not the other way round
-        fused = written(fused, "fused")
+        fused = written(fused, "fused", tidy=True)
         wanted = candidates.join(small(fused.select("id").distinct()), "id", "left_semi").select("id")
         fused = fused.join(wanted, "id", "left_semi")
     return top(fused, k)
@@ -44,7 +44,7 @@ def hybrid(vector_arm: DataFrame, text_arm: DataFrame, k: int = DEFAULT_K, weigh
 
 def enrich(hits: DataFrame, records: DataFrame, payload_ids: DataFrame | None = None) -> DataFrame:
     """Hits with what a caller sees of their records; hits without a record are dropped, after the top k."""
-    hits = written(hits, "hits")
+    hits = written(hits, "hits", tidy=True)
     shown = records.select("id", "summary", F.coalesce("filename", F.lit("")).alias("filename"), "modality", "metadata", F.coalesce("parent_id", "id").alias("payload_id"))
     joined = shown.join(small(hits), "id")
     if payload_ids is None:

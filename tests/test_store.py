@@ -376,3 +376,14 @@ def test_shuffle_files_of_a_write_are_deleted(spark, tmp_path):
             break
         time.sleep(0.2)
     assert not kept() - before
+
+
+def test_scores_are_added_up_in_the_buckets_of_records(spark, tmp_path):
+    """Rows of postings and partial scores stay where their records lie, also without what a later version replaced."""
+    store = Store(spark, str(tmp_path))
+    store.put_records(docs(spark, (1, "alpha beta", "en"), (2, "alpha delta", "fr"), (3, "beta", "en")), 1)
+    store.put_records(docs(spark, (2, "epsilon alpha", "en")), 2)
+    now, tokens = store.snapshot(), spark.createDataFrame([(0, "alpha"), (1, "beta")], "qid int, token string")
+    made = bm25.scores(now.postings(tokens), now.corpus_stats(), tokens, frequencies=now.frequencies(tokens))
+    assert "Exchange hashpartitioning(qid" not in plan(made)
+    assert scores(now, "alpha beta") == rebuilt(now, "alpha beta")

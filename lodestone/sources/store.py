@@ -58,6 +58,9 @@ TABLES: dict[str, tuple[str, str | None]] = {
 SORTED = {"postings": ("token", "id")}
 #: Bytes of a dictionary of ids: a bucket's ids go into one, and rows of postings name them by number.
 DICTIONARY_BYTES = 8 << 20
+#: Spark's settings for writing rows that lie in their buckets, sorted: a writer that stays open for one bucket takes them as they come (with a ``sortBy``, or
+#: without such a writer, Spark sorts them again, by the hash of their key first), and equal keys, side by side, are counted without a table of them.
+IN_BUCKETS = {"spark.sql.maxConcurrentOutputFileWriters": "1", "spark.sql.execution.replaceHashWithSortAgg": "true"}
 #: What is derived from a table, and is replaced and compacted with it.
 WITH = {"records": ("records", "records_gone", "postings", "terms"), "metadata": ("metadata", "metadata_gone", "fields"), "payloads": ("payloads", "payloads_gone")}
 
@@ -305,17 +308,20 @@ class Store:
         key, name = TABLES[table][1], time.time_ns()
         at, seen = f"{self.path}/{table}/segment={name}", Observation()
         columns = [c.strip().split(" ")[0] for c in TABLES[table][0].split(", ")] if table != "records" else [*[f.name for f in RECORD.fields], "born"]
-        rows = df.select(*columns).observe(seen, F.count(F.lit(1)).alias("rows"), *[F.coalesce(F.sum(v), F.lit(0)).alias(k) for k, v in (figures or {}).items()])
+        rows = df.select(*columns)
+        if key:
+            rows = rows.sortWithinPartitions(*SORTED.get(table, (key,)))
+        rows = rows.observe(seen, F.count(F.lit(1)).alias("rows"), *[F.coalesce(F.sum(v), F.lit(0)).alias(k) for k, v in (figures or {}).items()])
         if key:
             staged = f"lodestone_stage_{uuid.uuid4().hex}"
             # rows lie in their buckets already: a task writes one file
-            out = rows.write.format("parquet").bucketBy(self.buckets(), key).sortBy(*SORTED.get(table, (key,))).option("compression", "zstd").option("path", at)
+            out = rows.write.format("parquet").bucketBy(self.buckets(), key).option("compression", "zstd").option("path", at)
             if table == "postings":
                 out = out.option("parquet.dictionary.page.size", str(DICTIONARY_BYTES))
             else:
                 # of a size that fits the file's ids
                 out = out.option(f"parquet.bloom.filter.enabled#{key}", "true").option("parquet.bloom.filter.adaptive.enabled", "true")
-            with settings(rows.sparkSession, {TIDY: "true"}):
+            with settings(rows.sparkSession, {TIDY: "true"} | IN_BUCKETS):
                 out.saveAsTable(staged)
             self.spark.sql(f"DROP TABLE {staged}")
         else:
@@ -374,9 +380,8 @@ class Store:
         parts = []
         if written is not None:
             fresh = now.segments("records", [written.name])
-            once = F.size(F.array_distinct("bm25_tokens")) == F.size("bm25_tokens")
-            # an id is one row, so only the tokens of rows that repeat some are counted
-            posted = bm25.flat(fresh.where(once)).withColumn("tf", F.lit(1).cast("long")).unionByName(bm25.postings(fresh.where(~once)))
+            # a token's repetitions lie side by side once rows are sorted as the segment is
+            posted = bm25.counted(bm25.flat(fresh).sortWithinPartitions(*SORTED["postings"]))
             posted = posted.withColumn("born", F.lit(written.version).cast("long"))
             out["postings"] = [self._segment(posted, "postings", version, by)]
             parts.append(now.segments("postings", [out["postings"][0].name]).select("token", F.lit(1).alias("d")))

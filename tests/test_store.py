@@ -2,9 +2,12 @@
 
 import glob
 import os
+import re
 import time
 
+import pyarrow.parquet as pq
 import pytest
+from pyspark.sql import DataFrameWriter
 from pyspark.sql import functions as F
 
 from lodestone.operators import bm25
@@ -387,3 +390,31 @@ def test_scores_are_added_up_in_the_buckets_of_records(spark, tmp_path):
     made = bm25.scores(now.postings(tokens), now.corpus_stats(), tokens, frequencies=now.frequencies(tokens))
     assert "Exchange hashpartitioning(qid" not in plan(made)
     assert scores(now, "alpha beta") == rebuilt(now, "alpha beta")
+
+
+def test_a_write_sorts_its_rows_once(spark, tmp_path, monkeypatch):
+    """What is one row an id lies sorted for its bucket already; postings are made in one scan and one sort, and counted in passing. Files keep their order, one a bucket."""
+    seen, save = [], DataFrameWriter.saveAsTable
+
+    def noted(self, name, *more):
+        seen.append((plan(self._df), spark.conf.get("spark.sql.maxConcurrentOutputFileWriters")))
+        return save(self, name, *more)
+
+    monkeypatch.setattr(DataFrameWriter, "saveAsTable", noted)
+    before = spark.conf.get("spark.sql.maxConcurrentOutputFileWriters")
+    store = Store(spark, str(tmp_path), buckets=3)
+    rows = spark.createDataFrame([(i, f"word{i % 7} word{i % 5} same", "en", "s", 9, str(i)) for i in (*range(60), 7)], f"{DOC}, id string")
+    repeated = F.when(F.col("id") == "7", F.array(*[F.lit(x) for x in "baba"])).otherwise(F.col("bm25_tokens"))
+    store.write(1, record_rows(store.dealt(rows)).withColumn("bm25_tokens", repeated), dealt=True)
+    (records, open_writers), (postings, _) = seen
+    assert len(re.findall(r"\bSort \[", records)) == 1 and open_writers == "1" and spark.conf.get("spark.sql.maxConcurrentOutputFileWriters") == before
+    assert [len(re.findall(x, postings)) for x in (r"\bSort \[", "FileScan", "SortAggregate", "HashAggregate", "Union")] == [1, 1, 1, 0, 0]
+    for table, columns in (("records", ["id"]), ("postings", ["token", "id"])):
+        files = glob.glob(f"{tmp_path}/{table}/segment=*/*.parquet")
+        assert len({re.search(r"_(\d+)\.", f)[1] for f in files}) == len(files) <= 3
+        for f in files:
+            read = [tuple(r.values()) for r in pq.read_table(f, columns=columns).to_pylist()]
+            assert read == sorted(read)
+    now = store.snapshot()
+    assert sorted((r.token, r.tf, r.doc_len) for r in now.postings().where("id = '7'").collect()) == [("a", 2, 4), ("b", 2, 4)]
+    assert scores(now, "word3 same a") == rebuilt(now, "word3 same a") and now.records().count() == 60

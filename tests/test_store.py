@@ -418,3 +418,19 @@ def test_a_write_sorts_its_rows_once(spark, tmp_path, monkeypatch):
     now = store.snapshot()
     assert sorted((r.token, r.tf, r.doc_len) for r in now.postings().where("id = '7'").collect()) == [("a", 2, 4), ("b", 2, 4)]
     assert scores(now, "word3 same a") == rebuilt(now, "word3 same a") and now.records().count() == 60
+
+
+def test_a_few_tokens_are_named_in_the_scan(spark, tmp_path):
+    """Up to as many as Parquet takes one by one; more are joined. Null, unknown, repeated tokens and none at all find what they found."""
+    store = Store(spark, str(tmp_path), buckets=2)
+    store.put_records(docs(spark, *[(i, f"alpha word{i} word{i + 1}", "en") for i in range(30)]), 1)
+    store.put_records(docs(spark, (3, "alpha late", "en")), 2)
+    now, few = store.snapshot(), int(spark.conf.get("spark.sql.parquet.pushdown.inFilterThreshold"))
+    ask = lambda *names: spark.createDataFrame([(n,) for n in names], "token string")
+    for names in (["alpha", "word3", "late", "alpha", None, "unknown"], [], [None], [f"word{i}" for i in range(few)], [f"word{i}" for i in range(few + 1)], ["alpha", None, *[f"word{i}" for i in range(few + 5)]]):
+        tokens = ask(*names)
+        for found, all_ in ((now.postings(tokens), now.postings()), (now.frequencies(tokens), now.frequencies())):
+            assert sorted(map(tuple, found.collect())) == sorted(tuple(r) for r in all_.collect() if r.token in set(names) - {None})
+        named = len(set(names) - {None}) <= few
+        assert ("LeftSemi" not in plan(now.frequencies(tokens))) == named
+    assert all("In(token, [" in plan(x) for x in (now.postings(ask("alpha", "late")), now.frequencies(ask("alpha", "late"))))
